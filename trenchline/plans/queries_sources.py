@@ -39,7 +39,7 @@ def tolerant_table_scan(spark, sf_dir):
     return src.scan_tolerant_table(src.best_sheet({"Cover": cover, "Log": sheet}))
 
 
-_SHEETS = """SELECT l_orderkey AS sheet_id, CAST(l_linenumber AS INT) AS row_index,
+_SHEETS = """SELECT l_orderkey AS sheet_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS INT) AS row_index,
   CASE WHEN l_orderkey % 3 = 0 AND l_linenumber = 2 THEN 'Start Station:' ELSE concat('n', l_linenumber) END AS c0,
   CASE WHEN l_orderkey % 3 = 1 THEN concat(CAST(l_partkey % 90 AS STRING), '+', lpad(CAST(l_suppkey % 100 AS STRING), 2, '0'))
     WHEN l_orderkey % 3 = 0 AND l_linenumber = 2 THEN '' END AS c1,
