@@ -118,7 +118,7 @@ def smooth_numbers(cells: DataFrame, keys: list[str], order: str, value: str, ki
     good = F.when(F.col(value) != 0, F.col(value))
     left, right = F.last(good, ignorenulls=True).over(before), F.first(good, ignorenulls=True).over(after)
     usual = F.coalesce(F.percentile(value, F.lit(0.5)).over(Window.partitionBy(*keys)), F.lit(4.3 if kind == "depth" else 9.0))
-    filled = F.coalesce(good, F.when(left.isNotNull() & right.isNotNull(), F.round((left + right) / 2, 1 if kind == "depth" else 0)),
+    filled = F.coalesce(good, F.when(left.isNotNull() & right.isNotNull(), F.round(F.round((left + right) / 2, 6), 1 if kind == "depth" else 0)),
                         left, right, usual)
     if kind == "depth":
         return F.when(filled > 15, F.round(filled / 10, 1)).otherwise(filled)

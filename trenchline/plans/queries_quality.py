@@ -114,8 +114,8 @@ w AS (SELECT *, last(d IGNORE NULLS) OVER p AS dl, first(d IGNORE NULLS) OVER f
   coalesce(quantile_cont(depth_ft, 0.5) OVER (PARTITION BY table_id), 4.3) AS dm, coalesce(quantile_cont(boc_ft, 0.5) OVER (PARTITION BY table_id), 9.0) AS bm FROM g
   WINDOW p AS (PARTITION BY table_id ORDER BY row_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
   f AS (PARTITION BY table_id ORDER BY row_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
-x AS (SELECT table_id, row_index, coalesce(d, CASE WHEN dl IS NOT NULL AND dr IS NOT NULL THEN round((dl + dr) / 2, 1) END, dl, dr, dm) AS d,
-  round(coalesce(b, CASE WHEN bl IS NOT NULL AND br IS NOT NULL THEN round((bl + br) / 2) END, bl, br, bm)) AS b FROM w)
+x AS (SELECT table_id, row_index, coalesce(d, CASE WHEN dl IS NOT NULL AND dr IS NOT NULL THEN round(round((dl + dr) / 2, 6), 1) END, dl, dr, dm) AS d,
+  round(coalesce(b, CASE WHEN bl IS NOT NULL AND br IS NOT NULL THEN round(round((bl + br) / 2, 6)) END, bl, br, bm)) AS b FROM w)
 SELECT table_id, row_index, CASE WHEN d > 15 THEN round(d / 10, 1) ELSE d END AS depth_ft,
   CASE WHEN b > 20 THEN CAST(left(CAST(CAST(b AS BIGINT) AS VARCHAR), 1) AS DOUBLE) ELSE b END AS boc_ft FROM x""")
 def smoothed_numbers(spark, sf_dir):
