@@ -167,7 +167,7 @@ def anchor(inputs: DataFrame, cfg: Matching = Matching()) -> DataFrame:
     """Best window per (group, route), combined score and anchored rank."""
     best = best_window("chain", "lats", "lons", "rel", "span_ft", "sheets", "route_sheets", F.lit(cfg.max_projected))
     placed = inputs.where((F.col("total_ft") > 0) & (F.size("chain") >= 2)).withColumn("w", best).select("*", "w.*").drop("w", "lats", "lons")
-    placed = placed.withColumn("combined", F.round(F.least(F.lit(1.0), F.col("score") + F.col("window_score") * cfg.window_weight), 6))
+    placed = placed.withColumn("combined", F.round(F.round(F.least(F.lit(1.0), F.col("score") + F.col("window_score") * cfg.window_weight), 9), 6))
     order = [F.desc("combined"), F.desc("score"), F.asc("route_name"), F.asc("route_id")]
     return placed.withColumn("anchor_rank", F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order)))
 

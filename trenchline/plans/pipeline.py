@@ -1,7 +1,8 @@
 """The main flow: log rows and design routes to groups, matches, as-built tables.
 
-Each step is lazy and takes the tables it needs, so a caller can write any of them out
-between steps (on a cluster the groups, hypotheses and verdicts are worth a table).
+Each step takes the tables it needs.  Tables that several later steps read (catalog,
+groups, anchored hypotheses) are checkpointed to the shared folder: they are computed once,
+and a lost executor does not send the job back to the raw logs.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trenchline.operators import candidates as cand
-from trenchline.operators import gates, grouping, routes, windows
+from trenchline.operators import gates, grouping, ownership, routes, windows
 from trenchline.plans.inputs import view
+from trenchline.session import cut_lineage
 from trenchline.sources.bore_logs import clean_bore_rows
 
 
@@ -39,7 +41,7 @@ class Job:
 
     @property
     def catalog(self) -> DataFrame:
-        return self._once("catalog", lambda: routes.build_catalog(self._vertices, self._meta))
+        return self._once("catalog", lambda: cut_lineage(routes.build_catalog(self._vertices, self._meta)))
 
     @property
     def grouped_rows(self) -> DataFrame:
@@ -49,7 +51,7 @@ class Job:
     def groups(self) -> DataFrame:
         def make():
             summary = grouping.summarise_groups(self.grouped_rows)
-            return grouping.order_keys(cand.sheet_hints(summary, self.index, grouping.GROUP))
+            return cut_lineage(grouping.order_keys(cand.sheet_hints(summary, self.index, grouping.GROUP)))
         return self._once("groups", make)
 
     @property
@@ -62,7 +64,7 @@ class Job:
 
     @property
     def anchored(self) -> DataFrame:
-        return self._once("anchored", lambda: windows.anchor(self.hypothesis_inputs))
+        return self._once("anchored", lambda: cut_lineage(windows.anchor(self.hypothesis_inputs)))
 
     @property
     def neighbours(self) -> DataFrame:
@@ -77,3 +79,12 @@ class Job:
     def evaluated(self) -> DataFrame:
         """Every hypothesis with all gates, its place in the group and its render policy."""
         return self._once("evaluated", lambda: gates.render_policy(gates.choose(gates.group_gates(self.verdicts))))
+
+    @property
+    def claims(self) -> DataFrame:
+        return self._once("claims", lambda: cut_lineage(ownership.claim_inputs(self.evaluated, self.hypothesis_inputs)))
+
+    @property
+    def owned(self) -> DataFrame:
+        """Settled claims: one row per matched group."""
+        return self._once("owned", lambda: ownership.resolve(self.claims))

@@ -86,7 +86,7 @@ _WINDOWS = [
      + CASE WHEN point_count >= 4 THEN 0.08 ELSE 0 END)), 6) AS wbase,
    CASE WHEN len(fr) = 0 THEN 0 ELSE round(greatest(0, 1 - list_min([abs(greatest(0, least((ws + we) / 2, total_ft)) / greatest(total_ft, 1) - f) for f in fr]) / 0.18) * 0.12, 6) END AS bias
    FROM win w JOIN hyp USING ({_K}) JOIN hits USING ({_K}, ws) JOIN npc USING (project_id, route_id))""",
-    f"""wbest AS (SELECT *, round(least(1, score + wscore * 0.35), 6) AS combined FROM (SELECT *, round(least(1, greatest(0, wbase + bias)), 6) AS wscore, count(*) OVER (PARTITION BY {_K}) AS n_windows FROM wsc)
+    f"""wbest AS (SELECT *, round(round(least(1, score + wscore * 0.35), 9), 6) AS combined FROM (SELECT *, round(least(1, greatest(0, wbase + bias)), 6) AS wscore, count(*) OVER (PARTITION BY {_K}) AS n_windows FROM wsc)
    QUALIFY row_number() OVER (PARTITION BY {_K} ORDER BY wscore DESC, bias DESC, abs(abs(we - ws) - span), ws, o) = 1)""",
     """anch AS (SELECT *, row_number() OVER (PARTITION BY project_id, source_file, tokens_key, gid ORDER BY combined DESC, score DESC, route_name, route_id) AS anchor_rank FROM wbest)""",
 ]
