@@ -96,8 +96,14 @@ SELECT concat('p', CAST(floor(doc_id / 100) AS BIGINT)) AS project_id, doc_id,
     '+00 TO STA ', doc_id % 20 + 3, '+50 MATCHLINE STA ', doc_id % 20 + 3, '+50 - SEE SHEET ',
     doc_id % 30 + 2, CASE WHEN doc_id % 4 = 0 THEN ' STA 7+40 = 0+00' ELSE '' END,
     CASE WHEN doc_id % 3 = 0 THEN ' PROP. SPLICE POINT 12' WHEN doc_id % 3 = 1 THEN ' VACANT HDPE'
-      ELSE ' 288CT FIBER OPTIC CABLE' END) AS page_text
+      ELSE ' 288CT FIBER OPTIC CABLE' END, CASE WHEN doc_id % 5 = 0 THEN ' ROCK LEDGE' ELSE '' END) AS page_text
 FROM {documents}""",
+    # named design points at the start of each route
+    "design_points": f"""
+SELECT {_PROJECT.format(key='s_suppkey')} AS project_id, concat('route_', s_suppkey) AS point_id,
+  concat(CASE s_suppkey % 4 WHEN 0 THEN 'SPLICE POINT ' WHEN 1 THEN 'VACANT HDPE ' WHEN 2 THEN 'CABLE ' ELSE 'POLE ' END,
+    s_suppkey) AS name, 'Nodes' AS folder_path
+FROM {{supplier}}""",
     "event_lines": """
 SELECT doc_id AS line_number, concat(CASE doc_id % 6 WHEN 0 THEN 'Rock Adder - STA '
   WHEN 1 THEN 'Coupler at 50 ft from station ' WHEN 2 THEN 'Damage near '

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trenchline.operators import candidates as cand
-from trenchline.operators import gates, grouping, ownership, routes, windows
+from trenchline.operators import coverage, gates, grouping, ownership, routes, windows
 from trenchline.plans.inputs import view
 from trenchline.session import cut_lineage
 from trenchline.sources.bore_logs import clean_bore_rows
@@ -88,3 +88,20 @@ class Job:
     def owned(self) -> DataFrame:
         """Settled claims: one row per matched group."""
         return self._once("owned", lambda: ownership.resolve(self.claims))
+
+    @property
+    def selected(self) -> DataFrame:
+        """The chosen hypothesis of each group."""
+        return self._once("selected", lambda: self.evaluated.where("eval_rank = 1"))
+
+    @property
+    def station_points(self) -> DataFrame:
+        def make():
+            dense = self.catalog.select("project_id", "route_id", F.posexplode(F.arrays_zip("coords", "chain")).alias("idx", "p")).select(
+                "project_id", "route_id", "idx", "p.coords.lat", "p.coords.lon", F.col("p.chain").alias("chain_ft"))
+            return coverage.station_points(self.owned, self.groups, self.catalog, routes.route_segments(dense))
+        return self._once("station_points", make)
+
+    @property
+    def built(self) -> DataFrame:
+        return self._once("built", lambda: coverage.built_segments(self.owned, self.groups, self.catalog))
