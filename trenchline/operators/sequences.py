@@ -43,3 +43,12 @@ def with_last_mark(df: DataFrame, keys: list[str], order: list[str], mark: str,
     inner = df.withColumn("_here", F.last(mark, ignorenulls=True).over(w))
     return (inner.join(carried, [*keys, BLOCK])
             .withColumn(name, F.coalesce("_here", "_carried")).drop("_here", "_carried"))
+
+
+def with_position(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds the row's place (from 0) in its key's order."""
+    inner = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*order)) - 1
+    counts = df.groupBy(*keys, BLOCK).agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, BLOCK, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    return df.withColumn("_at", inner).join(counts, [*keys, BLOCK]).withColumn(name, F.col("_at") + F.col("_base")).drop("_at", "_base")

@@ -87,7 +87,8 @@ SELECT {_PROJECT.format(key='l_suppkey')} AS project_id, concat('route_', l_supp
   CAST((l_partkey * 37) % 7 * 100 + (l_partkey * 13) % 40 AS DOUBLE) AS start_ft,
   CAST((l_partkey * 37) % 7 * 100 + (l_partkey * 13) % 40 AS DOUBLE) + l_quantity / 2 AS end_ft,
   concat('log_', l_orderkey % 5) AS source_file, l_returnflag AS crew,
-  CAST(l_orderkey % 3 AS STRING) AS date, l_orderkey * 10 + l_linenumber AS row_key
+  CAST(l_orderkey % 3 AS STRING) AS date,
+  l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS row_key
 FROM {{lineitem}}""",
     "design_pages": """
 SELECT concat('p', CAST(floor(doc_id / 100) AS BIGINT)) AS project_id, doc_id,

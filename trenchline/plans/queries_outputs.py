@@ -224,14 +224,13 @@ def match_debug(spark, sf_dir):
 
 
 @query("map_export", with_views("route_meta", "bore_rows", then=f"""
-, h AS (SELECT DISTINCT project_id, CASE WHEN route_name LIKE 'House Drop%' THEN 2 ELSE 1 END AS section FROM route_meta),
-b AS (SELECT project_id, CASE WHEN route_name LIKE 'House Drop%' THEN 2 ELSE 1 END AS section, count(*) AS n FROM route_meta GROUP BY 1, 2 UNION ALL SELECT project_id, 4, count(*) FROM bore_rows GROUP BY 1)
+, b AS (SELECT project_id, CASE WHEN route_name LIKE 'House Drop%' THEN 2 ELSE 1 END AS section, count(*) AS n FROM route_meta GROUP BY 1, 2 UNION ALL SELECT project_id, 4, count(*) FROM bore_rows GROUP BY 1 UNION ALL SELECT project_id, 3, count(*) FROM route_meta GROUP BY 1)
 SELECT project_id, section, CAST(n + 2 AS BIGINT) AS n_lines FROM b UNION ALL SELECT DISTINCT project_id, -1, 1 FROM route_meta UNION ALL SELECT DISTINCT project_id, 9, 1 FROM route_meta"""))
 def map_export(spark, sf_dir):
     lines = routes.as_polylines(raw_chain(spark, sf_dir)).join(view(spark, sf_dir, "route_meta"), KEY)
     features = lines.select("project_id", F.lit("line").alias("kind"), F.when(F.startswith("route_name", F.lit("House Drop")), "house_drop").otherwise("x").alias("role"),
                             F.col("route_name").alias("name"), F.col("doc_pos").cast("long").alias("feature_pos"), "coords")
-    runs = features.where("false").select("project_id", F.col("feature_pos").alias("run_no"), "coords", F.lit("").alias("description"))
+    runs = lines.select("project_id", F.col("doc_pos").cast("long").alias("run_no"), F.col("route_id").alias("name"), "coords", F.lit("5 ft deep").alias("description"))
     rows = clean_rows(spark, sf_dir)
     stations = rows.select("project_id", F.xxhash64("source_file", "print", "station").alias("station_no"), "station", F.lit(30.16).alias("lat"), F.lit(-96.4).alias("lon"),
                            F.concat_ws(" ", "crew", "notes").alias("description"))
