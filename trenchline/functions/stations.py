@@ -23,6 +23,7 @@ TEMPLATE = ("OoQD" "Il|" "Ss" "Zz" "B" "," " —-_)([]{}/\\:;'\"",
 # Offsets that make a recognised station certain.
 COMMON_OFFSETS = ("00", "25", "37", "44", "45", "48", "50", "63", "75")
 
+_FINAL = r"^(?:0|[1-9]\d*)\+\d\d$"
 _PLAIN_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -83,15 +84,17 @@ def _read_plus(text: Column) -> Column:
 
 
 def station_strict(value: Column) -> Column:
-    """Typed station: digits each side of the plus sign, or at least three digits."""
-    return _plus_or_split(F.upper(F.trim(value)))
+    """Typed station: digits each side of the plus sign, or at least three digits.
+
+    Text already in final form, nearly all of it, takes the short way.
+    """
+    return F.when(value.rlike(_FINAL), value).otherwise(_plus_or_split(F.upper(F.trim(value))))
 
 
 def station_scan(value: Column) -> Column:
     """Recognised print: O and Q read as 0, I and L as 1, other characters dropped."""
-    return _plus_or_split(
-        F.regexp_replace(F.translate(F.upper(F.trim(value)), "OQIL", "0011"), "[^0-9+]", "")
-    )
+    return F.when(value.rlike(_FINAL), value).otherwise(_plus_or_split(
+        F.regexp_replace(F.translate(F.upper(F.trim(value)), "OQIL", "0011"), "[^0-9+]", "")))
 
 
 def station_handwritten(value: Column) -> Column:
@@ -192,9 +195,9 @@ def _graded(best: Column) -> Column:
 
 def feet_from_station(station: Column) -> Column:
     """`A+B` to A*100+B feet; null when either side is not a number."""
-    return let(F.split(station, r"\+", 2), lambda p: F.when(
-        F.size(p) == 2,
-        F.get(p, F.lit(0)).try_cast("double") * 100 + F.get(p, F.lit(1)).try_cast("double")))
+    left = F.substring_index(station, "+", 1).try_cast("double")
+    right = F.substr(station, F.locate("+", station) + 1).try_cast("double")
+    return F.when(F.contains(station, F.lit("+")), left * 100 + right)
 
 
 def feet_lenient(value: Column) -> Column:

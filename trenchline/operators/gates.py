@@ -143,11 +143,16 @@ def row_gates(checked: DataFrame, links: DataFrame) -> DataFrame:
         "p_stations": F.slice("sources", 1, 25), "n_up": F.coalesce(F.size("up"), F.lit(0)), "n_down": F.coalesce(F.size("down"), F.lit(0)),
         "near_start": F.col("start_ft") <= 15.0, "near_end": (F.col("length_ft") > 0) & (F.round(F.col("length_ft") - F.col("end_ft"), 6) <= 15.0)})
     base = base.withColumn("station_rises", _steps(F.col("p_stations")))
-    pieces = F.size(F.array_distinct("p_piece"))
+    # worked out once here, read by several rules below
+    base = base.withColumns({
+        "n_distinct": F.size(F.array_distinct("p_piece")), "progress_ft": F.array_max("p_route_ft") - F.array_min("p_route_ft"),
+        "rising": F.filter("rises", lambda d: d > 0),
+        "rates": F.filter(F.zip_with("rises", "station_rises", lambda a, b: F.when(b > 0, F.round(a / b, 9))), lambda x: x.isNotNull())})
+    base = base.withColumns({"rise_min": F.round(F.array_min("rising"), 6), "rise_max": F.round(F.array_max("rising"), 6),
+                             "rate_min": F.array_min("rates"), "rate_max": F.array_max("rates")})
+    pieces = F.col("n_distinct")
     thin = (F.round(pieces / F.greatest(n - 1, F.lit(1)), 9) < 0.20) & (F.round(pieces / F.greatest("n_pieces", F.lit(1)), 9) < 0.20)
-    progress = F.array_max("p_route_ft") - F.array_min("p_route_ft")
-    rising = F.filter("rises", lambda d: d > 0)
-    rates = F.filter(F.zip_with("rises", "station_rises", lambda a, b: F.when(b > 0, F.round(a / b, 9))), lambda x: x.isNotNull())
+    progress = F.col("progress_ft")
     length = F.col("length_ft")
 
     def off(value: Column, limit: float) -> Column:
@@ -181,10 +186,10 @@ def row_gates(checked: DataFrame, links: DataFrame) -> DataFrame:
             (n < 3, "insufficient_points_for_continuity", "continuity_insufficient_points"),
             (F.exists("rises", lambda d: d < -0.01), "route_overlap_detected", "continuity_route_overlap_detected"),
             (F.size(F.filter("rises", lambda d: d <= 0.01)) / F.greatest(F.size("rises"), F.lit(1)) > 0.20, "too_many_repeated_steps", "continuity_too_many_repeated_steps"),
-            (F.round(F.array_max(rising), 6) > 80.0, "route_gap_too_large", "continuity_route_gap_too_large"),
-            (F.round(F.array_min(rising), 6) < 5.0, "route_gap_too_small", "continuity_route_gap_too_small"),
-            (F.array_max(rates) > 1.75, "route_station_gap_ratio_too_large", "continuity_route_station_gap_ratio_too_large"),
-            (F.array_min(rates) < 0.25, "route_station_gap_ratio_too_small", "continuity_route_station_gap_ratio_too_small"), ok="continuity_valid"),
+            (F.col("rise_max") > 80.0, "route_gap_too_large", "continuity_route_gap_too_large"),
+            (F.col("rise_min") < 5.0, "route_gap_too_small", "continuity_route_gap_too_small"),
+            (F.col("rate_max") > 1.75, "route_station_gap_ratio_too_large", "continuity_route_station_gap_ratio_too_large"),
+            (F.col("rate_min") < 0.25, "route_station_gap_ratio_too_small", "continuity_route_station_gap_ratio_too_small"), ok="continuity_valid"),
         "g_chain": _verdict(
             (~near, "+chain_valid", ""),
             (n < 3, "insufficient_points_for_chain_validation", "chain_insufficient_points"),
@@ -206,7 +211,9 @@ def row_gates(checked: DataFrame, links: DataFrame) -> DataFrame:
         (F.col("near_start") & (F.col("n_up") == 0), "upstream_node_unresolved", "node_resolution_upstream_unresolved"),
         (F.col("near_end") & unclear("down"), "downstream_node_ambiguous", "node_resolution_downstream_ambiguous"),
         (F.col("near_end") & (F.col("n_down") == 0), "downstream_node_unresolved", "node_resolution_downstream_unresolved"),
-        ok="node_resolution_valid")).drop("rises", "jumps", "station_rises", "p_stations", "up", "down", "sources")
+        ok="node_resolution_valid")).drop(
+        "rises", "jumps", "station_rises", "p_stations", "up", "down", "sources", "n_distinct", "progress_ft", "rising", "rates",
+        "rise_min", "rise_max", "rate_min", "rate_max")
 
 
 _SIDE = "array<struct<node_score:double,distance_ft:double,neighbour:string,type_ok:boolean,angle:double,back:boolean>>"

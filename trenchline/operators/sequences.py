@@ -1,8 +1,9 @@
-"""Neighbour and fill-forward steps over ordered rows of possibly very large keys.
+"""Neighbour, fill-forward and position steps over ordered rows of possibly very large keys.
 
-A plain window puts one key in one task.  Here a key is cut into blocks of its own
-order: windows run per (key, block), and only the first and last rows of blocks are
-compared across blocks.  Both branches read one shared exchange.
+A plain window puts one key in one task.  `split_blocks` counts rows per key first: while
+the largest key fits a task, plain windows are used.  Beyond that the key is cut into
+blocks of its own order: windows run per (key, block), and only the first and last rows of
+blocks are compared across blocks, with all branches reading one shared exchange.
 """
 
 from __future__ import annotations
@@ -11,16 +12,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
+LARGEST_KEY = 2_000_000
 
 
-def split_blocks(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
-    """Rows placed by (key, block), once, for all steps that follow."""
+def split_blocks(df: DataFrame, keys: list[str], block: Column, largest: int = LARGEST_KEY) -> DataFrame:
+    """Rows ready for the steps below; blocks are added only when a key is too large for a task."""
+    heaviest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if heaviest <= largest:
+        return df
     return df.withColumn(BLOCK, block).repartition(*keys, BLOCK)
 
 
 def with_neighbours(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:
     """Adds structs `prev` and `next` with the values of `cols` in the neighbouring rows."""
     values = F.struct(*cols)
+    if BLOCK not in df.columns:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumns({"prev": F.lag(values).over(w), "next": F.lead(values).over(w)})
     w = Window.partitionBy(*keys, BLOCK).orderBy(*order)
     place = F.struct(*order)
     edges = df.groupBy(*keys, BLOCK).agg(F.min_by(values, place).alias("_first"), F.max_by(values, place).alias("_last"))
@@ -34,6 +42,9 @@ def with_neighbours(df: DataFrame, keys: list[str], order: list[str], cols: list
 
 def with_last_mark(df: DataFrame, keys: list[str], order: list[str], mark: str, name: str) -> DataFrame:
     """Adds the latest non-null `mark` at or before each row."""
+    if BLOCK not in df.columns:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.last(mark, ignorenulls=True).over(w))
     w = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     place = F.struct(*order)
     edges = df.where(F.col(mark).isNotNull()).groupBy(*keys, BLOCK).agg(F.max_by(mark, place).alias("_mark"))
@@ -47,6 +58,8 @@ def with_last_mark(df: DataFrame, keys: list[str], order: list[str], mark: str,
 
 def with_position(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
     """Adds the row's place (from 0) in its key's order."""
+    if BLOCK not in df.columns:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
     inner = F.row_number().over(Window.partitionBy(*keys, BLOCK).orderBy(*order)) - 1
     counts = df.groupBy(*keys, BLOCK).agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)

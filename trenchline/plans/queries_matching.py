@@ -234,3 +234,33 @@ def file_runs(spark, sf_dir):
     once = rows.dropDuplicates(["project_id", "source_file", "station"])
     located = routes.locate(once, routes.route_segments(raw_chain(spark, sf_dir)))
     return cand.file_runs(located).select("project_id", "source_file", "route_id", "n_points", F.col("a.at_ft").alias("from_ft"), F.col("z.at_ft").alias("to_ft"), "usable")
+
+
+@query("projected_anchors")
+def projected_anchors(spark, sf_dir):
+    from trenchline.operators.anchors import search_anchors
+
+    return search_anchors(Job.of(spark, sf_dir).hypothesis_inputs).select(
+        *GID, "route_id", "anchor_start_ft", "anchor_end_ft", "anchor_fit", "subsection_score", "anchor_combined", "anchor_method", "n_starts")
+
+
+@query("absolute_anchors", match_sql(*_GROUPS, then=f"""SELECT {_GID_SQL}, 0.0 AS anchor_offset_ft, CASE WHEN span > 0 THEN 0.0 ELSE mn END AS anchored_start_ft, CASE WHEN span > 0 THEN span ELSE mx END AS anchored_end_ft FROM gh"""))
+def absolute_anchors(spark, sf_dir):
+    job = Job.of(spark, sf_dir)
+    keys = job.groups.select("project_id", "group_id", "source_file", "tokens_key", "min_station_ft")
+    return windows.absolute_anchors(job.groups).join(keys, ["project_id", "group_id"]).select(*GID, "anchor_offset_ft", "anchored_start_ft", "anchored_end_ft")
+
+
+@query("spatial_route_pool", match_sql(*_GROUPS, *ROUTES, *_POOL, "rg AS (SELECT project_id, route_id, min(lat) AS a, max(lat) AS b, min(lon) AS c, max(lon) AS d, avg(lat) AS y, avg(lon) AS x FROM dense GROUP BY 1, 2)", then=f"""
+, p AS (SELECT q.*, a, b, c, d, {hav('y', 'x', '30.1605', 'x0')} AS away, b >= 30.16 - 0.00075 AND a <= 30.161 + 0.00075 AND d >= x0 - 0.0005 - 0.00075 AND c <= x0 + 0.0005 + 0.00075 AS touch
+  FROM (SELECT *, -96.40 + CAST(substr(project_id, 2) AS BIGINT) * 0.02 + 0.002 AS x0 FROM pool1) q JOIN rg USING (project_id, route_id)),
+k AS (SELECT *, fits AND (touch OR away <= 700) AS keep FROM p), z AS (SELECT *, bool_or(keep) OVER (PARTITION BY project_id, source_file, tokens_key, gid) AS any_keep FROM k)
+SELECT project_id, source_file, route_id, span AS span_ft, any_keep AS any_kept, round(CASE WHEN any_keep THEN greatest(0, 1 - away / 900) * 0.18 ELSE 0 END, 5) AS spatial_hint, count(*) AS n FROM z WHERE keep OR NOT any_keep GROUP BY 1, 2, 3, 4, 5, 6"""))
+def spatial_route_pool(spark, sf_dir):
+    job = Job.of(spark, sf_dir)
+    x0 = F.lit(-96.40) + F.substring("project_id", 2, 20).cast("long") * 0.02 + 0.002
+    spatial = job.groups.select("project_id", "group_id", F.struct(
+        F.lit(30.16).alias("min_lat"), F.lit(30.161).alias("max_lat"), (x0 - 0.0005).alias("min_lon"), (x0 + 0.0005).alias("max_lon")).alias("box"),
+        F.lit(30.1605).alias("c_lat"), x0.alias("c_lon"))
+    pool = cand.route_pool(job.groups, job.catalog, spatial=spatial)
+    return pool.groupBy("project_id", "source_file", "route_id", "span_ft", "any_kept", F.round("spatial_hint", 5).alias("spatial_hint")).agg(F.count("*").alias("n"))

@@ -15,6 +15,8 @@ def local_session(cpus: int | str = 8, app: str = "trenchline") -> SparkSession:
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        # small local tables still deserve all cores
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TRENCHLINE_DRIVER_MEM", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")

@@ -37,16 +37,25 @@ def _integral(value: Column) -> Column:
     return F.regexp_replace(value.cast("string"), r"^(\d+)\.0+$", "$1")
 
 
+def _amount(df: DataFrame, name: str) -> Column:
+    """Number of a column: as it is when numeric already, else read from its text."""
+    if isinstance(df.schema[name].dataType, T.NumericType):
+        value = F.col(name).cast("double")
+        return F.when(~F.isnan(value), value)
+    return st.number(F.col(name))
+
+
 def clean_bore_rows(raw: DataFrame) -> DataFrame:
     """Typed log rows with a reject reason (null for accepted rows)."""
-    read = raw.withColumn("_read", st.station_strict(_integral(F.col("station"))))
+    text = F.col("station") if isinstance(raw.schema["station"].dataType, T.StringType) else _integral(F.col("station"))
+    read = raw.withColumn("_read", st.station_strict(text))
     return read.select(
         "project_id", "source_file",
         F.col("station").cast("string").alias("station_raw"),
         F.col("_read").alias("station"),
         st.feet_from_station(F.col("_read")).alias("station_ft"),
-        st.number(F.col("depth_ft").cast("string")).alias("depth_ft"),
-        st.number(F.col("boc_ft").cast("string")).alias("boc_ft"),
+        _amount(raw, "depth_ft").alias("depth_ft"),
+        _amount(raw, "boc_ft").alias("boc_ft"),
         _blank_to_empty(F.col("date")).alias("date"),
         _blank_to_empty(F.col("crew")).alias("crew"),
         _blank_to_empty(_integral(F.col("print"))).alias("print"),

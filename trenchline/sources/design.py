@@ -84,8 +84,8 @@ def placemarks(files: DataFrame, every_member: bool = False) -> DataFrame:
                         for row in _document_rows(path, document, len(rows)):
                             rows.append(row)
                 except (ValueError, ElementTree.ParseError, zipfile.BadZipFile) as exc:
-                    rows = [{"path": path, "feature_pos": 0, "error": str(exc)}]
-                yield pd.DataFrame(rows, columns=columns)
+                    rows = [dict.fromkeys(columns) | {"path": path, "feature_pos": 0, "error": str(exc)}]
+                yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     return files.select("path", "content").mapInPandas(parse, PLACEMARKS)
 
