@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trenchline.functions import geo
 from trenchline.functions import text as tx
 from trenchline.functions.stations import feet_from_station, let, station_scan
+from trenchline.operators.sequences import split_blocks, with_neighbours
 from trenchline.sources.bore_logs import scan_page_text
 
 LOG = ["project_id", "source_file"]
@@ -99,17 +100,19 @@ def corridor_edges(segments: DataFrame) -> DataFrame:
 def log_contexts(rows: DataFrame) -> DataFrame:
     """Range, words and station-reset sign of each log; rows come in row_no order.
 
-    The reset sign compares each row with the one before it, per (log, print) so that a very
-    large log is spread.
+    Words are made distinct as rows before they meet per log, so a log carries its
+    vocabulary and never its text.
     """
     words = tx.tokens(F.concat_ws(" ", "notes", "print", "crew", "source_file", "date"))
-    order = Window.partitionBy(*LOG, "print").orderBy("row_no")
-    return (
-        rows.withColumn("_w", words).withColumn("_back", F.col("station_ft") + 1 < F.lag("station_ft").over(order))
-        .groupBy(*LOG).agg(
-            F.min("station_ft").alias("min_ft"), F.max("station_ft").alias("max_ft"), F.max(F.coalesce("_back", F.lit(False))).alias("stations_reset"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("_w")))).alias("words"))
-        .withColumn("span_ft", F.col("max_ft") - F.col("min_ft")))
+    known = (rows.select(*LOG, F.explode(words).alias("word")).distinct()
+             .groupBy(*LOG).agg(F.array_sort(F.collect_list("word")).alias("words")))
+    runs = [*LOG, "print"]
+    near = with_neighbours(split_blocks(rows, runs, F.floor(F.col("row_no") / 100000)), runs, ["row_no"], ["station_ft"])
+    ranges = near.groupBy(*LOG).agg(
+        F.min("station_ft").alias("min_ft"), F.max("station_ft").alias("max_ft"),
+        F.max(F.coalesce(F.col("station_ft") + 1 < F.col("prev.station_ft"), F.lit(False))).alias("stations_reset"))
+    return (ranges.join(known, LOG, "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+            .withColumn("span_ft", F.col("max_ft") - F.col("min_ft")))
 
 
 def match_corridors(logs: DataFrame, segments: DataFrame, keep: int = 8) -> DataFrame:

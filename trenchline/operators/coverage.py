@@ -60,35 +60,41 @@ def with_geometry(segments: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def _islands(df: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Stretches (s, e) that meet within the tolerance as one, their feet and counts summed."""
     w = Window.partitionBy(*keys).orderBy("s")
     reach = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("s") <= F.round(reach + tolerance, 9), 0).otherwise(1)
     return (df.withColumn("new", new).withColumn("part", F.sum("new").over(w)).groupBy(*keys, "part")
-            .agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("part"))
+            .agg(F.min("s").alias("s"), F.max("e").alias("e"), F.sum("raw").alias("raw"), F.sum("n").alias("n")).drop("part"))
 
 
-def merge_intervals(stretches: DataFrame, keys: list[str], tolerance: float = 0.01) -> DataFrame:
-    """Union of stretches per key, bridging gaps up to the tolerance.
+def _merged(stretches: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Union of stretches with the raw feet and count that went into each.
 
     Joining near stretches is associative, so it runs in steps: equal starts combine map-side,
     blocks of the route are merged apart, and only their few results meet per key.
     """
     a, b = F.least("start_ft", "end_ft"), F.greatest("start_ft", "end_ft")
-    distinct = stretches.select(*keys, a.alias("s"), b.alias("e")).where("e > s").groupBy(*keys, "s").agg(F.max("e").alias("e"))
+    distinct = stretches.select(*keys, a.alias("s"), b.alias("e")).where("e > s").groupBy(*keys, "s").agg(
+        F.max("e").alias("e"), F.sum(F.col("e") - F.col("s")).alias("raw"), F.count("*").alias("n"))
     blocks = _islands(distinct.withColumn("block", F.floor(F.col("s") / BLOCK_FT)), [*keys, "block"], tolerance).drop("block")
-    return _islands(blocks, keys, tolerance).select(*keys, F.col("s").alias("start_ft"), F.col("e").alias("end_ft"), (F.col("e") - F.col("s")).alias("length_ft"))
+    return _islands(blocks, keys, tolerance)
+
+
+def merge_intervals(stretches: DataFrame, keys: list[str], tolerance: float = 0.01) -> DataFrame:
+    """Union of stretches per key, bridging gaps up to the tolerance."""
+    return _merged(stretches, keys, tolerance).select(
+        *keys, F.col("s").alias("start_ft"), F.col("e").alias("end_ft"), (F.col("e") - F.col("s")).alias("length_ft"))
 
 
 def coverage(stretches: DataFrame, tolerance: float = Billing().merge_tolerance_ft) -> DataFrame:
-    """Per route: merged intervals, raw and unique feet, and what overlap took away."""
-    merged = merge_intervals(stretches, KEY, tolerance).groupBy(*KEY).agg(
-        F.sort_array(F.collect_list(F.struct(F.round("start_ft", 2).alias("start_ft"), F.round("end_ft", 2).alias("end_ft"), F.round("length_ft", 2).alias("length_ft")))).alias("merged"),
-        F.sum("length_ft").alias("u"))
-    size = F.abs(F.col("end_ft") - F.col("start_ft"))
-    raw = stretches.where(size > 0).groupBy(*KEY).agg(F.sum(size).alias("r"), F.count("*").alias("interval_count"))
-    return raw.join(merged, KEY).select(
-        *KEY, "merged", "interval_count", F.size("merged").alias("merged_count"), F.round("r", 2).alias("raw_length_ft"), F.round("u", 2).alias("unique_length_ft"),
-        F.round(F.greatest(F.lit(0.0), F.round("r", 2) - F.round("u", 2)), 2).alias("overlap_removed_ft"))
+    """Per route: merged intervals, raw and unique feet, and what overlap took away; one pass over the stretches."""
+    item = F.struct(F.round("s", 2).alias("start_ft"), F.round("e", 2).alias("end_ft"), F.round(F.col("e") - F.col("s"), 2).alias("length_ft"))
+    per = _merged(stretches, KEY, tolerance).groupBy(*KEY).agg(
+        F.sort_array(F.collect_list(item)).alias("merged"), F.sum("n").alias("interval_count"), F.round(F.sum("raw"), 2).alias("raw_length_ft"),
+        F.round(F.sum(F.col("e") - F.col("s")), 2).alias("unique_length_ft"))
+    return per.select(*KEY, "merged", "interval_count", F.size("merged").alias("merged_count"), "raw_length_ft", "unique_length_ft",
+                      F.round(F.greatest(F.lit(0.0), F.col("raw_length_ft") - F.col("unique_length_ft")), 2).alias("overlap_removed_ft"))
 
 
 def coverage_totals(covered: DataFrame, catalog: DataFrame, cfg: Billing = Billing()) -> DataFrame:

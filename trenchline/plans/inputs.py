@@ -157,11 +157,11 @@ _LARGE = ("lineitem", "orders", "events", "documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table.  One file of one row group is a single task; such a small scan of a
-    fact table is spread over the cores, while a table of many splits is read as it lies."""
+    """A given table.  A fact table with fewer splits than cores is small: it is spread over
+    the cores first, while a table of many splits is read as it lies."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name in _LARGE and df.rdd.getNumPartitions() * 4 <= cores:
+    if name in _LARGE and df.rdd.getNumPartitions() < cores:
         return df.repartition(cores)
     return df
 
