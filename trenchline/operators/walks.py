@@ -100,7 +100,7 @@ def located_entries(entries: DataFrame, accepted: DataFrame) -> DataFrame:
                                                F.col("last_fix.lat").alias("lat"), F.col("last_fix.lon").alias("lon"))
 
 
-def walk_sessions(walked: DataFrame, entries_located: DataFrame | None = None) -> DataFrame:
+def walk_sessions(walked: DataFrame) -> DataFrame:
     """Start, end and fix count of each walk."""
     return walked.groupBy(*WALK).agg(F.max("t_s").alias("ended_s"), F.count("*").alias("n_fixes"))
 
