@@ -19,26 +19,32 @@ def rows(df):
 
 def test_blocks_equal_plain_windows(spark, monkeypatch):
     data = clean_rows(spark, SF_DIR)
-    plain = rows(quality.deviation_spans(data, LOG))
     real = sequences.split_blocks
-    monkeypatch.setattr(quality, "split_blocks", lambda df, keys, block: real(df, keys, F.floor(F.col("station_ft") / 70), largest=0))
-    assert rows(quality.deviation_spans(data, LOG)) == plain and plain
+    monkeypatch.setattr(quality, "split_blocks", lambda df, keys, block: real(df, keys, F.floor(F.col("station_ft") / 70)))
+    blocked = rows(quality.deviation_spans(data, LOG))
+    monkeypatch.setattr(quality, "split_blocks", lambda df, keys, block: df)
+    assert rows(quality.deviation_spans(data, LOG)) == blocked and blocked
 
 
 def test_walk_blocks(spark, monkeypatch):
     fixes = view(spark, SF_DIR, "gps_fixes").withColumn("t_s", walks.seconds(F.col("ts")))
-    plain = rows(walks.split_walks(fixes, 86400.0).select("event_id", "walk_s"))
-    real = sequences.split_blocks
-    monkeypatch.setattr(walks, "split_blocks", lambda df, keys, block: real(df, keys, block, largest=0))
-    assert rows(walks.split_walks(fixes, 86400.0).select("event_id", "walk_s")) == plain
+    blocked = rows(walks.split_walks(fixes, 86400.0).select("event_id", "walk_s"))
+    monkeypatch.setattr(walks, "split_blocks", lambda df, keys, block: df.withColumn("_block", F.lit(0)).drop("_block"))
+    assert rows(walks.split_walks(fixes, 86400.0).select("event_id", "walk_s")) == blocked
 
 
 def test_positions_across_blocks(spark):
     df = spark.range(50).withColumn("k", F.col("id") % 2)
-    blocked = sequences.split_blocks(df, ["k"], F.floor(F.col("id") / 7), largest=0)
+    blocked = sequences.split_blocks(df, ["k"], F.floor(F.col("id") / 7))
     assert rows(sequences.with_position(blocked, ["k"], ["id"], "n").select("id", "n")) == rows(sequences.with_position(df, ["k"], ["id"], "n").select("id", "n"))
 
 
+def test_rows_without_a_place_stay(spark):
+    df = spark.createDataFrame([("k", None, 1), ("k", 3.0, 2), ("k", 900.0, 3)], "k string, ft double, id long")
+    near = sequences.with_neighbours(sequences.split_blocks(df, ["k"], F.floor(F.col("ft") / 100)), ["k"], ["ft", "id"], ["id"])
+    assert {(r.id, r.prev and r.prev.id, r.next and r.next.id) for r in near.collect()} == {(1, None, 2), (2, 1, 3), (3, 2, None)}
+
+
 @pytest.fixture(scope="module")
 def job(spark):
     return Job.of(spark, SF_DIR)

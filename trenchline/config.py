@@ -37,7 +37,6 @@ class Matching:
     max_length_ratio: float = 3.50
     keep_ranked: int = 8
     keep_anchored: int = 3
-    max_projected: int = 25
     window_weight: float = 0.35
 
 

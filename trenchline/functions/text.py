@@ -201,8 +201,8 @@ def event_offset(value: Column) -> Column:
     )
 
 
-def coordinate_pairs(value: Column) -> Column:
-    """Ordered distinct (lat, lon) pairs in the survey area, whichever order they were written in."""
+def coordinate_pairs(value: Column, lat: tuple[float, float] = (20, 40), lon: tuple[float, float] = (-110, -80)) -> Column:
+    """Ordered distinct (lat, lon) pairs in the given area, whichever order they were written in."""
     first = F.regexp_extract_all(value, F.lit(COORDINATE_PAIR), 1)
     second = F.regexp_extract_all(value, F.lit(COORDINATE_PAIR), 2)
 
@@ -211,7 +211,7 @@ def coordinate_pairs(value: Column) -> Column:
 
     both = F.flatten(F.zip_with(first, second, lambda a, b: F.array(point(a, b), point(b, a))))
     return F.array_distinct(F.filter(
-        both, lambda p: p["lat"].between(20, 40) & p["lon"].between(-110, -80)))
+        both, lambda p: p["lat"].between(*lat) & p["lon"].between(*lon)))
 
 
 def coordinate_text(value: Column) -> Column:

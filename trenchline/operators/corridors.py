@@ -107,7 +107,7 @@ def log_contexts(rows: DataFrame) -> DataFrame:
     known = (rows.select(*LOG, F.explode(words).alias("word")).distinct()
              .groupBy(*LOG).agg(F.array_sort(F.collect_list("word")).alias("words")))
     runs = [*LOG, "print"]
-    near = with_neighbours(split_blocks(rows, runs, F.floor(F.col("row_no") / 100000)), runs, ["row_no"], ["station_ft"])
+    near = with_neighbours(split_blocks(rows, runs, F.floor(F.col("row_no") / 5000)), runs, ["row_no"], ["station_ft"])
     ranges = near.groupBy(*LOG).agg(
         F.min("station_ft").alias("min_ft"), F.max("station_ft").alias("max_ft"),
         F.max(F.coalesce(F.col("station_ft") + 1 < F.col("prev.station_ft"), F.lit(False))).alias("stations_reset"))

@@ -14,6 +14,7 @@ from trenchline.config import ROLE_TRANSITIONS
 from trenchline.functions import geo
 from trenchline.functions.stations import let
 from trenchline.operators.grouping import GROUP
+from trenchline.session import cut_lineage
 
 LINK_FT = 3.0
 NEIGHBOURS = 10
@@ -37,51 +38,98 @@ def _steps(values: Column) -> Column:
     return F.transform(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(1))), lambda v, i: v - F.get(values, i))
 
 
-def endpoint_links(catalog: DataFrame) -> DataFrame:
-    """Route pairs (from, to) where `from` ends within 3 ft of where `to` starts.
+def _places(catalog: DataFrame, index: int) -> DataFrame:
+    """The distinct places where routes start (index 0) or end (-1)."""
+    return catalog.select("project_id", F.element_at("coords", 1 if index == 0 else -1).alias("p")).distinct()
 
-    An equi-join on grid cells, the 3x3 neighbourhood of the start side.  Ends that share
-    one exact place keep the first ids only: they are at one distance, so later ids can
-    never be among the nearest ten of any start.
+
+def _routes_at(catalog: DataFrame, index: int) -> DataFrame:
+    return catalog.select("project_id", "route_id", F.element_at("coords", 1 if index == 0 else -1).alias("p"))
+
+
+def place_links(catalog: DataFrame) -> DataFrame:
+    """Pairs (e, s): a place where routes end within 3 ft of a place where routes start.
+
+    An equi-join of distinct places on grid cells whose width follows the latitude of their
+    row; a start looks as far around as 3 ft reach at its own latitude.
+    """
+    y_deg = 1e-5
+    reach = LINK_FT / geo.FEET_PER_DEG * 1.01
+
+    def width(row: Column) -> Column:
+        return F.lit(y_deg) / F.greatest(F.cos(F.radians(F.abs(row * y_deg))), F.lit(1e-3))
+
+    def cells(low: Column, high: Column, step) -> Column:
+        return F.explode(F.sequence(F.floor(low / step), F.floor(high / step)))
+
+    ends = _places(catalog, -1).withColumnRenamed("p", "e").withColumn("y", F.floor(F.col("e.lat") / y_deg))
+    ends = ends.withColumn("x", F.floor(F.col("e.lon") / width(F.col("y"))))
+    away = reach / F.greatest(F.cos(F.radians(F.abs("s.lat") + reach)), F.lit(1e-4))
+    starts = (_places(catalog, 0).withColumnRenamed("p", "s")
+              .withColumn("y", cells(F.col("s.lat") - reach, F.col("s.lat") + reach, y_deg))
+              .withColumn("x", cells(F.col("s.lon") - away, F.col("s.lon") + away, width(F.col("y")))))
+    distance = geo.haversine_ft(F.col("s.lat"), F.col("s.lon"), F.col("e.lat"), F.col("e.lon"))
+    return (starts.join(ends, ["project_id", "y", "x"]).withColumn("exact_ft", distance).where(F.col("exact_ft") <= LINK_FT)
+            .select("project_id", "e", "s", F.round("exact_ft", 3).alias("distance_ft")))
+
+
+def neighbours(catalog: DataFrame, bearings: DataFrame, keep: int | None = NEIGHBOURS) -> DataFrame:
+    """Per route, its neighbours upstream and downstream: their full numbers `n_up` and `n_down`,
+    and the nearest `keep` a side (all, if None) as arrays with role, turn angle, allowed role
+    step, two-way link and node score.
+
+    Places are linked, not routes: numbers come from counts at places, and only the first
+    `keep` ids of a place are joined with the routes of the other place, so a place where many
+    routes end and start costs routes times `keep`, not routes times routes.
     """
-    y_deg, x_deg = 1e-5, 4e-5
-    ends = catalog.select("project_id", F.col("route_id").alias("from_route"), F.element_at("coords", -1).alias("e"))
-    place = Window.partitionBy("project_id", "e.lat", "e.lon").orderBy("from_route")
-    ends = ends.withColumn("n", F.row_number().over(place)).where(F.col("n") <= NEIGHBOURS + 1).drop("n").withColumns({
-        "y": F.floor(F.col("e.lat") / y_deg), "x": F.floor(F.col("e.lon") / x_deg)})
-    around = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    starts = (catalog.select("project_id", F.col("route_id").alias("to_route"), F.get("coords", F.lit(0)).alias("s"))
-              .withColumn("y", F.explode(F.transform(around, lambda d: F.floor(F.col("s.lat") / y_deg) + d)))
-              .withColumn("x", F.explode(F.transform(around, lambda d: F.floor(F.col("s.lon") / x_deg) + d))))
-    away = geo.haversine_ft(F.col("s.lat"), F.col("s.lon"), F.col("e.lat"), F.col("e.lon"))
-    return (starts.join(ends, ["project_id", "y", "x"]).where(F.col("from_route") != F.col("to_route"))
-            .withColumn("distance_ft", away).where(F.col("distance_ft") <= LINK_FT)
-            .select("project_id", "from_route", "to_route", F.round("distance_ft", 3).alias("distance_ft")))
-
-
-def neighbours(catalog: DataFrame, bearings: DataFrame) -> DataFrame:
-    """Per route, its nearest upstream and downstream neighbours (ten a side) as arrays,
-    each with role, turn angle, allowed role step, two-way link and node score."""
-    links = endpoint_links(catalog)
+    places = cut_lineage(place_links(catalog))
     facts = catalog.select("project_id", "route_id", "route_role").join(bearings, ["project_id", "route_id"])
 
-    def side(own: str, other: str, own_bearing: str, other_bearing: str, name: str) -> DataFrame:
-        mine = Window.partitionBy("project_id", own).orderBy("distance_ft", other)
-        theirs = Window.partitionBy("project_id", other).orderBy("distance_ft", own)
-        near = (links.withColumn("n", F.row_number().over(mine)).withColumn("back", F.row_number().over(theirs) <= NEIGHBOURS)
-                .where(F.col("n") <= NEIGHBOURS))
+    def first_ids(index: int, place: str, name: str) -> DataFrame:
+        at = _routes_at(catalog, index).select("project_id", F.col("p").alias(place), F.col("route_id").alias(name))
+        if keep is None:
+            return at
+        w = Window.partitionBy("project_id", place).orderBy(name)
+        return at.withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep + 1).drop("n")
+
+    def near(own: str, own_index: int, own_place: str, other: str, other_index: int, other_place: str) -> DataFrame:
+        """Each route with its nearest others, ties to the smaller id."""
+        mine = _routes_at(catalog, own_index).select("project_id", F.col("p").alias(own_place), F.col("route_id").alias(own))
+        met = mine.join(places, ["project_id", own_place]).join(first_ids(other_index, other_place, other), ["project_id", other_place]).where(F.col(own) != F.col(other))
+        met = met.select("project_id", own, other, "distance_ft")
+        if keep is None:
+            return met
+        w = Window.partitionBy("project_id", own).orderBy("distance_ft", other)
+        return met.withColumn("n", F.row_number().over(w)).where(F.col("n") <= keep).drop("n")
+
+    def numbers(own: str, own_index: int, own_place: str, other_index: int, other_place: str, name: str) -> DataFrame:
+        """How many others each route has: all routes at linked places, but not itself."""
+        counts = _routes_at(catalog, other_index).groupBy("project_id", F.col("p").alias(other_place)).agg(F.count("*").alias("n"))
+        at_place = places.join(counts, ["project_id", other_place]).groupBy("project_id", own_place).agg(F.sum("n").alias("n"))
+        ends = catalog.select("project_id", "route_id", F.element_at("coords", 1).alias("s"), F.element_at("coords", -1).alias("e"))
+        itself = geo.haversine_ft(F.col("s.lat"), F.col("s.lon"), F.col("e.lat"), F.col("e.lon")) <= LINK_FT
+        return ends.join(at_place, ["project_id", own_place]).select("project_id", "route_id", (F.col("n") - itself.cast("int")).alias(name)).where(F.col(name) > 0)
+
+    up_near = near("to_route", 0, "s", "from_route", -1, "e")
+    down_near = near("from_route", -1, "e", "to_route", 0, "s")
+
+    def side(mine: DataFrame, theirs: DataFrame, own: str, other: str, own_bearing: str, other_bearing: str, name: str) -> DataFrame:
+        back = theirs.select("project_id", "from_route", "to_route", F.lit(True).alias("back"))
         me = facts.select("project_id", F.col("route_id").alias(own), F.col("route_role").alias("own_role"), F.col(own_bearing).alias("own_b"))
         it = facts.select("project_id", F.col("route_id").alias(other), F.col("route_role").alias("role"), F.col(other_bearing).alias("other_b"))
         allowed = F.coalesce(*[F.when(F.col("own_role") == k, F.col("role").isin(*v)) for k, v in ROLE_TRANSITIONS.items()], F.lit(False))
-        full = near.join(me, ["project_id", own]).join(it, ["project_id", other]).withColumns({
-            "type_ok": allowed, "angle": F.round(geo.angle_gap_deg(F.col("own_b"), F.col("other_b")), 3)})
+        full = mine.join(back, ["project_id", "from_route", "to_route"], "left").join(me, ["project_id", own]).join(it, ["project_id", other]).withColumns({
+            "back": F.coalesce("back", F.lit(False)), "type_ok": allowed, "angle": F.round(geo.angle_gap_deg(F.col("own_b"), F.col("other_b")), 3)})
         score = F.round(F.col("angle") + F.col("distance_ft") * 2 + F.when(F.col("type_ok"), 0.0).otherwise(1000.0), 3)
         item = F.struct(score.alias("node_score"), "distance_ft", F.col(other).alias("neighbour"), "type_ok", "angle", "back")
         return full.groupBy("project_id", F.col(own).alias("route_id")).agg(F.sort_array(F.collect_list(item)).alias(name))
 
-    up = side("to_route", "from_route", "start_bearing", "end_bearing", "up")
-    down = side("from_route", "to_route", "end_bearing", "start_bearing", "down")
-    return up.join(down, ["project_id", "route_id"], "full")
+    up = side(up_near, down_near, "to_route", "from_route", "start_bearing", "end_bearing", "up")
+    down = side(down_near, up_near, "from_route", "to_route", "end_bearing", "start_bearing", "down")
+    n_up = numbers("to_route", 0, "s", -1, "e", "n_up")
+    n_down = numbers("from_route", -1, "e", 0, "s", "n_down")
+    key = ["project_id", "route_id"]
+    return up.join(n_up, key).join(down.join(n_down, key), key, "full")
 
 
 def validate(anchored: DataFrame) -> DataFrame:
@@ -140,7 +188,7 @@ def row_gates(checked: DataFrame, links: DataFrame) -> DataFrame:
         F.when((n > 0) & (places < F.greatest(F.lit(3), F.floor(n * 0.65))), "projected_points_clamped")))
     base = checked.join(links, ["project_id", "route_id"], "left").withColumns({
         "billing_reasons": billing, "rises": _steps(F.col("p_route_ft")), "jumps": _steps(F.col("p_piece")),
-        "p_stations": F.slice("sources", 1, 25), "n_up": F.coalesce(F.size("up"), F.lit(0)), "n_down": F.coalesce(F.size("down"), F.lit(0)),
+        "p_stations": F.col("sources"), "n_up": F.coalesce("n_up", F.lit(0)), "n_down": F.coalesce("n_down", F.lit(0)),
         "near_start": F.col("start_ft") <= 15.0, "near_end": (F.col("length_ft") > 0) & (F.round(F.col("length_ft") - F.col("end_ft"), 6) <= 15.0)})
     base = base.withColumn("station_rises", _steps(F.col("p_stations")))
     # worked out once here, read by several rules below

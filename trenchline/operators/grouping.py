@@ -41,6 +41,17 @@ def _fold(rows: Column, cfg: Grouping) -> Column:
         F.transform(rows, lambda r: F.lit(0)))
 
 
+def with_row_keys(rows: DataFrame) -> DataFrame:
+    """Adds row_key, a hash of all columns and of the number of the repeat, so identical rows differ.
+
+    Identical rows are counted first (map-side) and spread again, so many repeats of one row
+    never meet in one task.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    spread = counted.withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), "_n")))
+    return spread.withColumn("row_key", F.xxhash64(*rows.columns, "_nth")).drop("_n", "_nth")
+
+
 def group_rows(rows: DataFrame, cfg: Grouping = Grouping()) -> DataFrame:
     """Adds group_id: rows of one file and print set without a break.
 

@@ -77,23 +77,26 @@ def legs(segments: DataFrame) -> DataFrame:
     return s.withColumn("planar_before", F.coalesce(F.sum("planar_ft").over(w), F.lit(0.0))).where("planar_ft > 0")
 
 
-def snap(points: DataFrame, segments: DataFrame, id_col: str, cfg: Snap = Snap(), max_lat: float = 62.0) -> DataFrame:
+def snap(points: DataFrame, segments: DataFrame, id_col: str, cfg: Snap = Snap()) -> DataFrame:
     """Nearest eligible segment within reach of each point.
 
-    An equi-join on grid cells at least as wide as the reach: legs cover their own cells and
-    the ring around them, a point looks in one cell.  Exact distances decide.
+    An equi-join on grid cells whose width in degrees follows the latitude of their row: legs
+    cover all cells within reach of them, a point looks in one cell.  Exact distances decide.
     """
-    from math import cos, radians
-
     y_deg = cfg.max_distance_ft / geo.FEET_PER_DEG * 1.01
-    x_deg = y_deg / cos(radians(max_lat))
     leg = legs(segments)
 
-    def span(a: str, b: str, deg: float) -> Column:
-        return F.explode(F.sequence(F.floor(F.least(a, b) / deg) - 1, F.floor(F.greatest(a, b) / deg) + 1))
+    def width(row: Column) -> Column:
+        return F.lit(y_deg) / F.greatest(F.cos(F.radians(F.abs(row * y_deg))), F.lit(1e-3))
+
+    def span(low: Column, high: Column, step) -> Column:
+        return F.explode(F.sequence(F.floor(low / step), F.floor(high / step)))
 
-    leg = leg.withColumn("cy", span("a_lat", "b_lat", y_deg)).withColumn("cx", span("a_lon", "b_lon", x_deg))
-    at = points.select("project_id", id_col, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.floor(F.col("lat") / y_deg).alias("cy"), F.floor(F.col("lon") / x_deg).alias("cx"))
+    reach = F.lit(y_deg) / F.greatest(F.cos(F.radians((F.col("a_lat") + F.col("b_lat")) / 2)), F.lit(1e-3))
+    leg = leg.withColumn("cy", span(F.least("a_lat", "b_lat") - y_deg, F.greatest("a_lat", "b_lat") + y_deg, y_deg))
+    leg = leg.withColumn("cx", span(F.least("a_lon", "b_lon") - reach, F.greatest("a_lon", "b_lon") + reach, width(F.col("cy"))))
+    at = points.select("project_id", id_col, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.floor(F.col("lat") / y_deg).alias("cy"))
+    at = at.withColumn("cx", F.floor(F.col("p_lon") / width(F.col("cy"))))
     east = geo.lon_scale((F.col("a_lat") + F.col("b_lat")) / 2)
     bx, by = (F.col("b_lon") - F.col("a_lon")) * east, (F.col("b_lat") - F.col("a_lat")) * geo.FEET_PER_DEG
     px, py = (F.col("p_lon") - F.col("a_lon")) * east, (F.col("p_lat") - F.col("a_lat")) * geo.FEET_PER_DEG

@@ -1,9 +1,9 @@
 """Neighbour, fill-forward and position steps over ordered rows of possibly very large keys.
 
-A plain window puts one key in one task.  `split_blocks` counts rows per key first: while
-the largest key fits a task, plain windows are used.  Beyond that the key is cut into
-blocks of its own order: windows run per (key, block), and only the first and last rows of
-blocks are compared across blocks, with all branches reading one shared exchange.
+A plain window puts one key in one task.  `split_blocks` cuts every key into blocks of its own
+order: windows run per (key, block), and only the first and last rows of blocks are compared
+across blocks, with all branches reading one shared exchange.  Without it, the steps use plain
+windows over the key.
 """
 
 from __future__ import annotations
@@ -12,15 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = "_block"
-LARGEST_KEY = 2_000_000
 
 
-def split_blocks(df: DataFrame, keys: list[str], block: Column, largest: int = LARGEST_KEY) -> DataFrame:
-    """Rows ready for the steps below; blocks are added only when a key is too large for a task."""
-    heaviest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if heaviest <= largest:
-        return df
-    return df.withColumn(BLOCK, block).repartition(*keys, BLOCK)
+def split_blocks(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
+    """Rows ready for the steps below; `block` must not fall along a key's order (nulls come first, as they sort)."""
+    return df.withColumn(BLOCK, F.struct(block.isNotNull().alias("known"), block.alias("block"))).repartition(*keys, BLOCK)
 
 
 def with_neighbours(df: DataFrame, keys: list[str], order: list[str], cols: list[str]) -> DataFrame:

@@ -128,15 +128,15 @@ ANCHOR = T.StructType([
 
 @pandas_udf(ANCHOR)
 def best_window(chain: pd.Series, lat: pd.Series, lon: pd.Series, rel: pd.Series, span: pd.Series, sheets: pd.Series,
-                route_sheets: pd.Series, keep: pd.Series) -> pd.DataFrame:
+                route_sheets: pd.Series) -> pd.DataFrame:
     out = []
-    for c, la, lo, x, s, gs, rs, k in zip(chain, lat, lon, rel, span, sheets, route_sheets, keep):
+    for c, la, lo, x, s, gs, rs in zip(chain, lat, lon, rel, span, sheets, route_sheets):
         line, start, end, kind, score, bias = scored_windows(c, x, s, sheet_fractions(gs, rs))
         best = np.lexsort((start, np.abs(np.abs(end - start) - s), -bias, -score))[0]
-        seg, ratio, piece = line.locate(start[best] + np.asarray(x, dtype=float)[:k])
+        seg, ratio, piece = line.locate(start[best] + np.asarray(x, dtype=float))
         la, lo = np.asarray(la, dtype=float), np.asarray(lo, dtype=float)
         out.append((half_up(start[best], 2), half_up(end[best], 2), "full_route_window" if kind[best] < 0 else TYPES[kind[best]], score[best], bias[best], len(start),
-                    half_up(start[best] + np.asarray(x, dtype=float)[:k], 2), half_up(la[seg] + (la[seg + 1] - la[seg]) * ratio, 8),
+                    half_up(start[best] + np.asarray(x, dtype=float), 2), half_up(la[seg] + (la[seg + 1] - la[seg]) * ratio, 8),
                     half_up(lo[seg] + (lo[seg + 1] - lo[seg]) * ratio, 8), piece, seg, line.n_pieces))
     return pd.DataFrame(out, columns=ANCHOR.names)
 
@@ -165,7 +165,7 @@ def hypothesis_inputs(ranked: DataFrame, groups: DataFrame, catalog: DataFrame,
 
 def anchor(inputs: DataFrame, cfg: Matching = Matching()) -> DataFrame:
     """Best window per (group, route), combined score and anchored rank."""
-    best = best_window("chain", "lats", "lons", "rel", "span_ft", "sheets", "route_sheets", F.lit(cfg.max_projected))
+    best = best_window("chain", "lats", "lons", "rel", "span_ft", "sheets", "route_sheets")
     placed = inputs.where((F.col("total_ft") > 0) & (F.size("chain") >= 2)).withColumn("w", best).select("*", "w.*").drop("w", "lats", "lons")
     placed = placed.withColumn("combined", F.round(F.round(F.least(F.lit(1.0), F.col("score") + F.col("window_score") * cfg.window_weight), 9), 6))
     order = [F.desc("combined"), F.desc("score"), F.asc("route_name"), F.asc("route_id")]

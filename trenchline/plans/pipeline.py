@@ -35,9 +35,9 @@ class Job:
 
     @property
     def rows(self) -> DataFrame:
-        """Accepted log rows with a stable key."""
-        return self._once("rows", lambda: clean_bore_rows(self._raw).where("reject_reason IS NULL")
-                          .drop("reject_reason", "station_raw").withColumn("row_key", F.xxhash64("source_file", "print", "station", "depth_ft", "boc_ft")))
+        """Accepted log rows with a stable key of their own."""
+        return self._once("rows", lambda: grouping.with_row_keys(
+            clean_bore_rows(self._raw).where("reject_reason IS NULL").drop("reject_reason", "station_raw")))
 
     @property
     def catalog(self) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trenchline.operators import gates
+from trenchline.operators import gates, routes
 from trenchline.plans.check_sql import ROUTES, hav
 from trenchline.plans.pipeline import Job
 from trenchline.plans.queries_matching import _GROUPS, _POOL, _WINDOWS, GID, match_sql
@@ -38,7 +38,8 @@ NEIGHBOUR_CTES += [
 SELECT project_id, t AS route_id, 'up' AS side, f AS neighbour, dist AS distance_ft, angle, """ + _ok("to_role", "fr_role") + """ AS type_ok FROM trans
 UNION ALL SELECT project_id, f, 'down', t, dist, angle, """ + _ok("fr_role", "to_role") + """ FROM trans"""))
 def endpoint_neighbours(spark, sf_dir):
-    links = Job.of(spark, sf_dir).neighbours
+    job = Job.of(spark, sf_dir)
+    links = gates.neighbours(job.catalog, routes.terminal_bearings(job.catalog), keep=None)
 
     def side(name):
         return links.select("project_id", "route_id", F.lit(name).alias("side"), F.explode(name).alias("n")).select(
@@ -50,13 +51,13 @@ def endpoint_neighbours(spark, sf_dir):
 _K = "project_id, source_file, tokens_key, gid, route_id"
 _G = "project_id, source_file, tokens_key, gid"
 VERDICT_CTES = [
-    """pp AS (SELECT a.*, unnest(range(0, least(25, len(fts)))) AS pos, ws + unnest(fts[1:25]) - mn AS rf FROM anch a)""",
+    """pp AS (SELECT a.*, unnest(range(0, len(fts))) AS pos, ws + unnest(fts) - mn AS rf FROM anch a)""",
     """pd AS (SELECT *, greatest(1e-12, least(rf, total_ft)) AS d FROM pp)""",
     f"""pj AS (SELECT p.project_id, source_file, tokens_key, gid, p.route_id, list(round(a_lat + (b_lat - a_lat) * (d - start_ft) / (end_ft - start_ft), 8) ORDER BY pos) AS la,
   list(round(a_lon + (b_lon - a_lon) * (d - start_ft) / (end_ft - start_ft), 8) ORDER BY pos) AS lo, list(seg_idx ORDER BY pos) AS sg,
   list(chunk_base + least(n_chunks - 1, CAST(floor((d - start_ft) / (end_ft - start_ft) * n_chunks) AS INT)) ORDER BY pos) AS pc
   FROM pd p ASOF JOIN dseg v ON v.project_id = p.project_id AND v.route_id = p.route_id AND p.d > v.start_ft GROUP BY 1, 2, 3, 4, 5)""",
-    f"""hv AS (SELECT a.*, la, lo, sg, pc, round(we, 2) AS w2, [round(ws + f - mn, 2) for f in fts[1:25]] AS pr, fts[1:25] AS ps,
+    f"""hv AS (SELECT a.*, la, lo, sg, pc, round(we, 2) AS w2, [round(ws + f - mn, 2) for f in fts] AS pr, fts AS ps,
   [round(greatest(0, least(CASE WHEN span > 0 THEN ws + f - mn ELSE f + ws END, total_ft)), 2) for f in fts] AS mp,
   max(CASE WHEN anchor_rank = 1 THEN combined END) OVER g AS c1, max(CASE WHEN anchor_rank = 2 THEN combined END) OVER g AS c2,
   max(CASE WHEN rank = 1 THEN score END) OVER g AS s1, max(CASE WHEN rank = 2 THEN score END) OVER g AS s2,

@@ -100,6 +100,7 @@ def match_sql(*parts: str, then: str) -> str:
 
 
 GROUP_CTES, POOL_CTES, WINDOW_CTES = _GROUPS, _POOL, _WINDOWS
+GROUP_FOLD = [c for c in _GROUPS if c.startswith(("bore_rows ", "kr ", "kn ", "fold "))]
 
 
 @query("bore_groups", match_sql(*_GROUPS, then=f"""SELECT {_GID_SQL}, mx AS max_station_ft, span AS span_ft, n AS row_count, first_print,
@@ -132,7 +133,7 @@ def anchored_windows(spark, sf_dir):
 
 
 @query("projected_points", match_sql(*_GROUPS, *ROUTES, *_POOL, *_WINDOWS, then=f"""
-, pp AS (SELECT a.*, unnest(range(0, least(25, len(fts)))) AS pos, ws + unnest(fts[1:25]) - mn AS rf FROM anch a),
+, pp AS (SELECT a.*, unnest(range(0, len(fts))) AS pos, ws + unnest(fts) - mn AS rf FROM anch a),
 pd AS (SELECT *, greatest(1e-12, least(rf, total_ft)) AS d FROM pp)
 SELECT p.project_id, source_file, tokens_key, mn AS min_station_ft, p.route_id, pos, round(rf, 2) AS route_ft, round(round(a_lat + (b_lat - a_lat) * (d - start_ft) / (end_ft - start_ft), 8), 6) AS lat,
   round(round(a_lon + (b_lon - a_lon) * (d - start_ft) / (end_ft - start_ft), 8), 6) AS lon, seg_idx,

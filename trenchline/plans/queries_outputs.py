@@ -11,6 +11,7 @@ from trenchline.plans.check_sql import RAW, ROUTES, sql
 from trenchline.plans.inputs import cte, view, with_views
 from trenchline.plans.pipeline import Job
 from trenchline.plans.queries_geometry import catalog, r, raw_chain
+from trenchline.plans.queries_matching import GROUP_FOLD, match_sql
 from trenchline.plans.queries_quality import clean_rows
 from trenchline.plans.queries_text import feet_sql
 from trenchline.plans.registry import query
@@ -20,16 +21,16 @@ KEY = routes.KEY
 
 
 def log_stretches(spark, sf_dir):
-    """Each log laid on its own route from the first station on; stretches between rows of a print."""
-    rows = quality.relative_progress(clean_rows(spark, sf_dir), ["project_id", "source_file"]).withColumn(
+    """Each log laid on its own route from the first station on; stretches between rows of a group."""
+    rows = quality.relative_progress(Job.of(spark, sf_dir).grouped_rows, ["project_id", "source_file"]).withColumn(
         "route_id", F.concat(F.lit("route_"), F.element_at(F.split("source_file", "_"), -1)))
-    pairs = quality.pair_spans(rows.select(*KEY, "source_file", "print", "at_ft", "station"), [*KEY, "source_file", "print"], "at_ft", "at_ft")
-    return pairs.where(F.col("reject_reason").isNull() & (F.col("end_ft") - F.col("start_ft") <= 150)).select(*KEY, "source_file", "print", "start_ft", "end_ft")
+    pairs = quality.pair_spans(rows.select(*KEY, "group_id", "at_ft"), [*KEY, "group_id"], "at_ft", "at_ft")
+    return pairs.where(F.col("reject_reason").isNull()).select(*KEY, "start_ft", "end_ft")
 
 
-_STRETCH = [cte("bore_rows"), f"""rw AS (SELECT *, ft - min(ft) OVER (PARTITION BY project_id, source_file) AS rel_ft FROM (SELECT project_id, source_file, print, {feet_sql('station')} AS ft FROM bore_rows))""",
+_STRETCH = [*GROUP_FOLD, """rl AS (SELECT *, ft - min(ft) OVER (PARTITION BY project_id, source_file) AS rel_ft FROM fold)""",
             """st AS (SELECT project_id, concat('route_', split_part(source_file, '_', 3)) AS route_id, rel_ft AS start_ft, nx AS end_ft FROM
-  (SELECT *, lead(rel_ft) OVER (PARTITION BY project_id, source_file, print ORDER BY rel_ft) AS nx FROM rw) WHERE nx IS NOT NULL AND nx <> rel_ft AND nx - rel_ft <= 150)"""]
+  (SELECT *, lead(rel_ft) OVER (PARTITION BY project_id, source_file, tokens_key, gid ORDER BY rel_ft) AS nx FROM rl) WHERE nx IS NOT NULL AND nx <> rel_ft)"""]
 
 
 def _union(src: str, tol: float) -> str:
@@ -38,7 +39,7 @@ def _union(src: str, tol: float) -> str:
 un AS (SELECT project_id, route_id, min(s) AS s, max(e) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY project_id, route_id ORDER BY s, e) AS part FROM mk) GROUP BY project_id, route_id, part)"""
 
 
-@query("coverage_billing", sql(*RAW, *_STRETCH, _union("st", 5), then="""
+@query("coverage_billing", match_sql(*RAW, *_STRETCH, _union("st", 5), then="""
 , tot AS (SELECT project_id, route_id, round(max(end_ft), 2) AS length_ft FROM seg GROUP BY 1, 2),
 cv AS (SELECT project_id, route_id, round(sum(e - s), 2) AS unique_length_ft, count(*) AS merged_count FROM un GROUP BY 1, 2)
 SELECT project_id, route_id, length_ft, coalesce(merged_count, 0) AS merged_count, coalesce(unique_length_ft, 0) AS unique_length_ft,

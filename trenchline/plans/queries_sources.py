@@ -60,7 +60,7 @@ long AS (SELECT sheet_id, row_index, 0 AS col, c0 AS v FROM rows_ UNION ALL SELE
   UNION ALL SELECT sheet_id, row_index, 2, c2 FROM rows_ UNION ALL SELECT sheet_id, row_index, 3, c3 FROM rows_
   UNION ALL SELECT sheet_id, row_index, 4, c4 FROM rows_),
 nth AS (SELECT *, row_number() OVER (PARTITION BY sheet_id, col ORDER BY row_index) AS n FROM long WHERE v IS NOT NULL),
-hits AS (SELECT sheet_id, col FROM nth WHERE n <= 30 GROUP BY 1, 2 HAVING count(*) FILTER (regexp_full_match(trim(v), {_CELL})) >= 2),
+hits AS (SELECT sheet_id, col FROM nth GROUP BY 1, 2 HAVING count(*) FILTER (regexp_full_match(trim(v), {_CELL})) >= 2),
 likes AS (SELECT sheet_id, list(col ORDER BY col) AS cs FROM hits GROUP BY 1),
 named AS (SELECT sheet_id, min(col_index) FILTER (lower(header) = 'to station') AS e FROM heads GROUP BY 1),
 cols AS (SELECT coalesce(n.sheet_id, l.sheet_id) AS sheet_id, CASE WHEN len(cs) >= 2 THEN cs[1] END AS s,
@@ -198,7 +198,7 @@ def file_categories(spark, sf_dir):
 
 @query("issue_log", with_views("issue_reports", then="""
 SELECT fingerprint, count(*) AS n, max(ts) AS last_seen, arg_max(details, (ts, event_id)) AS details, max(event_id) AS last_id
-FROM issue_reports GROUP BY 1 ORDER BY last_seen DESC, fingerprint LIMIT 200"""))
+FROM issue_reports GROUP BY 1"""))
 def issue_log(spark, sf_dir):
     return stores.upsert_issues(view(spark, sf_dir, "issue_reports"))
 
@@ -220,6 +220,20 @@ SELECT station_hash, route_id, source_file, station, concat('img', event_id, '.j
   sha256(concat_ws('|', station_hash, concat('img', event_id, '.jpg'), CAST(event_id AS VARCHAR)))[1:24] AS photo_id
 FROM h WHERE event_id % 3 <> 0 AND (session_id, event_id // 8) IN (SELECT (session_id, up) FROM ok)"""))
 def photo_index(spark, sf_dir):
+    uploads, points = _photo_uploads(spark, sf_dir)
+    return stores.photo_index(stores.accept_photos(uploads), points)
+
+
+@query("photo_uploads", with_views("gps_fixes", then="""
+, u AS (SELECT event_id, concat('img', event_id, '.jpg') AS filename, count(*) OVER (PARTITION BY session_id, event_id // 8) AS n FROM gps_fixes)
+SELECT event_id, CASE WHEN n > 10 THEN 'Upload up to 10 files at a time.' WHEN event_id % 3 = 0 THEN concat(filename, ' is not an image upload.') END AS reject_reason FROM u"""))
+def photo_uploads(spark, sf_dir):
+    uploads, _ = _photo_uploads(spark, sf_dir)
+    return stores.judge_photos(uploads).select(F.col("uploaded_at").cast("long").alias("event_id"), "reject_reason")
+
+
+def _photo_uploads(spark, sf_dir):
+    """Uploaded files, and the located stations they belong to."""
     ft = (F.col("event_id") % 90 * 100).cast("double")
     located = view(spark, sf_dir, "gps_fixes").select(
         "event_id", "session_id", "route_id", F.concat(F.lit("log_"), F.col("session_id") % 10).alias("source_file"),
@@ -230,8 +244,7 @@ def photo_index(spark, sf_dir):
         "station_hash", F.concat_ws("-", F.col("session_id").cast("string"), F.floor(F.col("event_id") / 8).cast("string")).alias("upload_id"),
         F.concat(F.lit("img"), "event_id", F.lit(".jpg")).alias("filename"), F.col("event_id").cast("string").alias("uploaded_at"),
         F.when(F.col("event_id") % 3 == 0, "text/plain").otherwise("image/jpeg").alias("content_type"))
-    points = hashed.select("station_hash", "route_id", "source_file", "station").distinct()
-    return stores.photo_index(stores.accept_photos(uploads), points)
+    return uploads, hashed.select("station_hash", "route_id", "source_file", "station").distinct()
 
 
 @query("intake_audit", with_views("bore_rows", then="""

@@ -133,10 +133,10 @@ _START_LABELS = ("startstation", "beginstation", "fromstation")
 _END_LABELS = ("endstation", "tostation")
 
 
-def form_station_pairs(rows: DataFrame, columns: list[str], look_ahead: int = 6) -> DataFrame:
+def form_station_pairs(rows: DataFrame, columns: list[str]) -> DataFrame:
     """First start/end pair of each form sheet.
 
-    A start label, then the first station within `look_ahead` cells to its right,
+    A start label, then the first station to its right,
     and an end label further right in the same row.  A sheet row is a short array,
     so this needs no self-join; one aggregate picks the first hit per sheet.
     """
@@ -144,7 +144,7 @@ def form_station_pairs(rows: DataFrame, columns: list[str], look_ahead: int = 6)
     keyed = F.transform(cells, lambda c: tx.header_key(c, ""))
 
     def value_after(pos: Column) -> Column:
-        ahead = F.slice(F.col("cells"), pos + 2, F.lit(look_ahead))
+        ahead = F.slice(F.col("cells"), pos + 2, F.size("cells"))
         return F.get(F.filter(ahead, lambda c: c.rlike(_STATION_CELL)), F.lit(0))
 
     def label_positions(names: tuple[str, ...]) -> Column:
@@ -168,21 +168,16 @@ def form_station_pairs(rows: DataFrame, columns: list[str], look_ahead: int = 6)
                     F.lit("form").alias("source_mode")))
 
 
-def station_columns(rows: DataFrame, headers: DataFrame, columns: list[str], sample_rows: int = 30) -> DataFrame:
+def station_columns(rows: DataFrame, headers: DataFrame, columns: list[str]) -> DataFrame:
     """Start and end column of each sheet: by header words, else the first two columns
-    with at least two station-like values among their first non-null cells."""
+    with at least two station-like values."""
     key = tx.header_key(F.col("header"), "")
     named = headers.groupBy("sheet_id").agg(
         F.min(F.when(tx.has(key, *_START_LABELS), F.col("col_index"))).alias("named_start"),
         F.min(F.when(tx.has(key, *_END_LABELS), F.col("col_index"))).alias("named_end"))
     long = rows.select("sheet_id", "row_index", F.posexplode(F.array(*[F.col(c) for c in columns])).alias("col_index", "cell"))
-    first_cells = (
-        long.where(F.col("cell").isNotNull())
-        .withColumn("nth", F.row_number().over(Window.partitionBy("sheet_id", "col_index").orderBy("row_index")))
-        .where(F.col("nth") <= sample_rows)
-    )
     like = (
-        first_cells.groupBy("sheet_id", "col_index")
+        long.where(F.col("cell").isNotNull()).groupBy("sheet_id", "col_index")
         .agg(F.count_if(F.trim("cell").rlike(_STATION_CELL)).alias("hits"))
         .where(F.col("hits") >= 2)
         .groupBy("sheet_id").agg(F.sort_array(F.collect_set("col_index")).alias("like"))

@@ -50,18 +50,16 @@ def audit_append(uploads: DataFrame, path: str) -> None:
     uploads.select("source_file", "date", "crew", "job_name", "print").write.mode("append").parquet(path)
 
 
-def upsert_issues(reports: DataFrame, keep: int = 200) -> DataFrame:
-    """One row per fingerprint with its count and latest details; the newest `keep` of them.
+def upsert_issues(reports: DataFrame, keep: int | None = None) -> DataFrame:
+    """One row per fingerprint with its count and latest details; the newest `keep` of them, or all.
 
     The limit is the log's own size, applied after the aggregate.
     """
     newest = F.struct("ts", "event_id")
-    return (
-        reports.groupBy("fingerprint")
-        .agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"),
-             F.max_by("details", newest).alias("details"), F.max("event_id").alias("last_id"))
-        .orderBy(F.desc("last_seen"), "fingerprint").limit(keep)
-    )
+    log = reports.groupBy("fingerprint").agg(
+        F.count("*").alias("n"), F.max("ts").alias("last_seen"),
+        F.max_by("details", newest).alias("details"), F.max("event_id").alias("last_id"))
+    return log if keep is None else log.orderBy(F.desc("last_seen"), "fingerprint").limit(keep)
 
 
 def newest_issues(reports: DataFrame, keep: int = 200) -> DataFrame:
@@ -76,15 +74,20 @@ def station_identity(route: Column, file: Column, station: Column, mapped_ft: Co
         F.format_string("%.3f", mapped_ft), F.format_string("%.8f", lat), F.format_string("%.8f", lon)), 256)
 
 
-def accept_photos(uploads: DataFrame, per_upload: int = 10) -> DataFrame:
-    """Image uploads of requests with at most `per_upload` files, with their ids."""
+def judge_photos(uploads: DataFrame, per_upload: int = 10) -> DataFrame:
+    """Every uploaded file with its photo_id, or the reason why it is refused."""
     sizes = uploads.groupBy("upload_id").agg(F.count("*").alias("n"))
-    allowed = sizes.where(F.col("n") <= per_upload).select("upload_id")
-    return (
-        uploads.join(allowed, "upload_id", "left_semi")
-        .where(F.startswith(F.lower("content_type"), F.lit("image/")))
-        .withColumn("photo_id", F.left(F.sha2(F.concat_ws("|", "station_hash", "filename", "uploaded_at"), 256), F.lit(24)))
-    )
+    # fixed values: the texts that a refused upload gets
+    reason = F.when(F.col("n") > per_upload, f"Upload up to {per_upload} files at a time.").when(
+        ~F.coalesce(F.lower(F.trim("content_type")), F.lit("")).rlike("^(image/|$)"), F.concat("filename", F.lit(" is not an image upload.")))
+    photo_id = F.left(F.sha2(F.concat_ws("|", "station_hash", "filename", "uploaded_at"), 256), F.lit(24))
+    judged = uploads.join(sizes, "upload_id").withColumn("reject_reason", reason).drop("n")
+    return judged.withColumn("photo_id", F.when(F.col("reject_reason").isNull(), photo_id))
+
+
+def accept_photos(uploads: DataFrame, per_upload: int = 10) -> DataFrame:
+    """The accepted files."""
+    return judge_photos(uploads, per_upload).where(F.col("reject_reason").isNull()).drop("reject_reason")
 
 
 def photo_index(photos: DataFrame, points: DataFrame) -> DataFrame:
