@@ -11,8 +11,9 @@ from trenchline.plans.inputs import cte, view, with_views
 from trenchline.plans.queries_geometry import raw_chain
 from trenchline.plans.queries_text import _SCAN_FROM, _SCAN_TO, feet_sql, number_sql, scan_sql
 from trenchline.plans.registry import query
+from trenchline.session import new_path
 from trenchline.sources import bore_logs as src
-from trenchline.sources import stores
+from trenchline.sources import exports, stores
 
 TABLE = ["table_id"]
 
@@ -73,14 +74,31 @@ def recognised_row_flow(spark, sf_dir):
     return stores.best_of_each(spans.select(*keys, "confidence", "table_id"), keys, "confidence", "table_id").drop("table_id")
 
 
-@query("recognition_summary", "WITH RECURSIVE " + _CELLS + _ARCHIVED + """
+_RECOGNISED = "WITH RECURSIVE " + _CELLS + _ARCHIVED + """
 , j AS (SELECT c.*, r.now AS ft FROM r JOIN cl c USING (table_id, row_index) WHERE now IS NOT NULL AND depth_ft IS NOT NULL AND boc_ft IS NOT NULL),
-p AS (SELECT *, lead(ft) OVER (PARTITION BY table_id ORDER BY row_index) AS nxt FROM j)
-SELECT source_file, count(*) FILTER (ft <> nxt) AS valid_segments, count(*) FILTER (ft = nxt) AS invalid_rows FROM p WHERE nxt IS NOT NULL GROUP BY 1""")
+p AS (SELECT *, lead(ft) OVER (PARTITION BY table_id ORDER BY row_index) AS nxt FROM j),
+recognised AS (SELECT source_file, count(*) FILTER (ft <> nxt) AS valid_segments, count(*) FILTER (ft = nxt) AS invalid_rows FROM p WHERE nxt IS NOT NULL GROUP BY 1)"""
+
+
+@query("recognition_summary", _RECOGNISED + " SELECT * FROM recognised")
 def recognition_summary(spark, sf_dir):
     return quality.file_summary(quality.recognised_rows(cells(spark, sf_dir), TABLE, "row_index", "station_ft"), ["source_file"])
 
 
+@query("recognition_csv", _RECOGNISED + """ SELECT source_file, valid_segments, invalid_rows, valid_segments AS valid_lines, invalid_rows AS invalid_lines FROM recognised""")
+def recognition_csv(spark, sf_dir):
+    """Counts per file as the summary table says, and as the tables of good and refused spans hold them."""
+    spans = quality.recognised_rows(cells(spark, sf_dir), TABLE, "row_index", "station_ft")
+    exports.write_recognition(spans, path := new_path(spark, "recognition"))
+
+    def lines(name, as_):
+        return exports.read_csv(spark, f"{path}/{name}").groupBy("source_file").agg(F.count("*").alias(as_))
+
+    said = exports.read_csv(spark, f"{path}/{exports.SUMMARY}").select("source_file", F.col("valid_segments").cast("long"), F.col("invalid_rows").cast("long"))
+    both = said.join(lines(exports.VALID, "valid_lines"), "source_file", "left").join(lines(exports.INVALID, "invalid_lines"), "source_file", "left")
+    return both.fillna(0, ["valid_lines", "invalid_lines"])
+
+
 _PIECES = ", ".join(f"CASE WHEN length(d) >= {n} THEN CAST({p} AS INT) END" for n in (3, 4, 5) for p in (f"d[1:{n}]", f"d[-{n}:]"))
 _STEPS = "[50, 25, 37, 13, 63, 6, 12, 44, 92]"
 
@@ -168,20 +186,41 @@ def deviation_events(spark, sf_dir):
     return quality.event_rollup(rows, ["project_id", "source_file"])
 
 
-@query("point_flags", "WITH " + _ROWS + """, n AS (SELECT *, lag(ft) OVER w AS pft, lag(depth_ft) OVER w AS pd, lag(boc_ft) OVER w AS pb, row_number() OVER w AS rn FROM br
+_FLAGS = "WITH " + _ROWS + """, n AS (SELECT *, lag(ft) OVER w AS pft, lag(depth_ft) OVER w AS pd, lag(boc_ft) OVER w AS pb, row_number() OVER w AS rn FROM br
   WINDOW w AS (PARTITION BY project_id, source_file, print ORDER BY ft)),
-t AS (SELECT *, coalesce(depth_ft < 3.5, false) AS a, coalesce(round(abs(depth_ft - pd), 6) >= 1.5, false) AS b, coalesce(ft - pft > 100, false) AS c, coalesce(round(abs(boc_ft - pb), 6) >= 4, false) AS d, coalesce(boc_ft > 25, false) AS e FROM n)
-SELECT project_id, source_file, print, station, concat_ws(',', CASE WHEN a THEN 'SHALLOW_DEPTH' END, CASE WHEN b THEN 'DEPTH_JUMP' END, CASE WHEN c THEN 'STATION_GAP' END, CASE WHEN d THEN 'BOC_JUMP' END,
+t AS (SELECT *, coalesce(depth_ft < 3.5, false) AS a, coalesce(round(abs(depth_ft - pd), 6) >= 1.5, false) AS b, coalesce(ft - pft > 100, false) AS c, coalesce(round(abs(boc_ft - pb), 6) >= 4, false) AS d, coalesce(boc_ft > 25, false) AS e FROM n),
+flagged AS (SELECT project_id, source_file, print, station, concat_ws(',', CASE WHEN a THEN 'SHALLOW_DEPTH' END, CASE WHEN b THEN 'DEPTH_JUMP' END, CASE WHEN c THEN 'STATION_GAP' END, CASE WHEN d THEN 'BOC_JUMP' END,
   CASE WHEN e THEN 'OFF_ROUTE' END, CASE WHEN a AND (b OR d) THEN 'HIGH_RISK' END) AS flags,
   concat_ws(',', CASE WHEN a THEN 'Shallow Depth' END, CASE WHEN b THEN 'Depth Change' END, CASE WHEN c THEN 'Station Gap' END, CASE WHEN d THEN 'Rod Change' END,
   CASE WHEN e THEN 'Off Route' END, CASE WHEN a AND (b OR d) THEN 'High Risk' END) AS labels,
-  CASE WHEN a AND (b OR d) THEN 'red' WHEN a OR b OR c OR d THEN 'orange' WHEN e THEN 'yellow' ELSE 'green' END AS colour FROM t""")
+  CASE WHEN a AND (b OR d) THEN 'red' WHEN a OR b OR c OR d THEN 'orange' WHEN e THEN 'yellow' ELSE 'green' END AS colour FROM t)"""
+
+
+@query("point_flags", _FLAGS + " SELECT * FROM flagged")
 def point_flags(spark, sf_dir):
     rows = clean_rows(spark, sf_dir).withColumns({"offset_ft": F.col("boc_ft"), "wrong_street": F.lit(False), "row_no": F.col("station_ft")})
     return quality.point_flags(rows, LOG).select(
         *LOG, "station", F.array_join("flags", ",").alias("flags"), F.array_join("labels", ",").alias("labels"), "colour")
 
 
+@query("qa_point_features", _FLAGS + """ SELECT project_id, 'Feature' AS feature_type, 'Point' AS geometry_type, station, CASE WHEN flags = '' THEN 0 ELSE len(string_split(flags, ',')) END AS n_flags,
+  colour AS qa_color, '[-96.4,30.16]' AS coordinates, count(*) AS n FROM flagged GROUP BY ALL""")
+def qa_point_features(spark, sf_dir):
+    """Judged rows as map features, written as text and read again."""
+    rows = clean_rows(spark, sf_dir).withColumns({"offset_ft": F.col("boc_ft"), "wrong_street": F.lit(False), "row_no": F.col("station_ft")})
+    judged = quality.point_flags(rows, LOG).withColumns({"display_flags": F.col("labels"), "qa_color": F.col("colour"), "lat": F.lit(30.16), "lon": F.lit(-96.4)})
+    features = exports.point_features(judged, ["station", "depth_ft", "flags", "display_flags", "qa_color"])
+    exports.write_features(features, path := new_path(spark, "features"))
+    text = spark.read.text(path)
+
+    def part(path_: str):
+        return F.get_json_object("value", path_)
+
+    return text.groupBy("project_id", part("$.type").alias("feature_type"), part("$.geometry.type").alias("geometry_type"), part("$.properties.station").alias("station"),
+                        F.json_array_length(part("$.properties.flags")).alias("n_flags"), part("$.properties.qa_color").alias("qa_color"),
+                        part("$.geometry.coordinates").alias("coordinates")).agg(F.count("*").alias("n"))
+
+
 @query("wrong_street", sql(*RAW, cte("gps_fixes"), then="""
 , s AS (SELECT f.event_id, f.accuracy_m * 4 AS off, event_id % 360 AS heading, seg.*, f.lat AS plat, f.lon AS plon, 364000.0 * cos(radians((a_lat + b_lat) / 2)) AS e FROM gps_fixes f JOIN seg USING (project_id, route_id)),
 t AS (SELECT *, least(greatest(((plon - a_lon) * (b_lon - a_lon) * e * e + (plat - a_lat) * (b_lat - a_lat) * 364000.0 * 364000.0) / (pow((b_lon - a_lon) * e, 2) + pow((b_lat - a_lat) * 364000.0, 2)), 0), 1) AS k FROM s),

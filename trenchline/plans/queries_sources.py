@@ -8,8 +8,9 @@ from trenchline.functions import text as tx
 from trenchline.plans.inputs import table, view, with_views
 from trenchline.plans.queries_text import feet_sql, first_number_sql, number_sql, strict_sql, two_digit_sql
 from trenchline.plans.registry import query
+from trenchline.session import new_path
 from trenchline.sources import bore_logs as src
-from trenchline.sources import stores
+from trenchline.sources import exports, stores
 
 
 @query("bore_log_scan", with_views("bore_rows", then=f"""
@@ -120,6 +121,14 @@ def saved_rows_append(spark, sf_dir):
     return stores.append_rows(good, good, replace=False)
 
 
+@query("saved_rows_csv", _CSV_BASE + """SELECT station, depth, boc, count(*) AS n FROM c WHERE reject_reason IS NULL GROUP BY 1, 2, 3""")
+def saved_rows_csv(spark, sf_dir):
+    """Saved rows as written to CSV and read again."""
+    good = src.parse_csv_lines(view(spark, sf_dir, "text_rows")).where("reject_reason IS NULL")
+    exports.write_saved_rows(good, path := new_path(spark, "saved_rows"))
+    return exports.read_csv(spark, path).groupBy(*exports.SAVED_COLUMNS).agg(F.count("*").alias("n"))
+
+
 @query("replace_by_source", with_views("bore_rows", then="""
 SELECT project_id, source_file, print, station, CASE WHEN source_file LIKE 'zone0%' THEN 'revised' ELSE notes END AS notes
 FROM bore_rows"""))
@@ -248,8 +257,11 @@ def _photo_uploads(spark, sf_dir):
 
 
 @query("intake_audit", with_views("bore_rows", then="""
-SELECT project_id, source_file, crew, count(*) AS n_rows, count(DISTINCT print) AS n_prints FROM bore_rows GROUP BY 1, 2, 3"""))
+SELECT source_file, date, crew, project_id AS job_name, print, 2 * count(*) AS n_uploads FROM bore_rows GROUP BY ALL"""))
 def intake_audit(spark, sf_dir):
-    rows = view(spark, sf_dir, "bore_rows")
-    return rows.groupBy("project_id", "source_file", "crew").agg(
-        F.count("*").alias("n_rows"), F.countDistinct("print").alias("n_prints"))
+    """The audit table after two appends of all uploads."""
+    uploads = view(spark, sf_dir, "bore_rows").withColumnRenamed("project_id", "job_name")
+    path = new_path(spark, "audit")
+    for _ in range(2):
+        stores.audit_append(uploads, path)
+    return spark.read.parquet(path).groupBy("source_file", "date", "crew", "job_name", "print").agg(F.count("*").alias("n_uploads"))
