@@ -120,6 +120,16 @@ def billing(feet: Column, cfg: Billing = Billing()) -> list[Column]:
     return [money(cfg.material_rate, "material_total"), money(cfg.splicing_rate, "splicing_total"), money(cfg.material_rate + cfg.splicing_rate, "grand_total")]
 
 
+def active_coverage(intervals: DataFrame, active: DataFrame, tolerance: float = Billing().merge_tolerance_ft) -> DataFrame:
+    """Coverage of each project's active route alone."""
+    own = intervals.join(active.select("project_id", "route_id"), ["project_id", "route_id"], "left_semi")
+    covered = coverage(own, tolerance).select("project_id", "route_id", "merged_count", "unique_length_ft")
+    feet = F.coalesce("unique_length_ft", F.lit(0.0))
+    share = F.when(F.col("length_ft") > 0, F.round(F.round(feet / F.col("length_ft") * 100, 8), 2)).otherwise(0.0)
+    return active.join(covered, ["project_id", "route_id"], "left").select(
+        "project_id", "route_id", "length_ft", F.coalesce("merged_count", F.lit(0)).alias("merged_count"), feet.alias("unique_length_ft"), share.alias("completion_pct"))
+
+
 def design_length(catalog: DataFrame) -> DataFrame:
     """Feet of distinct routes per project."""
     return catalog.groupBy(*KEY).agg(F.first("length_ft").alias("length_ft")).groupBy("project_id").agg(F.round(F.sum(F.greatest(F.lit(0.0), F.col("length_ft"))), 2).alias("design_ft"))

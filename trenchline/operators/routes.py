@@ -95,6 +95,23 @@ def default_routes(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("project_id").agg(best.alias("r")).select("project_id", "r.*")
 
 
+def active_routes(catalog: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The active route of each project: the chosen one (ids compared without outer blanks), else the longest.
+
+    `chosen` has project_id and route_id.  A route without geometry gets that of the first
+    catalog entry that has one.
+    """
+    asked = chosen.select("project_id", F.trim("route_id").alias("asked"))
+    facts = F.struct("route_id", "route_name", "length_ft", "coords")
+    drawn = F.size("coords") >= 2
+    picked = catalog.join(asked, "project_id", "left").groupBy("project_id").agg(
+        F.min_by(facts, F.when(F.trim("route_id") == F.col("asked"), F.col("catalog_rank"))).alias("own"),
+        F.min_by(facts, "catalog_rank").alias("longest"), F.min_by(F.when(drawn, F.col("coords")), F.when(drawn, F.col("doc_pos"))).alias("first_coords"))
+    r = F.coalesce("own", "longest")
+    return picked.select("project_id", r["route_id"].alias("route_id"), r["route_name"].alias("route_name"), r["length_ft"].alias("length_ft"),
+                         F.when(F.size(r["coords"]) >= 2, r["coords"]).otherwise(F.col("first_coords")).alias("coords"))
+
+
 def simple_routes(vertices: DataFrame, min_points: int = 3, min_station: int = 50) -> DataFrame:
     """Simple list: whole-foot end station; short or two-point lines left out."""
     metres = Window.partitionBy(*KEY).orderBy("idx")

@@ -67,6 +67,32 @@ def route_coverage(spark, sf_dir):
     return cov.coverage(view(spark, sf_dir, "built")).drop("merged")
 
 
+_ACTIVE = """chosen AS (SELECT project_id, CASE WHEN no % 2 = 0 THEN concat(' route_', no * 10 + 3, ' ') ELSE 'none' END AS route_id
+  FROM (SELECT DISTINCT project_id, CAST(substr(project_id, 2) AS BIGINT) AS no FROM catalog_)),
+active AS (SELECT project_id, arg_min(c.route_id, (c.route_id <> coalesce(trim(h.route_id), ''), catalog_rank)) AS route_id FROM catalog_ c LEFT JOIN chosen h USING (project_id) GROUP BY 1)"""
+
+
+def _active(spark, sf_dir):
+    lines = catalog(spark, sf_dir)
+    no = F.substring("project_id", 2, 20).cast("long")
+    chosen = lines.select("project_id").distinct().withColumn(
+        "route_id", F.when(no % 2 == 0, F.concat(F.lit(" route_"), (no * 10 + 3).cast("string"), F.lit(" "))).otherwise("none"))
+    return routes.active_routes(lines, chosen)
+
+
+@query("active_routes", sql(*ROUTES, _ACTIVE, then="SELECT project_id, route_id, route_name, length_ft, point_count FROM active JOIN catalog_ USING (project_id, route_id)"))
+def active_routes(spark, sf_dir):
+    return _active(spark, sf_dir).select("project_id", "route_id", "route_name", "length_ft", F.size("coords").alias("point_count"))
+
+
+@query("active_route_coverage", sql(*ROUTES, cte("built"), _ACTIVE, _union("built", 5.0), then="""
+, cv AS (SELECT project_id, route_id, count(*) AS m, round(sum(e - s), 2) AS u FROM un GROUP BY 1, 2)
+SELECT project_id, route_id, length_ft, coalesce(m, 0) AS merged_count, coalesce(u, 0) AS unique_length_ft, round(round(coalesce(u, 0) / length_ft * 100, 8), 2) AS completion_pct
+FROM active JOIN catalog_ USING (project_id, route_id) LEFT JOIN cv USING (project_id, route_id)"""))
+def active_route_coverage(spark, sf_dir):
+    return cov.active_coverage(view(spark, sf_dir, "built"), _active(spark, sf_dir))
+
+
 @query("project_coverage", sql(*ROUTES, cte("built"), _union("built", 5.0), then="""
 , rawc AS (SELECT project_id, route_id, count(*) AS n, round(sum(abs(end_ft - start_ft)), 2) AS r FROM built WHERE end_ft <> start_ft GROUP BY 1, 2), u AS (SELECT project_id, route_id, count(*) AS m, round(sum(e - s), 2) AS u FROM un GROUP BY 1, 2),
 p AS (SELECT project_id, sum(n) AS n, sum(m) AS m, round(sum(r), 2) AS r, round(sum(u), 2) AS u, sum(length_ft) AS d FROM rawc JOIN u USING (project_id, route_id) JOIN catalog_ USING (project_id, route_id) GROUP BY 1),
