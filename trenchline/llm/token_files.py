@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import public_tokenizers
@@ -36,12 +37,18 @@ from trenchline.llm.tables import new_path, text_slices, worker_state
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 500_000
+PARTING, TOGETHER = "\r", 2000
+SIGNS = ".,;:!?#$%&*|()\"'"
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 32 << 20, 256 << 10, 1 << 20
 
 
 class StretchEncoder:
-    """The library's ids of whole texts, by way of the stretches between single spaces."""
+    """The library's ids of whole texts, by way of the stretches between single spaces.
+
+    New stretches are encoded together, a carriage return between them: it is a match and a
+    token of its own there, so its id parts the result again.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,29 +57,63 @@ class StretchEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[str, bytes | None] = {}
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, stretches: list[str]) -> None:
-        if len(self.known) > CACHE_ENTRIES:
-            self.known.clear()
+        self.tails: dict[str, bytes] = {}
+        self.parting = self.whole(PARTING)
+        if len(self.parting) != 1:
+            raise ValueError(f"{path} has no token of its own for a carriage return")
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def together(self, stretches: list[str]) -> list[bytes]:
+        if not stretches:
+            return []
+        ids = self.whole(PARTING.join(stretches))
+        ends = [*(4 * np.flatnonzero(ids == self.parting)).tolist(), 4 * len(ids)]
+        raw, starts = ids.tobytes(), [0, *(e + 4 for e in ends[:-1])]
+        return [raw[i:j] for i, j in zip(starts, ends, strict=True)]
+
+    def learn(self, stretches: Iterable[str]) -> None:
+        """Put new stretches into the cache; the signs that end a word are encoded apart, as the pattern parts them."""
+        known, tails, need, joined = self.known, self.tails, set(), []
+        for x in stretches:
+            word = x.rstrip(SIGNS)
+            if len(word) < len(x) and word and word[-1].isalpha():
+                joined.append((x, word, x[len(word):]))
+                if word not in known:
+                    need.add(word)
+            else:
+                need.add(x)
+        new_tails = list({t for _, _, t in joined}.difference(tails))
+        tails.update(zip(new_tails, self.together(new_tails), strict=True))
         # a stretch that is empty or has white space at an end was not cut at a safe place
-        fair = [x for x in stretches if x and not x[0].isspace() and not x[-1].isspace()]
-        self.known.update(dict.fromkeys(stretches))
-        self.known.update(zip(fair, self.encoded([" " + x for x in fair]), strict=True))
-
-    def ids(self, text: str) -> bytes:
-        first, *rest = text.split(" ")
-        if not rest or not first or first[0].isspace() or first[-1].isspace():
-            return self.encoded([text])[0]
-        new = set(rest).difference(self.known)
-        if new:
-            self.learn(list(new))
-        try:
-            return self.encoded([first])[0] + b"".join(map(self.known.__getitem__, rest))
-        except (TypeError, KeyError):  # some stretch has white space beside its space, or was forgotten
-            return self.encoded([text])[0]
+        fair = [x for x in need if x and not x[0].isspace() and not x[-1].isspace() and PARTING not in x]
+        if len(fair) < len(need):
+            known.update(dict.fromkeys(need))
+        for i in range(0, len(fair), TOGETHER):
+            part = fair[i:i + TOGETHER]
+            known.update(zip(part, self.together([" " + x for x in part]), strict=True))
+        for x, word, tail in joined:
+            first = known[word]
+            known[x] = None if first is None else first + tails[tail]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text."""
+        cut = [x.split(" ") for x in texts]
+        new = set().union(*(x[1:] for x in cut)).difference(self.known)
+        if new and len(self.known) + len(new) > CACHE_ENTRIES:
+            self.known.clear()
+            self.tails.clear()
+            new = set().union(*(x[1:] for x in cut))
+        self.learn(new)
+        fair = [i for i, x in enumerate(cut) if x[0] and not x[0][-1].isspace() and PARTING not in x[0]]
+        heads = dict(zip(fair, self.together([cut[i][0] for i in fair]), strict=True))
+        out, known = [], self.known.__getitem__
+        for i, (text, (_, *rest)) in enumerate(zip(texts, cut, strict=True)):
+            tail = list(map(known, rest))
+            whole = i not in heads or None in tail
+            out.append(self.whole(text).tobytes() if whole else heads[i] + b"".join(tail))
+        return out
 
 
 def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, end_id: int = END_ID) -> None:
@@ -80,8 +121,8 @@ def write_tokens(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     def run(batches):
         coder = worker_state(("tokenizers", vocabulary), lambda: StretchEncoder(vocabulary))
         end, start = np.asarray([end_id], "<u4").tobytes(), 0
-        for part in text_slices(batches, "text"):
-            rows = [coder.ids(x or "") + end for x in part["text"].to_pylist()]
+        for part in text_slices(batches, "text", 2_000_000):
+            rows = [x + end for x in coder.ids(part["text"].fill_null("").to_pylist())]
             offsets = np.cumsum([0, *(len(x) // 4 for x in rows)])
             ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4")))
             yield pa.RecordBatch.from_arrays(
