@@ -11,11 +11,13 @@ places are filled are never drawn, so a document costs its shingles plus the sig
 their product.  Documents with an unfilled place are drawn again with twice the limit.
 
 Equal signatures over a band make a bucket.  Equal multisets are one node from the start.  In
-every bucket all nodes are held against one leader first (the node that shares the most bucket
-places, as the original of a group of copies does); verified links join nodes into classes.
-Rounds then hold ever more further leaders against the nodes of other classes, until every
-pair of a bucket either is in one class or was compared: a large group of near copies costs a
-star, not all pairs, and no link is lost.  Verification is the exact multiset overlap.
+every bucket all nodes are held against one leader (the node that shares the most bucket
+places, as the original of a group of copies does); verified links join nodes into classes,
+so a large group of near copies costs a star, not all pairs.  What is left are buckets that
+hold several classes.  Their nodes are compared by prefix filtering: two multisets can only be
+similar if they share one of their rarest shingles, so texts that have a common passage or
+boilerplate alone never meet, and no link between nodes of open buckets is lost.
+Verification is the exact multiset overlap.
 
 Defined results
 * Texts of one to four words are one shingle of all their words; null and empty texts have
@@ -187,44 +189,97 @@ def verified(pairs: DataFrame, tokens: DataFrame, similarity: float) -> DataFram
     return both.where(shared >= similarity * union).select("a", "b")
 
 
-def leaders_of(members: DataFrame, last: int) -> DataFrame:
-    """The `last` most central nodes of each bucket; tasks keep that many of a bucket before anything shuffles."""
-    central = Window.partitionBy("bucket").orderBy(F.desc("ties"), "node")
-    return members.withColumn("place", F.row_number().over(central)).where(F.col("place") <= last)
+def closeness(a: str, b: str, similarity: float) -> F.Column:
+    """Multisets whose sizes differ by more than the similarity allows cannot be similar."""
+    return F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def proposals(members: DataFrame, first: int, last: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of leaders `first` to `last` of a bucket with the less central nodes of other classes."""
-    leaders = stored(leaders_of(members, last).where(F.col("place") >= first).select(
-        "bucket", *(F.col(c).alias(f"l_{c}") for c in ("node", "weight", "ties", "root"))), "leaders")
-    after = (F.col("ties") < F.col("l_ties")) | (F.col("ties") == F.col("l_ties")) & (F.col("node") > F.col("l_node"))
-    close = F.least("weight", "l_weight") >= similarity * F.greatest("weight", "l_weight")
-    met = members.join(leaders, "bucket").where(after & close & (F.col("root") != F.col("l_root")))
-    return met.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
+def ordered_pairs(met: DataFrame, a: str, b: str) -> DataFrame:
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def star_pairs(members: DataFrame, similarity: float) -> DataFrame:
+    """Every node of a bucket with the bucket's most central node, unless they are one class.
+
+    The most central one is found by an aggregate, which combines in each task first.
+    """
+    place = F.struct("ties", "node", "weight", "root")
+    leaders = stored(members.groupBy("bucket").agg(F.max(place).alias("leader")).select(
+        "bucket", *(F.col(f"leader.{c}").alias(f"l_{c}") for c in ("node", "weight", "root"))), "leaders")
+    met = members.join(leaders, "bucket").where((F.col("root") != F.col("l_root")) & closeness("weight", "l_weight", similarity))
+    return ordered_pairs(met, "node", "l_node")
+
+
+def open_members(members: DataFrame) -> DataFrame:
+    """The rows of buckets whose nodes are not one class."""
+    several = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
+    return members.join(several, "bucket", "left_semi")
+
+
+def prefix_pairs(nodes: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of different classes that can be similar: they share one of their rarest tokens.
+
+    Two multisets of weights v and w are similar if they share at least t = s/(1 + s) (v + w)
+    tokens, so one token is among the v - t + 1 rarest of the one and the w - t + 1 rarest of
+    the other.  Tokens of one node alone come first and match nothing, so only how many there
+    are matters: a text with too many shingles of its own meets none.  For each token, nodes of
+    its most frequent class meet the nodes of other classes but not each other.
+    """
+    each = nodes.join(tokens, "node").select("node", "root", "weight", F.explode("tokens").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("df > 1")
+    rare_first = Window.partitionBy("node").orderBy("df", "token")
+    shared = each.join(common, "token").withColumns({"nth": F.row_number().over(rare_first), "n": F.count("*").over(Window.partitionBy("node"))})
+    place = F.col("weight") - F.col("n") + F.col("nth")  # among all tokens of the node
+    # the other node may be as small as the similarity allows
+    reach = F.col("weight") - F.ceil(F.round(similarity * F.col("weight"), 6)) + 1
+    rows = shared.withColumn("place", place).where((F.col("place") <= reach) & (F.col("low") != F.col("high")))
+    rows = stored(rows.select("token", "node", "root", "weight", "place"), "prefixes")
+    largest = rows.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("largest"))
+    minor = stored(rows.join(largest, "token").where(F.col("root") != F.col("largest")).select(
+        "token", *(F.col(c).alias(f"l_{c}") for c in ("node", "root", "weight", "place"))), "minor")
+    least = F.ceil(F.round(similarity / (1 + similarity) * (F.col("weight") + F.col("l_weight")), 6))
+    early = (F.col("place") <= F.col("weight") - least + 1) & (F.col("l_place") <= F.col("l_weight") - least + 1)
+    met = rows.join(minor, "token").where((F.col("root") != F.col("l_root")) & closeness("weight", "l_weight", similarity) & early)
+    return ordered_pairs(met, "node", "l_node")
+
+
+def merged_roots(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node and root after further links; only classes that the links join are worked on."""
+    if roots is None:
+        return stored(components(links), "roots")
+    for side in ("a", "b"):
+        own = roots.select(F.col("node").alias(side), F.col("root").alias("_root"))
+        links = links.join(own, side, "left").withColumn(side, F.coalesce("_root", side)).drop("_root")
+    joined = stored(components(links), "joined").select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    old = roots.join(joined, "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+    new = joined.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("_new").alias("root"))
+    return stored(old.unionByName(new), "roots")
 
 
 def classes_of(members: DataFrame, tokens_for, similarity: float) -> DataFrame | None:
-    """node and root of all nodes with a link; members: bucket, node, weight, n (nodes in the bucket), ties."""
-    links = tested = tokens = roots = None
+    """node and root of all nodes with a link; members: bucket, node, weight, ties."""
+    tokens = roots = None
     members = members.withColumn("root", F.col("node"))
-    first, last = 1, 1
-    while not members.isEmpty():
-        pairs = proposals(members, first, last, similarity)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not pairs.isEmpty():
-            tokens = tokens_for(pairs, tokens)
-            found = stored(verified(pairs, tokens, similarity), "pair_links")
-            links = found if links is None else links.unionByName(found)
-            roots = stored(components(links), "roots")
-            members = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # a bucket is done when its nodes are one class, or all of them have led
-        members = stored(members.where(F.col("n") > last), "members")
-        several = members.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("bucket")
-        members = stored(members.join(several, "bucket", "left_semi"), "members")
-        first, last = last + 1, 8 * last
+
+    def relabelled(rows: DataFrame) -> DataFrame:
+        return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    pairs = stored(star_pairs(members, similarity), "pairs")
+    if not pairs.isEmpty():
+        tokens = tokens_for(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), tokens)
+        links = stored(verified(pairs, tokens, similarity), "pair_links")
+        if not links.isEmpty():
+            roots = merged_roots(roots, links)
+            members = relabelled(members)
+    rest = stored(open_members(members).select("node", "root", "weight").distinct(), "open_nodes")
+    if rest.isEmpty():
+        return roots
+    tokens = tokens_for(rest.select("node"), tokens)
+    pairs = stored(prefix_pairs(rest, tokens, similarity), "pairs")
+    if not pairs.isEmpty():
+        links = stored(verified(pairs, tokens, similarity), "pair_links")
+        if not links.isEmpty():
+            roots = merged_roots(roots, links)
     return roots
 
 
@@ -239,14 +294,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     shared = stored(rows.join(sizes, "bucket"), "shared")
     ties = shared.groupBy("node").agg(F.sum("n").alias("ties"))
-    members = stored(shared.join(ties, "node").select("bucket", "node", "weight", "n", "ties"), "members")
+    members = stored(shared.join(ties, "node").select("bucket", "node", "weight", "ties"), "members")
 
-    def tokens_for(pairs: DataFrame, have: DataFrame | None) -> DataFrame:
-        """The tokens of the nodes in `pairs`; a Bloom filter of their contents spares the other texts."""
-        needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def tokens_for(some: DataFrame, have: DataFrame | None) -> DataFrame:
+        """The tokens of these nodes; a Bloom filter of their contents spares the other texts."""
+        needed = some.distinct()
         if have is not None:
             needed = needed.join(have, "node", "left_anti")
         needed = stored(nodes.select("node", "content").join(needed, "node"), "needed")
+        if needed.isEmpty():
+            return have
         wanted = twice_seen(needed.select("content"), needed.count(), times=1)
         texts = docs.select("text", "content").where(wanted.column(F.col("content")))
         # one text for each node, chosen by its content hash
