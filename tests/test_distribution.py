@@ -2,6 +2,7 @@
 
 import heapq
 from collections import defaultdict
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,9 +51,49 @@ def job(spark):
     return Job.of(spark, SF_DIR)
 
 
-def test_ownership_batches(job):
+@pytest.mark.parametrize("input_order", [False, True])
+def test_ownership_against_plain_loop(spark, job, input_order):
+    """Rounds over routes settle what one loop over all groups settles; some claims are crowded so that groups must change route."""
+    crowd = job.claims.where(F.size("hyps") >= 2)
+    hyps = F.transform("hyps", lambda h: h.withField("start_ft", F.round(h["start_ft"] / 300) * 300).withField("end_ft", F.round(h["start_ft"] / 300) * 300 + 280).withField("length_ft", F.lit(300.0)).withField("render_allowed", F.lit(True)))
+    tight = crowd.withColumns({"hyps": hyps, "span_ft": F.lit(1e6), "group_id": F.concat("group_id", F.lit("x")), "has_consensus": F.lit(False)})
+    claims = job.claims.unionByName(tight)
     keep = ["group_id", "route_id", "start_ft", "end_ft", "accepted", "reselected", "reason"]
-    assert rows(ownership.resolve(job.claims, batch=7).select(*keep)) == rows(job.owned.select(*keep))
+    found = sorted(tuple(r) for r in ownership.resolve(claims, input_order=input_order).select(*keep).collect())
+
+    groups = [SimpleNamespace(**r.asDict(recursive=True)) for r in claims.collect()]
+    by_input = sorted(groups, key=lambda r: (r.project_id, r.source_file, r.tokens_key, r.min_station_ft, r.group_id))
+    held, first, hidden = defaultdict(ownership.Claims), {}, []
+    for g in by_input:
+        choice, why = 0, "kept"
+        if not g.has_consensus:
+            picked, _, _, reason = ownership.separate(g, 0, held[g.project_id])
+            choice, why = (picked, reason) if picked else (0, "kept")
+        h = g.hyps[choice]
+        if h["render_allowed"]:
+            held[g.project_id].add(h["route_id"], h["start_ft"], h["end_ft"], g.group_id)
+            first[g.group_id] = (choice, h)
+        else:
+            hidden.append((g.group_id, h["route_id"], h["start_ft"], h["end_ft"], False, choice != 0, "not_render_eligible_before_batch_pass"))
+    shown = [g for g in by_input if g.group_id in first]
+    if not input_order:
+        shown.sort(key=lambda g: (-first[g.group_id][1]["combined"], -first[g.group_id][1]["window_score"], -g.span_ft))
+    held, led, want = defaultdict(ownership.Claims), set(), list(hidden)
+    for g in shown:
+        claimed = held[g.project_id]
+        choice, h = first[g.group_id]
+        moved, reason = False, "first_claim"
+        if g.project_id in led:
+            choice, h, moved, reason = ownership.separate(g, choice, claimed)
+        led.add(g.project_id)
+        conflict, duplicate = claimed.duplicate(h["route_id"], g.group_id, h["start_ft"], h["end_ft"])
+        accepted = input_order or not duplicate
+        reason = "hard_no_overlap_conflict_no_safe_alternative" if not accepted else "salvaged_distinct_subsection_with_geometry" if conflict else reason
+        if accepted:
+            claimed.add(h["route_id"], h["start_ft"], h["end_ft"], g.group_id)
+        want.append((g.group_id, h["route_id"], h["start_ft"], h["end_ft"], accepted, moved, reason))
+    assert found == sorted(want)
+    assert any(r[-1] == "reselected_to_non_conflicting_route" for r in found)
 
 
 def test_no_true_duplicates_are_accepted(job):

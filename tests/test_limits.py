@@ -103,3 +103,28 @@ def test_issue_log_keeps_all_unless_told(spark):
     reports = spark.range(500).selectExpr("concat('f', id) as fingerprint", "timestamp_seconds(id) as ts", "id as event_id", "'x' as details")
     assert stores.upsert_issues(reports).count() == 500
     assert {r.last_id for r in stores.upsert_issues(reports, 3).collect()} == {497, 498, 499}
+
+
+def test_very_long_walks_are_linear(spark):
+    from trenchline.operators import walks
+
+    fixes = spark.range(100_000).selectExpr(
+        "'s' as session_id", "0.0 as walk_s", "id * 1.0 as t_s", "id as event_id", "30 + id * 1e-5 as lat", "0.0 as lon", "5.0 as accuracy_m", "0 as delay_s")
+    kept = walks.accept_fixes(fixes)
+    assert kept.count() == 50_000 and kept.agg(F.max("event_id"), F.max("pos")).first()[:] == (99_998, 49_999)
+    # a straight line gives way point by point: the last kept one stays until the next is too far from it
+    steady = walks.steady_trail(kept.select("session_id", "walk_s", "pos", "lat", "lon")).collect()
+    places = sorted(r.pos for r in steady)
+    assert places[0] == 0 and places[-1] == 49_999 and len(places) < 50_000
+
+
+def test_zigzags_go_and_corners_stay(spark):
+    from trenchline.operators import walks
+
+    metre = 1 / 111_195
+    line = [(0, 0.0), (5, 1.0), (10, 0.0), (15, 0.0), (15, 10.0), (15, 20.0)]
+    rows = [("s", 0.0, i, 30 + y * metre, x * metre) for i, (x, y) in enumerate(line)]
+    df = spark.createDataFrame(rows, "session_id string, walk_s double, pos int, lat double, lon double")
+    found = sorted(walks.steady_trail(df).collect(), key=lambda r: r.pos)
+    assert [r.pos for r in found] == [0, 3, 5] or [r.pos for r in found] == [0, 2, 3, 5]
+    assert (found[0].lat, found[-1].lat) == (rows[0][3], rows[-1][3])

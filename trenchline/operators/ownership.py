@@ -1,10 +1,11 @@
 """No two groups own the same stretch: ordered claims on routes, settled exactly.
 
-Claims depend on order, and a group may move to another of its evaluated routes, so the
-unit that must see one order is a connected component of routes that share a group.
-Components are found with joins; each is settled in its own task, at most `batch` groups
-at a time with the claims already accepted on its routes, so no task holds an unbounded
-component.  A group's claim is small: its windows are rebuilt from the route on demand.
+Claims depend on order, and a group may move to another of its evaluated routes.  The unit of
+work is a route: its own groups, and those that moved to it, are settled in order in one task.
+A move only matters to later groups of the route it goes to, so rounds are repeated with the
+moves of the round before until these no longer change; the order has no cycles, so that state
+is the sequential result, and the number of rounds follows the longest chain of moves.
+Only a group's present route carries its chainage.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trenchline.operators.grouping import GROUP
@@ -21,8 +22,11 @@ from trenchline.operators.windows import half_up, scored_windows, sheet_fraction
 from trenchline.session import cut_lineage
 
 HARD_OVERLAP_FT = 5.0
-CLAIM = ("project_id string, component string, group_id string, route_id string, start_ft double, end_ft double, window_score double, "
-         "combined double, accepted boolean, reselected boolean, reason string, choice int")
+#: Columns that order groups, in turn, and whether they rise.
+INPUT_ORDER = (("source_file", True), ("tokens_key", True), ("min_station_ft", True), ("group_id", True))
+RANKED = (("rank_combined", False), ("rank_window", False), ("span_ft", False), *INPUT_ORDER)
+_PLACE = "project_id string, group_id string, source_file string, tokens_key string, min_station_ft double, span_ft double, rank_combined double, rank_window double"
+SETTLED = _PLACE + ", route_id string, start_ft double, end_ft double, window_score double, combined double, accepted boolean, reselected boolean, reason string, choice int, shown boolean, leaves boolean"
 
 
 def overlap_ft(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -68,34 +72,11 @@ def conflict_pairs(claims: DataFrame, width_ft: float = 200.0) -> DataFrame:
     return pairs.withColumns({**facts, "same_zone": same_print_zone(*[F.col(c) for c in ("a_sheets", "b_sheets", "a_streets", "b_streets")])}).drop("_bin")
 
 
-def route_components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Connected components of routes: links(project_id, a, b) to (project_id, route_id, component).
-
-    Smallest-name labels spread over the links and jump along themselves, so the rounds grow
-    with the logarithm of the longest chain.  Labels are checkpointed each round.
-    """
-    both = cut_lineage(links.select("project_id", "a", "b").unionByName(links.select("project_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(both.groupBy("project_id", F.col("a").alias("route_id")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
-    for _ in range(max_rounds):
-        near = (both.join(labels.select("project_id", F.col("route_id").alias("b"), F.col("component").alias("seen")), ["project_id", "b"])
-                .groupBy("project_id", F.col("a").alias("route_id")).agg(F.min("seen").alias("near")))
-        jump = labels.select("project_id", F.col("route_id").alias("component"), F.col("component").alias("further"))
-        stepped = (labels.join(near, ["project_id", "route_id"]).join(jump, ["project_id", "component"], "left")
-                   .select("project_id", "route_id", F.least("component", "near", "further").alias("component"), F.col("component").alias("old")))
-        stepped = cut_lineage(stepped)
-        if stepped.where("component <> old").isEmpty():
-            return stepped.drop("old")
-        labels = stepped.drop("old")
-    raise RuntimeError("route components did not settle")
-
-
 class Claims:
-    """Accepted claims of the routes of one component."""
+    """Accepted claims of a route."""
 
-    def __init__(self, rows: pd.DataFrame):
+    def __init__(self):
         self.by_route: dict[str, list[tuple[float, float, str]]] = defaultdict(list)
-        for r in rows.itertuples(index=False):
-            self.by_route[r.route_id].append((r.start_ft, r.end_ft, r.group_id))
 
     def add(self, route: str, start: float, end: float, group: str) -> None:
         self.by_route[route].append((start, end, group))
@@ -167,64 +148,86 @@ def separate(row, choice: int, claims: Claims) -> tuple[int, dict, bool, str]:
     return choice, hyp, False, "within_route_overlap_conflict_no_safe_alternative"
 
 
-def _first_pass(batch: pd.DataFrame, claims: Claims) -> list[tuple]:
-    """Input order; only a forced change of route counts, and only without a consensus route."""
-    out = []
-    for row in batch.itertuples(index=False):
-        choice, reason = 0, "kept"
-        if not row.has_consensus:
-            picked, _, _, why = separate(row, 0, claims)
-            if picked != 0:
-                choice, reason = picked, why
-        hyp = row.hyps[choice]
-        shown = bool(hyp["render_allowed"])
-        if shown:
-            claims.add(hyp["route_id"], hyp["start_ft"], hyp["end_ft"], row.group_id)
-        out.append((row.project_id, row.component, row.group_id, hyp["route_id"], hyp["start_ft"], hyp["end_ft"], hyp["window_score"], hyp["combined"],
-                    shown, choice != 0, reason, choice))
-    return out
-
-
-def _second_pass(batch: pd.DataFrame, claims: Claims, always: bool) -> list[tuple]:
+def _first_pass(row, claims: Claims) -> tuple[int, dict, bool, bool, str]:
+    """(choice, hypothesis, accepted, moved, reason): input order; only a forced change of route counts, and only without a consensus route."""
+    choice, reason = row.choice, "kept"
+    if not row.has_consensus:
+        picked, _, _, why = separate(row, choice, claims)
+        if picked != choice:
+            choice, reason = picked, why
+    hyp = row.hyps[choice]
+    return choice, hyp, bool(hyp["render_allowed"]), choice != row.choice, reason
+
+
+def _first_arrival(row, claims: Claims) -> tuple[bool, str]:
+    return bool(row.shown), row.reason
+
+
+def _second_pass(always: bool):
     """Priority order; each group moves off accepted claims or is blocked as a duplicate."""
-    out = []
-    for row in batch.itertuples(index=False):
-        choice, hyp, moved, reason = row.choice, row.hyps[row.choice], False, "first_claim"
-        if row.project_rank > 1:
-            choice, hyp, moved, reason = separate(row, row.choice, claims)
-        conflict, duplicate = claims.duplicate(hyp["route_id"], row.group_id, hyp["start_ft"], hyp["end_ft"])
+    def judged(route: str, group: str, start: float, end: float, reason: str, claims: Claims) -> tuple[bool, str]:
+        conflict, duplicate = claims.duplicate(route, group, start, end)
         accepted = always or not duplicate
         if not accepted:
             reason = "hard_no_overlap_conflict_no_safe_alternative"
         elif conflict:
             reason = "salvaged_distinct_subsection_with_geometry"
-        if accepted:
-            claims.add(hyp["route_id"], hyp["start_ft"], hyp["end_ft"], row.group_id)
-        out.append((row.project_id, row.component, row.group_id, hyp["route_id"], hyp["start_ft"], hyp["end_ft"], hyp["window_score"], hyp["combined"],
-                    accepted, moved, reason, choice))
-    return out
-
-
-def _settle(groups: DataFrame, kernel, order: list[Column], batch: int) -> DataFrame:
-    """Runs a kernel over each component in order, `batch` groups of it per round."""
-    place = F.row_number().over(Window.partitionBy("project_id", "component").orderBy(*order))
-    ready = cut_lineage(groups.withColumn("place", place).withColumn("round", F.floor((F.col("place") - 1) / batch).cast("int")))
-    last = ready.agg(F.max("round")).first()[0] or 0
-    empty = ready.sparkSession.createDataFrame([], CLAIM)
-
-    def run(key: tuple, part: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        names = [c.strip().split(" ")[0] for c in CLAIM.split(", ")]
-        return pd.DataFrame(kernel(part.sort_values("place"), Claims(held)), columns=names)
-
-    done = empty
-    for n in range(last + 1):
-        part = ready.where(F.col("round") == n)
-        touched = part.select("project_id", F.explode("hyps").alias("h")).select("project_id", "h.route_id").distinct()
-        held = done.where("accepted").join(touched, ["project_id", "route_id"], "left_semi")
-        keys = ["project_id", "component"]
-        made = part.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(run, CLAIM)
-        done = cut_lineage(done.unionByName(made))
-    return done
+        return accepted, reason
+
+    def own(row, claims: Claims):
+        choice, hyp, moved, reason = row.choice, row.hyps[row.choice], False, "first_claim"
+        if not row.leader:
+            choice, hyp, moved, reason = separate(row, row.choice, claims)
+        if choice != row.choice:
+            return choice, hyp, True, moved, reason
+        accepted, reason = judged(hyp["route_id"], row.group_id, hyp["start_ft"], hyp["end_ft"], reason, claims)
+        return choice, hyp, accepted, moved, reason
+
+    def arrival(row, claims: Claims):
+        return judged(row.route_id, row.group_id, row.start_ft, row.end_ft, row.reason, claims)
+
+    return own, arrival
+
+
+def _settle(groups: DataFrame, own, arrival, order: tuple, max_rounds: int = 1000) -> DataFrame:
+    """Settle all routes in rounds; groups: the columns of `_PLACE`, choice, hyps and what `own` reads."""
+    names = [c.strip().split(" ")[0] for c in SETTLED.split(", ")]
+    place = [c.strip().split(" ")[0] for c in _PLACE.split(", ")]
+    by, rising = [c for c, _ in order], [up for _, up in order]
+    here = F.get("hyps", F.col("choice"))["route_id"]
+    slim = F.transform("hyps", lambda h: h.withField("chain", F.when(h["route_id"] == here, h["chain"])))
+    home = cut_lineage(groups.withColumn("route_id", here).withColumn("hyps", slim))
+
+    def run(key: tuple, mine: pd.DataFrame, moved_in: pd.DataFrame) -> pd.DataFrame:
+        both = pd.concat([mine.assign(arrives=False), moved_in.assign(arrives=True)], ignore_index=True).sort_values(by, ascending=rising, kind="stable")
+        claims, out = Claims(), []
+        for row in both.itertuples(index=False):
+            at = [getattr(row, c) for c in place]
+            if row.arrives:
+                accepted, reason = arrival(row, claims)
+                found = (row.route_id, row.start_ft, row.end_ft, row.window_score, row.combined, accepted, True, reason, int(row.choice), bool(row.shown), False)
+            else:
+                choice, hyp, accepted, moved, reason = own(row, claims)
+                found = (hyp["route_id"], hyp["start_ft"], hyp["end_ft"], hyp["window_score"], hyp["combined"], accepted, moved, reason, int(choice),
+                         bool(hyp["render_allowed"]), hyp["route_id"] != row.route_id)
+            if accepted and not found[-1]:
+                claims.add(found[0], found[1], found[2], row.group_id)
+            out.append((*at, *found))
+        return pd.DataFrame(out, columns=names)
+
+    def mark(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("project_id", "group_id", "route_id").cast("decimal(38,0)"))).first())
+
+    moves = groups.sparkSession.createDataFrame([], SETTLED)
+    before = (0, None)
+    keys = ["project_id", "route_id"]
+    for _ in range(max_rounds):
+        made = cut_lineage(home.groupBy(*keys).cogroup(moves.groupBy(*keys)).applyInPandas(run, SETTLED))
+        moves = made.where("leaves")
+        if (after := mark(moves)) == before:
+            return made.where("not leaves")
+        before = after
+    raise RuntimeError("claims did not settle")
 
 
 def claim_inputs(evaluated: DataFrame, inputs: DataFrame) -> DataFrame:
@@ -238,31 +241,15 @@ def claim_inputs(evaluated: DataFrame, inputs: DataFrame) -> DataFrame:
         F.first("streets").alias("streets"), F.max(F.col("consensus_route").isNotNull()).alias("has_consensus"))
 
 
-def resolve(claims: DataFrame, batch: int = 20000, input_order: bool = False) -> DataFrame:
+def resolve(claims: DataFrame, input_order: bool = False) -> DataFrame:
     """Both passes over all projects.  `input_order` keeps the input order and shows every group."""
-    routes = claims.select("project_id", F.transform("hyps", lambda h: h["route_id"]).alias("r"))
-    links = routes.select("project_id", F.get("r", F.lit(0)).alias("a"), F.explode("r").alias("b"))
-    comp = route_components(links)
-    home = F.get("hyps", F.lit(0))["route_id"]
-    groups = claims.withColumn("route_id", home).join(comp, ["project_id", "route_id"]).drop("route_id")
-    order = [F.asc("source_file"), F.asc("tokens_key"), F.asc("min_station_ft"), F.asc("group_id")]
-    first = _settle(groups, _first_pass, order, batch)
-    picked = groups.join(first.select(*GROUP, "choice", "accepted", "combined", "window_score"), GROUP)
-    shown = picked.where("accepted")
-    rank = [F.desc("combined"), F.desc("window_score"), F.desc("span_ft"), *order]
-    if input_order:
-        rank = order
-    lead = shown.groupBy("project_id").agg(F.min_by("group_id", F.struct(*[_sortable(c) for c in (
-        ("combined", "window_score", "span_ft") if not input_order else ())], "source_file", "tokens_key", "min_station_ft", "group_id")).alias("leader"))
-    shown = shown.join(lead, "project_id").withColumn("project_rank", F.when(F.col("group_id") == F.col("leader"), 1).otherwise(2)).drop("leader", "accepted")
-
-    def kernel(part: pd.DataFrame, held: Claims) -> list[tuple]:
-        return _second_pass(part, held, input_order)
-
-    settled = _settle(shown, kernel, rank, batch)
-    hidden = first.where("NOT accepted").withColumn("reason", F.lit("not_render_eligible_before_batch_pass"))
-    return settled.unionByName(hidden)
-
-
-def _sortable(name: str) -> Column:
-    return (-F.col(name)).alias(f"neg_{name}")
+    null = F.lit(None).cast("double")
+    groups = claims.withColumns({"choice": F.lit(0), "leader": F.lit(False), "rank_combined": null, "rank_window": null})
+    first = _settle(groups, _first_pass, _first_arrival, INPUT_ORDER)
+    picked = claims.join(first.where("accepted").select(*GROUP, "choice", F.col("combined").alias("rank_combined"), F.col("window_score").alias("rank_window")), GROUP)
+    order = INPUT_ORDER if input_order else RANKED
+    lead = picked.groupBy("project_id").agg(F.min_by("group_id", F.struct(*[F.col(c).alias(f"k{i}") if up else (-F.col(c)).alias(f"k{i}") for i, (c, up) in enumerate(order)])).alias("first"))
+    shown = picked.join(lead, "project_id").withColumn("leader", F.col("group_id") == F.col("first")).drop("first")
+    settled = _settle(shown, *_second_pass(input_order), order)
+    hidden = first.where("not accepted").withColumn("reason", F.lit("not_render_eligible_before_batch_pass"))
+    return settled.unionByName(hidden).drop("shown", "leaves", "rank_combined", "rank_window", "source_file", "tokens_key", "min_station_ft", "span_ft")

@@ -5,6 +5,9 @@ Batch twins of the streaming job; both apply the same rules.
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,23 +42,34 @@ def split_walks(fixes: DataFrame, gap_s: float = 1800.0) -> DataFrame:
     return with_last_mark(marked, ["session_id"], order, "_mark", "walk_s").drop("prev", "next", "_mark", "_block")
 
 
+def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+    half_lat, half_lon = math.sin(math.radians(lat2 - lat1) / 2), math.sin(math.radians(lon2 - lon1) / 2)
+    a = half_lat * half_lat + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * half_lon * half_lon
+    return math.atan2(math.sqrt(a), math.sqrt(1 - a)) * (2 * EARTH_RADIUS_M)
+
+
 def accept_fixes(walked: DataFrame, cfg: Walk = Walk()) -> DataFrame:
     """Fixes kept on each walk: good ones at least 1.5 m and 2 s from the last one kept.
 
-    The rule needs the last kept fix, so it folds over one walk, which is hours at most.
+    The rule needs the last kept fix, so each walk, which is hours at most, is one ordered pass.
     """
-    item = F.struct("t_s", "event_id", "lat", "lon", "accuracy_m")
-    packed = walked.where(good_fix(F.col("accuracy_m"), F.col("delay_s"), cfg)).groupBy(*WALK).agg(F.sort_array(F.collect_list(item)).alias("fixes"))
-    kind = "array<struct<t_s:double,event_id:bigint,lat:double,lon:double,accuracy_m:double>>"
+    good = walked.where(good_fix(F.col("accuracy_m"), F.col("delay_s"), cfg)).select(
+        *WALK, "event_id", *(F.col(c).cast("double").alias(c) for c in ("t_s", "lat", "lon", "accuracy_m")))
+    kind = dict(good.dtypes)
 
-    def add(kept: Column, fix: Column) -> Column:
-        last = F.try_element_at(kept, F.lit(-1))
-        moved = geo.haversine_m(last["lat"], last["lon"], fix["lat"], fix["lon"]) >= cfg.min_move_m
-        take = last.isNull() | (moved & (fix["t_s"] - last["t_s"] >= cfg.min_interval_s))
-        return F.when(take, F.array_append(kept, fix)).otherwise(kept)
+    def keep(fixes: pd.DataFrame) -> pd.DataFrame:
+        fixes = fixes.sort_values(["t_s", "event_id"], kind="stable")
+        kept, last = [], None
+        for i, (t, lat, lon) in enumerate(zip(fixes["t_s"].tolist(), fixes["lat"].tolist(), fixes["lon"].tolist(), strict=True)):
+            if last is None or (t - last[0] >= cfg.min_interval_s and _metres(last[1], last[2], lat, lon) >= cfg.min_move_m):
+                kept.append(i)
+                last = (t, lat, lon)
+        out = fixes.iloc[kept]
+        return out.assign(pos=range(len(out)))
 
-    kept = F.aggregate(F.col("fixes").cast(kind), F.array().cast(kind), add)
-    return packed.select(*WALK, F.posexplode(kept).alias("pos", "f")).select(*WALK, "pos", "f.*")
+    columns = [*WALK, "pos", "t_s", "event_id", "lat", "lon", "accuracy_m"]
+    schema = ", ".join(f"{c} {kind.get(c, 'int')}" for c in columns)
+    return good.groupBy(*WALK).applyInPandas(lambda fixes: keep(fixes)[columns], schema)
 
 
 def snap_to_line(coords: Column, chain: Column, lat: Column, lon: Column) -> Column:
@@ -105,49 +119,49 @@ def walk_sessions(walked: DataFrame) -> DataFrame:
     return walked.groupBy(*WALK).agg(F.max("t_s").alias("ended_s"), F.count("*").alias("n_fixes"))
 
 
-def _planar(p: Column, ref: Column) -> Column:
-    rad = 3.141592653589793 / 180.0
-    return F.struct(((p["lon"] - ref["lon"]) * rad * EARTH_RADIUS_M * F.greatest(F.cos(F.radians(ref["lat"])), F.lit(0.01))).alias("x"),
-                    ((p["lat"] - ref["lat"]) * rad * EARTH_RADIUS_M).alias("y"))
+def _zigzag(a: tuple, b: tuple, c: tuple) -> bool:
+    """Whether b is a tiny detour between a and c; points are (lat, lon)."""
+    east = math.radians(1) * EARTH_RADIUS_M * max(math.cos(math.radians(a[0])), 0.01)
+    north = math.radians(1) * EARTH_RADIUS_M
+    bx, by, cx, cy = (b[1] - a[1]) * east, (b[0] - a[0]) * north, (c[1] - a[1]) * east, (c[0] - a[0]) * north
+    square = cx * cx + cy * cy
+    off = math.hypot(bx, by) if math.sqrt(square) < 0.35 else abs(bx * cy - by * cx) / math.sqrt(square)
+    t = 0.5 if square < 1e-6 else (bx * cx + by * cy) / square
+    if off > 2.8 or not 0.04 <= t <= 0.96:
+        return False
+    ab, bc = _metres(*a, *b), _metres(*b, *c)
+    return ab <= 14 and bc <= 14 and ab + bc <= _metres(*a, *c) + 1.8
+
+
+def _eased(points: list[tuple]) -> list[tuple]:
+    out = list(points)
+    for i in range(1, len(points) - 1):
+        (a, b), (lat, lon), (c, d) = points[i - 1], points[i], points[i + 1]
+        y, x = a * 0.22 + lat * 0.56 + c * 0.22, b * 0.22 + lon * 0.56 + d * 0.22
+        if _metres(lat, lon, y, x) <= 2.2:
+            out[i] = (y, x)
+    return out
 
 
 def steady_trail(trail: DataFrame) -> DataFrame:
     """Display line of an ended walk: tiny zigzags against the last kept point dropped, then
     each point eased toward its neighbours when that moves it at most 2.2 m.
 
-    Expects pos, lat, lon per walk.
+    Expects pos, lat, lon per walk; each walk is one ordered pass.
     """
-    kind = "array<struct<pos:int,lat:double,lon:double>>"
-    packed = trail.groupBy(*WALK).agg(F.sort_array(F.collect_list(F.struct("pos", "lat", "lon"))).cast(kind).alias("p"))
-    n = F.size("p")
-
-    def metres(a: Column, b: Column) -> Column:
-        return geo.haversine_m(a["lat"], a["lon"], b["lat"], b["lon"])
-
-    def zigzag(a: Column, b: Column, c: Column) -> Column:
-        def decide(q: Column) -> Column:
-            bx, by, cx, cy = q["B"]["x"], q["B"]["y"], q["C"]["x"], q["C"]["y"]
-            len2 = cx * cx + cy * cy
-            perp = F.when(F.sqrt(len2) < 0.35, F.sqrt(bx * bx + by * by)).otherwise(F.abs(bx * cy - by * cx) / F.sqrt(len2))
-            t = F.when(len2 < 1e-6, 0.5).otherwise((bx * cx + by * cy) / len2)
-            ab, bc, ac = metres(a, b), metres(b, c), metres(a, c)
-            return (perp <= 2.8) & (ab <= 14) & (bc <= 14) & (t >= 0.04) & (t <= 0.96) & (ab + bc <= ac + 1.8)
-        return let(F.struct(_planar(b, a).alias("B"), _planar(c, a).alias("C")), decide)
-
-    def add(kept: Column, b: Column) -> Column:
-        i = F.array_position(F.transform("p", lambda x: x["pos"]), b["pos"])
-        ends = (i == 1) | (i == n)
-        drop = ~ends & zigzag(F.try_element_at(kept, F.lit(-1)), b, F.get("p", i.cast("int")))
-        return F.when(F.coalesce(drop, F.lit(False)), kept).otherwise(F.array_append(kept, b))
-
-    kept = packed.withColumn("k", F.when(n <= 2, F.col("p")).otherwise(F.aggregate("p", F.array().cast(kind), add)))
-    m = F.size("k")
-
-    def ease(c: Column, i: Column) -> Column:
-        a, b = F.get("k", F.greatest(i - 1, F.lit(0))), F.get("k", i + 1)
-        y, x = a["lat"] * 0.22 + c["lat"] * 0.56 + b["lat"] * 0.22, a["lon"] * 0.22 + c["lon"] * 0.56 + b["lon"] * 0.22
-        inner = (i > 0) & (i < m - 1) & (geo.haversine_m(c["lat"], c["lon"], y, x) <= 2.2)
-        return F.struct(c["pos"].alias("pos"), F.when(F.coalesce(inner, F.lit(False)), y).otherwise(c["lat"]).alias("lat"),
-                        F.when(F.coalesce(inner, F.lit(False)), x).otherwise(c["lon"]).alias("lon"))
-
-    return kept.select(*WALK, F.explode(F.transform("k", ease)).alias("q")).select(*WALK, "q.pos", "q.lat", "q.lon")
+    slim = trail.select(*WALK, F.col("pos").cast("int").alias("pos"), *(F.col(c).cast("double").alias(c) for c in ("lat", "lon")))
+
+    def steady(walk: pd.DataFrame) -> pd.DataFrame:
+        walk = walk.sort_values("pos", kind="stable")
+        points = list(zip(walk["lat"].tolist(), walk["lon"].tolist(), strict=True))
+        kept = list(range(len(points)))
+        if len(points) > 2:
+            kept = [0]
+            for i in range(1, len(points) - 1):
+                if not _zigzag(points[kept[-1]], points[i], points[i + 1]):
+                    kept.append(i)
+            kept.append(len(points) - 1)
+        eased = _eased([points[i] for i in kept])
+        return walk.iloc[kept].assign(lat=[p[0] for p in eased], lon=[p[1] for p in eased])
+
+    return slim.groupBy(*WALK).applyInPandas(steady, slim.schema)
