@@ -18,6 +18,8 @@ def local_session(cpus: int | str = 8, app: str = "trenchline") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         # small local tables still deserve all cores
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        # the given test tables have one row group a file, so the scan alone is one task
+        .config("spark.trenchline.spreadScans", str(cpus) if str(cpus).isdigit() else "8")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("TRENCHLINE_DRIVER_MEM", "12g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
