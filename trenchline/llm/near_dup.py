@@ -45,6 +45,7 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
 PLACES = BANDS * BAND_ROWS
 CACHED_WORDS = 300_000
+NODES_TO_BROADCAST = 100_000
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
 
@@ -225,14 +226,18 @@ def prefix_pairs(nodes: DataFrame, tokens: DataFrame, similarity: float) -> Data
     are matters: a text with too many shingles of its own meets none.  For each token, nodes of
     its most frequent class meet the nodes of other classes but not each other.
     """
-    each = nodes.join(tokens, "node").select("node", "root", "weight", F.explode("tokens").alias("token"))
-    common = each.groupBy("token").agg(F.count("*").alias("df"), F.min("root").alias("low"), F.max("root").alias("high")).where("df > 1")
+    small = F.broadcast(nodes) if nodes.count() <= NODES_TO_BROADCAST else nodes  # of checked size
+    each = tokens.join(small, "node").select("node", F.xxhash64("root").alias("class"), F.explode("tokens").alias("token"))
+    # tokens that only one node has are most; a Bloom filter keeps them from shuffling
+    total = nodes.agg(F.sum("weight")).first()[0]
+    each = each.where(twice_seen(each.select("token"), total).column(F.col("token")))
+    common = each.groupBy("token").agg(F.count("*").alias("df"), (F.min("class") != F.max("class")).alias("mixed")).where("df > 1")
     rare_first = Window.partitionBy("node").orderBy("df", "token")
-    shared = each.join(common, "token").withColumns({"nth": F.row_number().over(rare_first), "n": F.count("*").over(Window.partitionBy("node"))})
+    shared = each.select("token", "node").join(common, "token").withColumns({"nth": F.row_number().over(rare_first), "n": F.count("*").over(Window.partitionBy("node"))})
     place = F.col("weight") - F.col("n") + F.col("nth")  # among all tokens of the node
     # the other node may be as small as the similarity allows
     reach = F.col("weight") - F.ceil(F.round(similarity * F.col("weight"), 6)) + 1
-    rows = shared.withColumn("place", place).where((F.col("place") <= reach) & (F.col("low") != F.col("high")))
+    rows = shared.where("mixed").join(small, "node").withColumn("place", place).where(F.col("place") <= reach)
     rows = stored(rows.select("token", "node", "root", "weight", "place"), "prefixes")
     largest = rows.groupBy("token", "root").count().groupBy("token").agg(F.max(F.struct("count", "root"))["root"].alias("largest"))
     minor = stored(rows.join(largest, "token").where(F.col("root") != F.col("largest")).select(
