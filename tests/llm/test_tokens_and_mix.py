@@ -106,7 +106,7 @@ CACHED, LIBRARY = token_files.StretchEncoder(token_files.VOCABULARY), library()
 def test_a_full_cache_starts_over(monkeypatch):
     monkeypatch.setattr(token_files, "CACHE_ENTRIES", 5)
     coder = token_files.StretchEncoder(token_files.VOCABULARY)
-    for texts in (["a b c d e f", ""], ["x y  z", "a b c q r s t u v"], ["p\rq r", "one\n two", " lead"], ["it word's word' word'' it's, it%%% 's (x) a\n. b. ٣. é."]):
+    for texts in (["\n\nhead a", "\r\n\nb c"], ["a b c d e f", ""], ["x y  z", "a b c q r s t u v"], ["p\rq r", "one\n two", " lead"], ["it word's word' word'' it's, it%%% 's (x) a\n. b. ٣. é."]):
         assert coder.ids(texts) == [packed(library_ids(text)) for text in texts]
 
 

@@ -106,7 +106,7 @@ class StretchEncoder:
             self.tails.clear()
             new = set().union(*(x[1:] for x in cut))
         self.learn(new)
-        fair = [i for i, x in enumerate(cut) if x[0] and not x[0][-1].isspace() and PARTING not in x[0]]
+        fair = [i for i, x in enumerate(cut) if x[0] and not x[0][0].isspace() and not x[0][-1].isspace() and PARTING not in x[0]]
         heads = dict(zip(fair, self.together([cut[i][0] for i in fair]), strict=True))
         out, known = [], self.known.__getitem__
         for i, (text, (_, *rest)) in enumerate(zip(texts, cut, strict=True)):
