@@ -45,6 +45,10 @@ SHINGLE_WORDS, SIMILARITY = 5, 0.8
 BANDS, BAND_ROWS = 20, 5
 PLACES = BANDS * BAND_ROWS
 CACHED_WORDS = 300_000
+#: Points that one step of the Poisson processes draws at a time, whatever the texts are like.
+DRAWN_POINTS = 1 << 17
+#: Bytes of text that are signed at a time.
+SIGNED_BYTES = 1_000_000
 NODES_TO_BROADCAST = 100_000
 U = np.uint64
 GOLDEN = U(0x9E3779B97F4A7C15)
@@ -126,7 +130,9 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
             d, e, w = doc[pick], element[pick], weight[pick]
             low, high = 0, 1
             while len(d):
-                draw(out, d, e, w, (reach / total)[d], low, high, block)
+                for start in range(0, len(d), run := DRAWN_POINTS // block):
+                    own_d = d[start:start + run]
+                    draw(out, own_d, e[start:start + run], w[start:start + run], (reach / total)[own_d], low, high, block)
                 low, high = high, high * 2
                 more = w > low
                 d, e, w = d[more], e[more], w[more]
@@ -148,7 +154,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, content, node (digest of the multiset, null if empty), weight, buckets; docs: doc_id, text, content."""
     def run(batches: Iterator[pa.RecordBatch]):
         known = worker_state("word hashes", WordHashes)
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", SIGNED_BYTES):
             sets = [shingles(t, known) for t in as_bytes(part["text"])]
             full = [i for i, (e, _) in enumerate(sets) if len(e)]
             node, weight, buckets = [None] * len(sets), [0] * len(sets), [[]] * len(sets)
