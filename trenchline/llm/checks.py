@@ -55,4 +55,57 @@ WITH plain AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '{_SPACE}', ' '
 groups AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM plain GROUP BY t)
 SELECT p.doc_id, g.keep_id, g.group_size, p.doc_id = g.keep_id AS kept, sha256(p.t) AS text_sha256
 FROM plain p JOIN groups g USING (t)""",
+    "op11_source_divergence": r"""
+WITH words AS (
+  SELECT d, lang, source, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term
+  FROM (SELECT row_number() OVER () AS d, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+               regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents), UNNEST(terms) AS u(term)),
+terms AS (SELECT lang, term, count(*) AS times FROM words GROUP BY lang, term HAVING count(DISTINCT d) >= 30),
+counts AS (SELECT w.lang, w.source, w.term, count(*) AS times FROM words w JOIN terms t ON w.lang = t.lang AND w.term = t.term GROUP BY ALL),
+groups AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+langs AS (SELECT g.lang, count(t.term) AS v, coalesce(sum(t.times), 0) AS n FROM (SELECT DISTINCT lang FROM groups) g LEFT JOIN terms t USING (lang) GROUP BY g.lang),
+sums AS (SELECT g.lang, g.source, coalesce(sum(c.times), 0) AS n FROM groups g LEFT JOIN counts c USING (lang, source) GROUP BY ALL),
+rates AS (
+  SELECT s.lang, s.source, t.term, coalesce(c.times, 0) AS times,
+         1 + CAST(1000000000 * (coalesce(c.times, 0) + 5)::HUGEINT // (s.n + 5 * l.v)::HUGEINT AS BIGINT) AS p,
+         1 + CAST(1000000000 * (t.times + 5)::HUGEINT // (l.n + 5 * l.v)::HUGEINT AS BIGINT) AS q
+  FROM sums s JOIN langs l USING (lang) JOIN terms t USING (lang) LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = t.term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM rates a JOIN rates b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM rates WHERE times > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(r AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS r FROM found) WHERE part = 'pair' OR r <= 50""",
+    "op12_filter_audit": r"""
+WITH said AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+split AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+least_ids AS (SELECT t, min(doc_id) AS first FROM split GROUP BY t),
+fails AS (
+  SELECT s.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END AS a,
+         CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 1 ELSE 0 END AS b,
+         CASE WHEN 100 * length(regexp_replace(s.t, '[^A-Z]', '', 'g')) > 3 * length(s.t) THEN 1 ELSE 0 END AS c,
+         CASE WHEN regexp_matches(s.t, '[#$%&*|]') THEN 1 ELSE 0 END AS d,
+         CASE WHEN s.doc_id > f.first THEN 1 ELSE 0 END AS e
+  FROM split s JOIN least_ids f ON s.t = f.t LEFT JOIN said ON said.doc_id = s.doc_id),
+cells AS (SELECT part, a + 2 * b + 4 * c + 8 * d + 16 * e AS mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY ALL),
+letters AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(f, bit)),
+orders AS (
+  SELECT p.f || q.f || r.f || s.f || t.f AS filter_order, [p.bit, q.bit, r.bit, s.bit, t.bit] AS bits
+  FROM letters p, letters q, letters r, letters s, letters t WHERE p.bit | q.bit | r.bit | s.bit | t.bit = 31),
+steps AS (SELECT filter_order, i AS step, bits[i] AS own, coalesce(list_sum(bits[1:i - 1]), 0)::BIGINT AS before FROM orders, range(1, 6) x(i)),
+counts AS (
+  SELECT c.part, s.filter_order, s.step, s.own,
+         sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM cells c, steps s GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counts""",
 }

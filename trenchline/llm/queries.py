@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trenchline.llm import bpe, exact_dedup, language, line_dedup, mixing, near_dup, quality, token_files, url_filter, vector_search
+from trenchline.llm import (
+    bpe, exact_dedup, filter_audit, language, line_dedup, mixing, near_dup, quality, simhash, source_divergence, token_files, url_filter, vector_search)
 from trenchline.llm.checks import CHECKS
 from trenchline.llm.tables import table
 
@@ -55,8 +56,20 @@ def op10_exact_dedup(spark, sf_dir):
     return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_source_divergence(spark, sf_dir):
+    return source_divergence.audit(table(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents", "doc_id", "text", "lang"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
+def op13_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_url_filter, op3_line_dedup, op4_mixing, op5_bpe_round_trip, op6_language,
-    op7_token_files, op8_quality, op9_top_k, op10_exact_dedup)}
+    op7_token_files, op8_quality, op9_top_k, op10_exact_dedup, op11_source_divergence, op12_filter_audit, op13_simhash)}
 
 __all__ = ["QUERIES", "CHECKS"]
