@@ -182,3 +182,9 @@ def test_documents_of_the_mix(clashing_docs, no_docs):
     size = {(r.doc_id, len((r.text or "").encode().split())) for r in odd_rows()}
     assert set(times) <= size and all(n > 0 for _, n in times)
     assert mixing.mix_documents(no_docs).count() == mixing.mix_words(no_docs).count() == 0
+
+
+def test_one_pass_round_trip_is_decode_of_encode(odd_docs, clashing_docs, no_docs):
+    want = rows(bpe.decode(bpe.encode(odd_docs)))
+    assert rows(bpe.round_trip(odd_docs)) == rows(bpe.round_trip(clashing_docs)) == want
+    assert bpe.round_trip(no_docs).count() == 0

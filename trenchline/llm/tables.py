@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import tempfile
 import types
@@ -56,16 +57,23 @@ def discard(df: DataFrame) -> None:
 
 
 def worker_state(key: Any, make: Callable[[], Any]) -> Any:
-    """An object that a Python worker makes once and keeps over its tasks (tokenizers, caches)."""
+    """An object that a Python worker makes once and keeps over its tasks (tokenizers, caches).
+
+    A worker keeps one object, so that stages that follow each other do not add up.
+    """
     holder = sys.modules.setdefault("_trenchline_worker_state", types.ModuleType("_trenchline_worker_state"))
     kept = holder.__dict__.setdefault("kept", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of a slice are about `limit` bytes; a longer text is a slice of its own."""
+    """Cut batches so that the texts of a slice are about `limit` bytes; a longer text is a slice of its own.
+
+    When a task's batches are done, its worker gives the memory back that it no longer needs.
+    """
     for batch in batches:
         sizes = batch.column(column)
         if batch.num_rows == 0:
@@ -78,6 +86,14 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
                 start, total = i, 0
             total += n
         yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers stay alive beside those that work."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
