@@ -35,7 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document of the mix."""
-    return bpe.digests(bpe.decode(bpe.encode(docs)))
+    return bpe.digests(bpe.round_trip(docs))
 
 
 STAGES = [
