@@ -128,3 +128,57 @@ def test_zigzags_go_and_corners_stay(spark):
     found = sorted(walks.steady_trail(df).collect(), key=lambda r: r.pos)
     assert [r.pos for r in found] == [0, 3, 5] or [r.pos for r in found] == [0, 2, 3, 5]
     assert (found[0].lat, found[-1].lat) == (rows[0][3], rows[-1][3])
+
+
+def test_many_short_walks_in_seconds(spark):
+    """100,000 walks of three fixes and one longer than a batch, in one pass; each walk starts anew."""
+    import time
+
+    from trenchline.operators import walks
+
+    fixes = spark.range(300_000).selectExpr(
+        "concat('s', id div 3) as session_id", "0.0 as walk_s", "(id % 3) * 1.5 as t_s", "id as event_id", "30 + id * 1e-4 as lat", "0.0 as lon", "5.0 as accuracy_m", "0 as delay_s")
+    long = spark.range(25_000).selectExpr(
+        "'long' as session_id", "0.0 as walk_s", "id * 2.0 as t_s", "id as event_id", "if(id % 5 = 4, 40, 30 + id * 1e-4) as lat", "0.0 as lon", "5.0 as accuracy_m", "0 as delay_s")
+    started = time.time()
+    kept = walks.accept_fixes(fixes.unionByName(long))
+    found = {r[0]: r[1:] for r in kept.groupBy((F.col("session_id") == "long").alias("long")).agg(F.count("*").alias("n"), F.max("pos").alias("pos"), F.sum("pos").alias("sum")).collect()}
+    assert found[False] == (200_000, 1, 100_000)
+    assert found[True] == (25_000, 24_999, sum(range(25_000)))
+    assert time.time() - started < 60
+
+
+def steady_by_hand(points):
+    """Display line of (lat, lon) points, all at once."""
+    from trenchline.operators.walks import _metres, _zigzag
+
+    kept = [0]
+    for i in range(1, len(points)):
+        if i == len(points) - 1 or not _zigzag(points[kept[-1]], points[i], points[i + 1]):
+            kept.append(i)
+    out = [(i, *points[i]) for i in kept]
+    for j in range(1, len(kept) - 1):
+        a, b, c = (points[k] for k in kept[j - 1:j + 2])
+        y, x = (0.22 * a[k] + 0.56 * b[k] + 0.22 * c[k] for k in (0, 1))
+        if _metres(*b, y, x) <= 2.2:
+            out[j] = (kept[j], y, x)
+    return out
+
+
+def test_steady_lines_of_random_walks(spark):
+    import numpy as np
+
+    from trenchline.operators import walks
+
+    rng, given, want = np.random.default_rng(8), [], {}
+    for s, n in enumerate([1, 2, 3, 4, 50, 400, 12_000]):
+        metres = np.cumsum(rng.normal(0.4, 1.6, (n, 2)), axis=0)
+        points = [(30 + y / 111_195, -96 + x / 96_000) for y, x in metres]
+        given += [(f"s{s}", 0.0, i, *p) for i, p in enumerate(points)]
+        want[f"s{s}"] = steady_by_hand(points)
+    df = spark.createDataFrame(given, "session_id string, walk_s double, pos int, lat double, lon double").repartition(5)
+    for name, line in want.items():
+        found = sorted(tuple(r) for r in walks.steady_trail(df.where(F.col("session_id") == name)).select("pos", "lat", "lon").collect())
+        assert [r[0] for r in found] == [r[0] for r in line]
+        assert np.allclose(found, line, atol=1e-12)
+    assert len(want["s6"]) < 12_000

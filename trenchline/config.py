@@ -92,3 +92,4 @@ class Walk:
     max_age_s: float = 8.0
     min_move_m: float = 1.5
     min_interval_s: float = 2.0
+    idle_s: float = 1800.0

@@ -6,14 +6,15 @@ Batch twins of the streaming job; both apply the same rules.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trenchline.config import EARTH_RADIUS_M, Walk
 from trenchline.functions import geo
 from trenchline.functions.stations import let
+from trenchline.operators.ordered import ordered_pass
 from trenchline.operators.sequences import split_blocks, with_last_mark, with_neighbours
 
 DAY_S = 86400.0
@@ -48,28 +49,32 @@ def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return math.atan2(math.sqrt(a), math.sqrt(1 - a)) * (2 * EARTH_RADIUS_M)
 
 
+class LastKept:
+    """Keeps a fix that is far and late enough from the last one kept; rows are (t_s, event_id, lat, lon, accuracy_m)."""
+
+    def __init__(self, cfg: Walk):
+        self.cfg, self.last, self.pos = cfg, None, -1
+
+    def push(self, row: tuple) -> Iterator[tuple]:
+        t, _, lat, lon, _ = row
+        if self.last is None or (t - self.last[0] >= self.cfg.min_interval_s and _metres(self.last[1], self.last[2], lat, lon) >= self.cfg.min_move_m):
+            self.last, self.pos = (t, lat, lon), self.pos + 1
+            yield (self.pos, *row)
+
+    def end(self) -> Iterator[tuple]:
+        return iter(())
+
+
 def accept_fixes(walked: DataFrame, cfg: Walk = Walk()) -> DataFrame:
     """Fixes kept on each walk: good ones at least 1.5 m and 2 s from the last one kept.
 
-    The rule needs the last kept fix, so each walk, which is hours at most, is one ordered pass.
+    The rule needs the last kept fix, so walks are ordered passes, many in one task.
     """
     good = walked.where(good_fix(F.col("accuracy_m"), F.col("delay_s"), cfg)).select(
-        *WALK, "event_id", *(F.col(c).cast("double").alias(c) for c in ("t_s", "lat", "lon", "accuracy_m")))
+        *WALK, F.col("t_s").cast("double").alias("t_s"), "event_id", *(F.col(c).cast("double").alias(c) for c in ("lat", "lon", "accuracy_m")))
     kind = dict(good.dtypes)
-
-    def keep(fixes: pd.DataFrame) -> pd.DataFrame:
-        fixes = fixes.sort_values(["t_s", "event_id"], kind="stable")
-        kept, last = [], None
-        for i, (t, lat, lon) in enumerate(zip(fixes["t_s"].tolist(), fixes["lat"].tolist(), fixes["lon"].tolist(), strict=True)):
-            if last is None or (t - last[0] >= cfg.min_interval_s and _metres(last[1], last[2], lat, lon) >= cfg.min_move_m):
-                kept.append(i)
-                last = (t, lat, lon)
-        out = fixes.iloc[kept]
-        return out.assign(pos=range(len(out)))
-
-    columns = [*WALK, "pos", "t_s", "event_id", "lat", "lon", "accuracy_m"]
-    schema = ", ".join(f"{c} {kind.get(c, 'int')}" for c in columns)
-    return good.groupBy(*WALK).applyInPandas(lambda fixes: keep(fixes)[columns], schema)
+    schema = ", ".join(f"{c} {kind.get(c, 'int')}" for c in (*WALK, "pos", "t_s", "event_id", "lat", "lon", "accuracy_m"))
+    return ordered_pass(good, WALK, ["t_s", "event_id"], lambda: LastKept(cfg), schema)
 
 
 def snap_to_line(coords: Column, chain: Column, lat: Column, lon: Column) -> Column:
@@ -133,35 +138,45 @@ def _zigzag(a: tuple, b: tuple, c: tuple) -> bool:
     return ab <= 14 and bc <= 14 and ab + bc <= _metres(*a, *c) + 1.8
 
 
-def _eased(points: list[tuple]) -> list[tuple]:
-    out = list(points)
-    for i in range(1, len(points) - 1):
-        (a, b), (lat, lon), (c, d) = points[i - 1], points[i], points[i + 1]
-        y, x = a * 0.22 + lat * 0.56 + c * 0.22, b * 0.22 + lon * 0.56 + d * 0.22
-        if _metres(lat, lon, y, x) <= 2.2:
-            out[i] = (y, x)
-    return out
+class Steady:
+    """Display line of a walk, a point at a time; rows are (pos, lat, lon).
+
+    A point goes if it is a zigzag between the last kept point and the one after it; the first
+    and the last stay.  A kept point is certain, and eased, once the next kept one is known.
+    """
+
+    def __init__(self) -> None:
+        self.next = self.before = self.kept = None
+
+    def push(self, row: tuple) -> Iterator[tuple]:
+        if self.kept is None:
+            self.kept = row
+            return
+        if self.next is not None and not _zigzag(self.kept[1:], self.next[1:], row[1:]):
+            yield from self.keep(self.next)
+        self.next = row
+
+    def keep(self, row: tuple) -> Iterator[tuple]:
+        pos, lat, lon = self.kept
+        if self.before is not None:
+            y, x = (self.before[i] * 0.22 + self.kept[i] * 0.56 + row[i] * 0.22 for i in (1, 2))
+            if _metres(lat, lon, y, x) <= 2.2:
+                lat, lon = y, x
+        yield pos, lat, lon
+        self.before, self.kept = self.kept, row
+
+    def end(self) -> Iterator[tuple]:
+        if self.next is not None:
+            yield from self.keep(self.next)
+        if self.kept is not None:
+            yield self.kept
 
 
 def steady_trail(trail: DataFrame) -> DataFrame:
     """Display line of an ended walk: tiny zigzags against the last kept point dropped, then
     each point eased toward its neighbours when that moves it at most 2.2 m.
 
-    Expects pos, lat, lon per walk; each walk is one ordered pass.
+    Expects pos, lat, lon per walk; walks are ordered passes, many in one task.
     """
     slim = trail.select(*WALK, F.col("pos").cast("int").alias("pos"), *(F.col(c).cast("double").alias(c) for c in ("lat", "lon")))
-
-    def steady(walk: pd.DataFrame) -> pd.DataFrame:
-        walk = walk.sort_values("pos", kind="stable")
-        points = list(zip(walk["lat"].tolist(), walk["lon"].tolist(), strict=True))
-        kept = list(range(len(points)))
-        if len(points) > 2:
-            kept = [0]
-            for i in range(1, len(points) - 1):
-                if not _zigzag(points[kept[-1]], points[i], points[i + 1]):
-                    kept.append(i)
-            kept.append(len(points) - 1)
-        eased = _eased([points[i] for i in kept])
-        return walk.iloc[kept].assign(lat=[p[0] for p in eased], lon=[p[1] for p in eased])
-
-    return slim.groupBy(*WALK).applyInPandas(steady, slim.schema)
+    return ordered_pass(slim, WALK, ["pos"], Steady, ", ".join(f"{c} {t}" for c, t in slim.dtypes))

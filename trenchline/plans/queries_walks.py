@@ -75,7 +75,32 @@ def walk_entries(spark, sf_dir):
     return found.select("session_id", "entry_id", st.feet_from_station(F.col("station_text")).alias("station_ft"), "fix_id", r("lat", 7), r("lon", 7))
 
 
-@query("steady_trails")
+_EAST = "(radians(1) * 6371000 * greatest(cos(radians(k.lat)), 0.01))"
+_NORTH = "(radians(1) * 6371000)"
+
+
+def apart(a: str, b: str) -> str:
+    return hav(f"{a}lat", f"{a}lon", f"{b}lat", f"{b}lon", metres=True)
+
+
+_STEADY = [*_SNAP,
+           """zt AS (SELECT session_id, walk_s, pos, qy AS lat, qx AS lon, row_number() OVER w AS n, count(*) OVER (PARTITION BY session_id, walk_s) AS total, lead(qy) OVER w AS after_lat, lead(qx) OVER w AS after_lon
+   FROM sy WINDOW w AS (PARTITION BY session_id, walk_s ORDER BY pos))""",
+           f"""zk AS (SELECT session_id, walk_s, pos, n, true AS kept, lat, lon FROM zt WHERE n = 1
+  UNION ALL SELECT z.session_id, z.walk_s, z.pos, z.n, keep, CASE WHEN keep THEN z.lat ELSE k.lat END, CASE WHEN keep THEN z.lon ELSE k.lon END
+  FROM zk k JOIN zt z ON z.session_id = k.session_id AND z.walk_s = k.walk_s AND z.n = k.n + 1,
+       LATERAL (SELECT (z.lon - k.lon) * {_EAST} AS ux, (z.lat - k.lat) * {_NORTH} AS uy, (z.after_lon - k.lon) * {_EAST} AS vx, (z.after_lat - k.lat) * {_NORTH} AS vy) v,
+       LATERAL (SELECT CASE WHEN sqrt(vx * vx + vy * vy) < 0.35 THEN sqrt(ux * ux + uy * uy) ELSE abs(ux * vy - uy * vx) / sqrt(vx * vx + vy * vy) END AS off,
+                       CASE WHEN vx * vx + vy * vy < 1e-6 THEN 0.5 ELSE (ux * vx + uy * vy) / (vx * vx + vy * vy) END AS t) o,
+       LATERAL (SELECT {apart('k.', 'z.')} AS ab, {apart('z.', 'z.after_')} AS bc, {apart('k.', 'z.after_')} AS ac) m,
+       LATERAL (SELECT z.n = z.total OR NOT (off <= 2.8 AND t >= 0.04 AND t <= 0.96 AND ab <= 14 AND bc <= 14 AND ab + bc <= m.ac + 1.8) AS keep) x)""",
+           """ze AS (SELECT *, lag(lat) OVER w AS p_lat, lag(lon) OVER w AS p_lon, lead(lat) OVER w AS n_lat, lead(lon) OVER w AS n_lon FROM zk WHERE kept WINDOW w AS (PARTITION BY session_id, walk_s ORDER BY pos))""",
+           "zm AS (SELECT *, p_lat * 0.22 + lat * 0.56 + n_lat * 0.22 AS to_lat, p_lon * 0.22 + lon * 0.56 + n_lon * 0.22 AS to_lon FROM ze)",
+           f"zo AS (SELECT *, coalesce({apart('', 'to_')} <= 2.2, false) AS eased FROM zm)"]
+
+
+@query("steady_trails", wsql(*_STEADY, then="""SELECT session_id, round(walk_s, 3) AS walk_s, pos,
+       round(CASE WHEN eased THEN to_lat ELSE lat END, 7) AS lat, round(CASE WHEN eased THEN to_lon ELSE lon END, 7) AS lon FROM zo"""))
 def steady_trails(spark, sf_dir):
     snapped = trail(spark, sf_dir).select(*walks.WALK, "pos", F.col("snap_lat").alias("lat"), F.col("snap_lon").alias("lon"))
     return walks.steady_trail(snapped).select("session_id", r("walk_s", 3), "pos", r("lat", 7), r("lon", 7))
