@@ -145,7 +145,7 @@ def test_many_short_walks_in_seconds(spark):
     found = {r[0]: r[1:] for r in kept.groupBy((F.col("session_id") == "long").alias("long")).agg(F.count("*").alias("n"), F.max("pos").alias("pos"), F.sum("pos").alias("sum")).collect()}
     assert found[False] == (200_000, 1, 100_000)
     assert found[True] == (25_000, 24_999, sum(range(25_000)))
-    assert time.time() - started < 60
+    assert time.time() - started < 120
 
 
 def steady_by_hand(points):

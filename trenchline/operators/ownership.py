@@ -2,22 +2,23 @@
 
 Claims depend on order, and a group may move to another of its evaluated routes.  The unit of
 work is a route: its own groups, and those that moved to it, are settled in order in one task.
-A move only matters to later groups of the route it goes to, so rounds are repeated with the
-moves of the round before until these no longer change; the order has no cycles, so that state
-is the sequential result, and the number of rounds follows the longest chain of moves.
+A move only matters to later groups of the route it goes to, so rounds are repeated until the
+moves no longer change; a round settles the routes again whose arrivals changed in the round
+before, and no others.  The order has no cycles, so that state is the sequential result, and
+the number of rounds follows the longest chain of moves.  Claims of a route are kept in order
+(`intervals.Claims`), so a route of many groups costs little more than its groups' windows.
 Only a group's present route carries its chainage.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trenchline.operators.grouping import GROUP
+from trenchline.operators.intervals import Claims
 from trenchline.operators.windows import half_up, scored_windows, sheet_fractions
 from trenchline.session import cut_lineage
 
@@ -26,7 +27,7 @@ HARD_OVERLAP_FT = 5.0
 INPUT_ORDER = (("source_file", True), ("tokens_key", True), ("min_station_ft", True), ("group_id", True))
 RANKED = (("rank_combined", False), ("rank_window", False), ("span_ft", False), *INPUT_ORDER)
 _PLACE = "project_id string, group_id string, source_file string, tokens_key string, min_station_ft double, span_ft double, rank_combined double, rank_window double"
-SETTLED = _PLACE + ", route_id string, start_ft double, end_ft double, window_score double, combined double, accepted boolean, reselected boolean, reason string, choice int, shown boolean, leaves boolean"
+SETTLED = _PLACE + ", route_id string, start_ft double, end_ft double, window_score double, combined double, accepted boolean, reselected boolean, reason string, choice int, shown boolean, leaves boolean, settled_at string"
 
 
 def overlap_ft(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -72,42 +73,6 @@ def conflict_pairs(claims: DataFrame, width_ft: float = 200.0) -> DataFrame:
     return pairs.withColumns({**facts, "same_zone": same_print_zone(*[F.col(c) for c in ("a_sheets", "b_sheets", "a_streets", "b_streets")])}).drop("_bin")
 
 
-class Claims:
-    """Accepted claims of a route."""
-
-    def __init__(self):
-        self.by_route: dict[str, list[tuple[float, float, str]]] = defaultdict(list)
-
-    def add(self, route: str, start: float, end: float, group: str) -> None:
-        self.by_route[route].append((start, end, group))
-
-    def overlaps(self, route: str, group: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Greatest overlap of each window with any other group's claim."""
-        held = [(s, e) for s, e, g in self.by_route.get(route, ()) if g != group]
-        if not held:
-            return np.zeros(len(start))
-        h = np.asarray(held)
-        shared = np.minimum(end[:, None], h[None, :, 1]) - np.maximum(start[:, None], h[None, :, 0])
-        return np.maximum(0.0, shared).max(axis=1)
-
-    def duplicate(self, route: str, group: str, start: float, end: float) -> tuple[bool, bool]:
-        """(any material conflict, any true duplicate) of a window with the claims of its route."""
-        any_, true = False, False
-        for s, e, g in self.by_route.get(route, ()):
-            over = min(end, e) - max(start, s)
-            if g == group or over <= 0:
-                continue
-            mine, its = max(1.0, abs(end - start)), max(1.0, abs(e - s))
-            least, similar = min(mine, its), min(mine, its) / max(mine, its)
-            tolerance = min(30.0, max(5.0, least * 0.06))
-            near = abs((start + end) / 2 - (s + e) / 2) <= max(25.0, least * 0.10)
-            if over <= tolerance or not (over / least >= 0.12 or near):
-                continue
-            any_ = True
-            true = true or near or (over / least >= 0.5 and similar >= 0.7) or over >= max(80.0, tolerance * 3.0)
-        return any_, true
-
-
 def _options(hyp: dict, rel, span: float, sheets):
     """Every window of a hypothesis but the present one, with score and bias."""
     _, start, end, _, score, bias = scored_windows(hyp["chain"], rel, span, sheet_fractions(sheets, hyp["route_sheets"]))
@@ -121,13 +86,13 @@ def _moved(hyp: dict, start: float, end: float, score: float) -> dict:
 
 
 def separate(row, choice: int, claims: Claims) -> tuple[int, dict, bool, str]:
-    """Where a group may stand given the claims: its own window, another on its route, or its
-    next evaluated route.  Returns (choice, hypothesis, moved, reason)."""
+    """Where a group may stand given the claims of its route: its own window, another on the
+    route, or its next evaluated route.  Returns (choice, hypothesis, moved, reason)."""
     hyp = row.hyps[choice]
     route, s, e = hyp["route_id"], hyp["start_ft"], hyp["end_ft"]
     span, length = max(1.0, abs(e - s)), hyp["length_ft"]
     centre = (s + e) / 2
-    clash = claims.overlaps(route, row.group_id, np.array([s]), np.array([e]))[0] > HARD_OVERLAP_FT
+    clash = claims.overlaps(np.array([s]), np.array([e]))[0] > HARD_OVERLAP_FT
     if not clash:
         if length > 0 and span / max(length, 1.0) >= 0.94 and (s <= 12.0 or length - e <= 12.0):
             start, end, score, _ = _options(hyp, row.rel, row.span_ft, row.sheets)
@@ -138,7 +103,7 @@ def separate(row, choice: int, claims: Claims) -> tuple[int, dict, bool, str]:
                 return choice, _moved(hyp, start[k], end[k], score[k]), True, "edge_locked_window_reselected_inward"
         return choice, hyp, False, "no_within_route_overlap_conflict"
     start, end, score, bias = _options(hyp, row.rel, row.span_ft, row.sheets)
-    ok = np.flatnonzero(claims.overlaps(route, row.group_id, start, end) <= HARD_OVERLAP_FT) if len(start) else []
+    ok = np.flatnonzero(claims.overlaps(start, end) <= HARD_OVERLAP_FT) if len(start) else []
     if len(ok):
         k = ok[np.lexsort((start[ok], np.abs((start[ok] + end[ok]) / 2 - centre), np.abs(np.abs(end[ok] - start[ok]) - span), -bias[ok], -score[ok]))[0]]
         return choice, _moved(hyp, start[k], end[k], score[k]), True, "reselected_to_non_overlapping_subsection_same_route"
@@ -165,8 +130,8 @@ def _first_arrival(row, claims: Claims) -> tuple[bool, str]:
 
 def _second_pass(always: bool):
     """Priority order; each group moves off accepted claims or is blocked as a duplicate."""
-    def judged(route: str, group: str, start: float, end: float, reason: str, claims: Claims) -> tuple[bool, str]:
-        conflict, duplicate = claims.duplicate(route, group, start, end)
+    def judged(start: float, end: float, reason: str, claims: Claims) -> tuple[bool, str]:
+        conflict, duplicate = claims.duplicate(start, end)
         accepted = always or not duplicate
         if not accepted:
             reason = "hard_no_overlap_conflict_no_safe_alternative"
@@ -180,11 +145,11 @@ def _second_pass(always: bool):
             choice, hyp, moved, reason = separate(row, row.choice, claims)
         if choice != row.choice:
             return choice, hyp, True, moved, reason
-        accepted, reason = judged(hyp["route_id"], row.group_id, hyp["start_ft"], hyp["end_ft"], reason, claims)
+        accepted, reason = judged(hyp["start_ft"], hyp["end_ft"], reason, claims)
         return choice, hyp, accepted, moved, reason
 
     def arrival(row, claims: Claims):
-        return judged(row.route_id, row.group_id, row.start_ft, row.end_ft, row.reason, claims)
+        return judged(row.start_ft, row.end_ft, row.reason, claims)
 
     return own, arrival
 
@@ -205,31 +170,57 @@ def _settle(groups: DataFrame, own, arrival, order: tuple, max_rounds: int = 100
             at = [getattr(row, c) for c in place]
             if row.arrives:
                 accepted, reason = arrival(row, claims)
-                found = (row.route_id, row.start_ft, row.end_ft, row.window_score, row.combined, accepted, True, reason, int(row.choice), bool(row.shown), False)
+                found = (row.route_id, row.start_ft, row.end_ft, row.window_score, row.combined, accepted, True, reason, int(row.choice), bool(row.shown), False, key[1])
             else:
                 choice, hyp, accepted, moved, reason = own(row, claims)
                 found = (hyp["route_id"], hyp["start_ft"], hyp["end_ft"], hyp["window_score"], hyp["combined"], accepted, moved, reason, int(choice),
-                         bool(hyp["render_allowed"]), hyp["route_id"] != row.route_id)
-            if accepted and not found[-1]:
-                claims.add(found[0], found[1], found[2], row.group_id)
+                         bool(hyp["render_allowed"]), hyp["route_id"] != row.route_id, key[1])
+            if accepted and not found[-2]:
+                claims.add(found[1], found[2])
             out.append((*at, *found))
         return pd.DataFrame(out, columns=names)
 
-    def mark(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("project_id", "group_id", "route_id").cast("decimal(38,0)"))).first())
-
-    moves = groups.sparkSession.createDataFrame([], SETTLED)
-    before = (0, None)
     keys = ["project_id", "route_id"]
+
+    def settled(of: DataFrame, arriving: DataFrame) -> DataFrame:
+        return cut_lineage(of.groupBy(*keys).cogroup(arriving.groupBy(*keys)).applyInPandas(run, SETTLED))
+
+    # what each route said when it was settled last: all routes first, then those with other arrivals than before
+    said = [settled(home, groups.sparkSession.createDataFrame([], SETTLED))]
+    settled_again: list[DataFrame] = []
+    arrived = said[0].where("leaves").limit(0)
+    moves = cut_lineage(said[0].where("leaves"))
     for _ in range(max_rounds):
-        made = cut_lineage(home.groupBy(*keys).cogroup(moves.groupBy(*keys)).applyInPandas(run, SETTLED))
-        moves = made.where("leaves")
-        if (after := mark(moves)) == before:
-            return made.where("not leaves")
-        before = after
+        routes = cut_lineage(_changed(arrived, moves, keys))
+        if routes.isEmpty():
+            return _last_said(said, settled_again, keys).where("not leaves")
+        again = settled(home.join(routes, keys, "left_semi"), moves.join(routes, keys, "left_semi"))
+        said.append(again)
+        settled_again.append(routes)
+        # `settled_at` is the route that gave a row: for a move the one it leaves
+        left = routes.withColumnRenamed("route_id", "settled_at")
+        arrived, moves = moves, cut_lineage(moves.join(left, ["project_id", "settled_at"], "left_anti").unionByName(again.where("leaves")))
     raise RuntimeError("claims did not settle")
 
 
+def _changed(before: DataFrame, now: DataFrame, keys: list[str]) -> DataFrame:
+    """Routes whose arrivals are not what they were."""
+    columns = [*keys, "group_id", "start_ft", "end_ft", "shown"]
+    old, new = before.select(*columns), now.select(*columns)
+    return old.exceptAll(new).select(*keys).union(new.exceptAll(old).select(*keys)).distinct()
+
+
+def _last_said(said: list[DataFrame], settled_again: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Rows of each route from the round that settled it last."""
+    out = later = None
+    for rows, routes in zip(reversed(said), [*reversed(settled_again), None], strict=True):
+        mine = rows if later is None else rows.join(later.withColumnRenamed("route_id", "settled_at"), ["project_id", "settled_at"], "left_anti")
+        out = mine if out is None else out.unionByName(mine)
+        if routes is not None:
+            later = routes if later is None else later.union(routes).distinct()
+    return out
+
+
 def claim_inputs(evaluated: DataFrame, inputs: DataFrame) -> DataFrame:
     """One row per group: its evaluated hypotheses in order with what is needed to move them."""
     geometry = inputs.select(*GROUP, "route_id", "chain", "route_sheets")
@@ -252,4 +243,4 @@ def resolve(claims: DataFrame, input_order: bool = False) -> DataFrame:
     shown = picked.join(lead, "project_id").withColumn("leader", F.col("group_id") == F.col("first")).drop("first")
     settled = _settle(shown, *_second_pass(input_order), order)
     hidden = first.where("not accepted").withColumn("reason", F.lit("not_render_eligible_before_batch_pass"))
-    return settled.unionByName(hidden).drop("shown", "leaves", "rank_combined", "rank_window", "source_file", "tokens_key", "min_station_ft", "span_ft")
+    return settled.unionByName(hidden).drop("shown", "leaves", "settled_at", "rank_combined", "rank_window", "source_file", "tokens_key", "min_station_ft", "span_ft")
