@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trenchline.functions import geo
 from trenchline.functions import text as tx
 from trenchline.functions.stations import feet_from_station, let, station_scan
+from trenchline.operators import chains
 from trenchline.operators.sequences import split_blocks, with_neighbours
+from trenchline.session import cut_lineage
 from trenchline.sources.bore_logs import scan_page_text
 
 LOG = ["project_id", "source_file"]
-CHAIN_POOL = 18
+CHAIN_POOL, CHAINS_KEPT = 18, 10
 
 
 def _feet(text: Column) -> Column:
@@ -190,7 +188,8 @@ def gate_inputs(best: DataFrame, anchors: DataFrame) -> DataFrame:
 def gate_routes(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
     """Every (log, route) with its locality facts, first reject reason (null when kept) and
     whether it may seed a chain.  Logs without anchors keep all routes."""
-    routes = catalog.select("project_id", "route_id", "route_name", "source_folder", "route_role", F.col("length_ft").alias("route_ft"), "coords")
+    priority = F.col("priority") if "priority" in catalog.columns else F.lit(0.0)
+    routes = catalog.select("project_id", "route_id", "route_name", "source_folder", "route_role", F.col("length_ft").alias("route_ft"), "coords", priority.alias("priority"))
     pairs = inputs.join(routes, "project_id")
     anchored = F.size("anchors") > 0
     short = F.col("route_ft") < F.col("max_ft") - 25
@@ -245,60 +244,11 @@ def local_family(kept: DataFrame, cap: int = 8) -> DataFrame:
     return few.unionByName(family.select(few.columns))
 
 
-CHAIN = ("project_id string, source_file string, route_id string, route_name string, source_folder string, route_role string, route_ft double, "
-         "members array<string>, locality double, box_share double, gate_ft double, penalty double, role_bonus double")
-
-
-def _flat(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Equirectangular feet between every point of a and every point of b."""
-    north = 69.0 * (a[:, None, 0] - b[None, :, 0])
-    east = np.cos(np.radians((a[:, None, 0] + b[None, :, 0]) / 2)) * 69.0 * (a[:, None, 1] - b[None, :, 1])
-    return np.hypot(north, east) * 5280.0
-
-
-def chainable(a: np.ndarray, b: np.ndarray, link_ft: float) -> bool:
-    """Two lines near enough to be one: at their ends, their centres, or an end and a body."""
-    ends_a, ends_b = a[[0, -1]], b[[0, -1]]
-    return bool(
-        _flat(ends_a, ends_b).min() <= link_ft
-        or _flat(a.mean(axis=0)[None], b.mean(axis=0)[None])[0, 0] <= link_ft * 1.45
-        or _flat(b, ends_a).min() <= link_ft * 1.10 or _flat(a, ends_b).min() <= link_ft * 1.10)
-
-
-def _chains(key: tuple, pool: pd.DataFrame) -> pd.DataFrame:
-    """Sets of two to five linked routes whose joint length suits the log; the ten best."""
-    pool = pool.sort_values("place").reset_index(drop=True)
-    target = float(pool["target_ft"].iloc[0])
-    link = max(90.0, min(240.0, target * 0.14 + 30.0))
-    lines = [np.array([(p["lat"], p["lon"]) for p in c]) for c in pool["coords"]]
-    n = len(lines)
-    near = np.zeros((n, n), dtype=bool)
-    for i, j in combinations(range(n), 2):
-        near[i, j] = near[j, i] = chainable(lines[i], lines[j], link)
-    feet = pool["route_ft"].to_numpy()
-    low, high = max(target - 80.0, target * 0.84), max(target * 1.38, target + 220.0)
-    rows = []
-    for size in range(2, min(5, n) + 1):
-        for pick in map(list, combinations(range(n), size)):
-            total = feet[pick].sum()
-            if not low <= total <= high or not near[np.ix_(pick, pick)].any(axis=1).all():
-                continue
-            part = pool.iloc[pick]
-            ids = sorted(part["route_id"])
-            roles = part["route_role"].value_counts()
-            top = max(part["route_role"], key=lambda r: roles[r])
-            rows.append((key[0], key[1], "synthetic_chain_" + "_".join(ids), "Local corridor chain", "corridor_chain", top, round(float(total), 2), ids,
-                         round(float(part["locality"].mean()), 4), round(float(part["box_share"].mean()), 4), part["gate_ft"].min(), 5.0,
-                         float(part["role_bonus"].max())))
-    out = pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in CHAIN.split(", ")])
-    out["_d"] = (out["route_ft"] - target).abs()
-    return out.sort_values(["_d", "locality", "box_share", "route_id"], ascending=[True, False, False, True]).head(10).drop(columns="_d")
-
-
-def synthetic_chains(kept: DataFrame, gated: DataFrame) -> DataFrame:
+def synthetic_chains(kept: DataFrame, gated: DataFrame, distances: DataFrame, pool_size: int | None = CHAIN_POOL, keep: int | None = CHAINS_KEPT) -> DataFrame:
     """Chains built from the kept routes of a log, or from its seeds when fewer than two were kept.
 
-    The pool is cut to the eighteen most local routes before it reaches a task.
+    `distances` are the link distances of the catalog.  The pool is the most local routes, all
+    of them without `pool_size`.
     """
     n = kept.groupBy(*LOG).agg(F.count("*").alias("_n"))
     enough = n.where("_n >= 2").select(*LOG)
@@ -306,9 +256,11 @@ def synthetic_chains(kept: DataFrame, gated: DataFrame) -> DataFrame:
     source = kept.join(enough, LOG, "left_semi").unionByName(seeds.select(kept.columns))
     target = F.when(F.col("max_ft") > 0, F.col("max_ft")).otherwise(F.col("span_ft"))
     order = Window.partitionBy(*LOG).orderBy(F.desc("locality"), F.desc("box_share"), F.abs(F.col("route_ft") - F.col("target_ft")), F.coalesce("gate_ft", F.lit(1e9)), F.asc("route_id"))
-    pool = source.withColumn("target_ft", target).where("target_ft > 0").withColumn("place", F.row_number().over(order)).where(F.col("place") <= CHAIN_POOL)
-    slim = pool.select(*LOG, "route_id", "route_role", "route_ft", "coords", "locality", "box_share", "gate_ft", "role_bonus", "target_ft", "place")
-    return slim.groupBy(*LOG).applyInPandas(_chains, CHAIN)
+    pool = source.withColumn("target_ft", target).where("target_ft > 0").withColumn("place", F.row_number().over(order))
+    if pool_size is not None:
+        pool = pool.where(F.col("place") <= pool_size)
+    slim = pool.select(*LOG, "route_id", "route_role", "route_ft", "coords", "locality", "box_share", "gate_ft", "role_bonus", "priority", "target_ft", "place")
+    return chains.best_chains(cut_lineage(slim), distances, keep)
 
 
 def prune_same_names(routes: DataFrame) -> DataFrame:
@@ -321,13 +273,14 @@ def prune_same_names(routes: DataFrame) -> DataFrame:
             .select(*LOG, "r.*", "family_size"))
 
 
-def filtered_pool(gated: DataFrame) -> DataFrame:
+def filtered_pool(gated: DataFrame, catalog: DataFrame, family: int = 8, pool_size: int | None = CHAIN_POOL, keep: int | None = CHAINS_KEPT) -> DataFrame:
     """Final route pool of each log: kept routes, their local family, chains, one per name."""
-    kept = local_family(gated.where(F.col("reject").isNull()))
-    chains = synthetic_chains(kept, gated)
-    cols = [*LOG, "route_id", "route_name", "source_folder", "route_role", "route_ft", "locality", "box_share", "gate_ft", "penalty", "role_bonus"]
+    kept = local_family(gated.where(F.col("reject").isNull()), family)
+    distances = cut_lineage(chains.link_distances(catalog))
+    built = synthetic_chains(kept, gated, distances, pool_size, keep)
+    cols = [*LOG, "route_id", "route_name", "source_folder", "route_role", "route_ft", "locality", "box_share", "gate_ft", "penalty", "role_bonus", "priority", "coords"]
     spans = gated.select(*LOG, "span_ft").distinct()
-    both = kept.select(*cols).unionByName(chains.select(*cols)).join(spans, LOG)
+    both = kept.select(*cols).unionByName(built.select(*cols)).join(spans, LOG)
     pruned = prune_same_names(both)
     n = F.count("*").over(Window.partitionBy(*LOG))
     return pruned.withColumn("too_broad", n > 6)
