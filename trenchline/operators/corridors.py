@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from trenchline.functions import geo
 from trenchline.functions import text as tx
 from trenchline.functions.stations import feet_from_station, let, station_scan
-from trenchline.operators import chains
+from trenchline.operators import chains, substrings
 from trenchline.operators.sequences import split_blocks, with_neighbours
 from trenchline.session import cut_lineage
 from trenchline.sources.bore_logs import scan_page_text
@@ -138,15 +138,25 @@ def match_corridors(logs: DataFrame, segments: DataFrame, keep: int = 8) -> Data
         "station_reset", F.col("stations_reset") | F.col("equation_parent_ft").isNotNull()).drop("second", "seg_words")
 
 
-def anchor_points(best: DataFrame, points: DataFrame) -> DataFrame:
-    """Design points whose name, folder or role holds a word of the best corridor, per log."""
+def anchor_words(best: DataFrame) -> DataFrame:
+    """LOG and word: the words of each log's best corridor that may name a design point."""
     text = F.concat_ws(" ", F.concat("streets", "labels"))
     extra = F.regexp_extract_all(text, F.lit(r"(?i)(?:SPLICE\s+LOC\s*\d+|AP-\d+|\d{3})"), F.lit(0))
     words = F.array_distinct(tx.tokens(F.concat_ws(" ", text, F.array_join(extra, " ")), 2, keep_numbers=True))
-    hay = F.lower(F.concat_ws(" ", "name", "folder_path", "role"))
-    logs = best.select(*LOG, words.alias("anchor_words"))
-    hits = logs.join(points.withColumn("hay", hay), "project_id").where(F.exists("anchor_words", lambda t: F.contains(F.col("hay"), t)))
-    return hits.groupBy(*LOG).agg(F.array_sort(F.collect_set(F.struct("lat", "lon"))).alias("anchors"))
+    return best.select(*LOG, F.explode(words).alias("word"))
+
+
+def anchor_points(best: DataFrame, points: DataFrame) -> DataFrame:
+    """Design points whose name, folder or role holds a word of the best corridor, per log.
+
+    Words meet names through an index of their letter triples (`substrings.holders`), once a
+    project; logs then meet the points by the words they share.
+    """
+    words = anchor_words(best)
+    named = points.withColumn("hay", F.lower(F.concat_ws(" ", "name", "folder_path", "role")))
+    hits = substrings.holders(words, named, ["project_id"], "word", "hay")
+    found = words.join(hits, ["project_id", "word"]).select(*LOG, "hay").distinct().join(named.select("project_id", "hay", "lat", "lon"), ["project_id", "hay"])
+    return found.groupBy(*LOG).agg(F.array_sort(F.collect_set(F.struct("lat", "lon"))).alias("anchors"))
 
 
 def _spot(coords: Column, anchors: Column) -> Column:
