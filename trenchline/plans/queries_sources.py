@@ -9,6 +9,7 @@ from trenchline.plans.inputs import table, view, with_views
 from trenchline.plans.queries_text import feet_sql, first_number_sql, number_sql, strict_sql, two_digit_sql
 from trenchline.plans.registry import query
 from trenchline.session import new_path
+from trenchline.sources.keyed_store import KeyedStore
 from trenchline.sources import bore_logs as src
 from trenchline.sources import exports, stores
 
@@ -129,9 +130,22 @@ def saved_rows_csv(spark, sf_dir):
     return exports.read_csv(spark, path).groupBy(*exports.SAVED_COLUMNS).agg(F.count("*").alias("n"))
 
 
-@query("replace_by_source", with_views("bore_rows", then="""
+_REVISED = with_views("bore_rows", then="""
 SELECT project_id, source_file, print, station, CASE WHEN source_file LIKE 'zone0%' THEN 'revised' ELSE notes END AS notes
-FROM bore_rows"""))
+FROM bore_rows""")
+
+
+@query("stored_by_source", _REVISED)
+def stored_by_source(spark, sf_dir):
+    """The same through a stored table: all files, then a second upload of some of them."""
+    rows = view(spark, sf_dir, "bore_rows").select("project_id", "source_file", "print", "station", "notes")
+    store = KeyedStore(spark, new_path(spark, "rows_by_source"), rows.schema, buckets=8)
+    store.replace(rows)
+    store.replace(rows.where(F.startswith("source_file", F.lit("zone0"))).withColumn("notes", F.lit("revised")))
+    return store.read()
+
+
+@query("replace_by_source", _REVISED)
 def replace_by_source(spark, sf_dir):
     rows = view(spark, sf_dir, "bore_rows").select("project_id", "source_file", "print", "station", "notes")
     revised = rows.where(F.startswith("source_file", F.lit("zone0"))).withColumn("notes", F.lit("revised"))

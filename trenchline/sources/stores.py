@@ -16,12 +16,6 @@ def replace_by_source(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     return existing.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
 
 
-def write_by_source(df: DataFrame, path: str) -> None:
-    """Store rows by file so one upload rewrites only its own partitions."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-       .partitionBy("project_id", "source_file").parquet(path))
-
-
 def first_of_each(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Exact dedupe keeping the first row of each key; a map-side aggregate, not a window."""
     rest = [c for c in df.columns if c not in keys]
