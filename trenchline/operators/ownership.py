@@ -54,7 +54,7 @@ def conflict_columns(a0: Column, a1: Column, b0: Column, b1: Column) -> dict[str
     near = gap <= F.greatest(F.lit(25.0), least * 0.10)
     return {
         "overlap_ft": F.round(over, 2), "overlap_ratio": F.round(over / F.greatest(F.lit(1.0), least), 6),
-        "centre_gap_ft": F.round(gap, 2), "span_similarity": F.round(least / F.greatest(span_a, span_b), 6),
+        "centre_gap_ft": F.round(F.round(gap, 6), 2), "span_similarity": F.round(least / F.greatest(span_a, span_b), 6),
         "near_duplicate": near, "conflict": (over > tolerance) & ((over / least >= 0.12) | near)}
 
 

@@ -7,7 +7,7 @@ import importlib
 from trenchline.plans.registry import CHECKS, QUERIES
 
 AREAS = ("text", "sources", "geometry", "quality", "matching", "gates", "ownership",
-         "corridors", "outputs", "network", "walks")
+         "corridors", "outputs", "placed", "network", "walks")
 
 for _area in AREAS:
     importlib.import_module(f"trenchline.plans.queries_{_area}")
