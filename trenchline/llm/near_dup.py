@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from trenchline.llm.bloom import twice_seen
 from trenchline.llm.components import components
-from trenchline.llm.tables import as_bytes, stored, text_slices, worker_state
+from trenchline.llm.tables import as_bytes, discard, stored, text_slices, worker_state
 
 SHINGLE_WORDS, SIMILARITY = 5, 0.8
 #: 20 bands of 5: a pair of similarity 0.8 shares a bucket with probability 0.9996.
@@ -171,19 +171,18 @@ def sign(docs: DataFrame) -> DataFrame:
 
 
 def tokens_of(docs: DataFrame) -> DataFrame:
-    """node and tokens: each shingle with the number of its occurrence, so overlaps of multisets are overlaps of sets."""
+    """node and tokens of node and text: each shingle with the number of its occurrence, so overlaps of multisets are overlaps of sets."""
     def run(batches: Iterator[pa.RecordBatch]):
         known = worker_state("word hashes", WordHashes)
         for part in text_slices(batches, "text"):
-            node, tokens = [], []
+            tokens = []
             for text in as_bytes(part["text"]):
                 e, w = shingles(text, known)
-                node.append(xxhash.xxh128_digest(e.tobytes() + w.astype("<i8").tobytes()))
                 nth = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
                 tokens.append(mixed(np.repeat(e, w) + nth.astype(U) * GOLDEN).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "tokens"])
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array(tokens, pa.list_(pa.int64()))], ["node", "tokens"])
 
-    return docs.mapInArrow(run, "node binary, tokens array<long>")
+    return docs.mapInArrow(run, "node long, tokens array<long>")
 
 
 def verified(pairs: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
@@ -300,33 +299,41 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.withColumn("content", F.xxhash64("text"))
     signed = stored(sign(docs.select("doc_id", "text", "content")), "signatures")
     nodes = signed.where("node is not null").groupBy("node").agg(F.max("weight").alias("weight"), F.max("buckets").alias("buckets"), F.min("content").alias("content"))
-    nodes = stored(nodes, "nodes")
-    rows = nodes.select("node", "weight", F.explode("buckets").alias("bucket"))
-    sizes = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    # numbers of their own, fixed as the table is written
+    nodes = stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    # most buckets hold one node; a Bloom filter keeps them from shuffling, and numbers stand for digests from here on
+    rows = nodes.select("id", F.col("weight").cast("int").alias("weight"), F.explode("buckets").alias("bucket"))
+    rows = rows.where(twice_seen(rows.select("bucket"), nodes.count() * BANDS).column(F.col("bucket")))
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(rows.join(sizes, "bucket"), "shared")
-    ties = shared.groupBy("node").agg(F.sum("n").alias("ties"))
-    members = stored(shared.join(ties, "node").select("bucket", "node", "weight", "ties"), "members")
+    ties = shared.groupBy("id").agg(F.sum("n").alias("ties"))
+    members = stored(shared.join(ties, "id").select("bucket", F.col("id").alias("node"), "weight", "ties"), "members")
+    discard(shared)
 
     def tokens_for(some: DataFrame, have: DataFrame | None) -> DataFrame:
         """The tokens of these nodes; a Bloom filter of their contents spares the other texts."""
         needed = some.distinct()
         if have is not None:
             needed = needed.join(have, "node", "left_anti")
-        needed = stored(nodes.select("node", "content").join(needed, "node"), "needed")
+        needed = stored(nodes.select(F.col("id").alias("node"), "content").join(needed, "node"), "needed")
         if needed.isEmpty():
             return have
         wanted = twice_seen(needed.select("content"), needed.count(), times=1)
         texts = docs.select("text", "content").where(wanted.column(F.col("content")))
         # one text for each node, chosen by its content hash
         once = texts.join(needed, "content").groupBy("node").agg(F.min("text").alias("text"))
-        new = stored(tokens_of(once.select("text")), "tokens")
+        new = stored(tokens_of(once), "tokens")
         return new if have is None else have.unionByName(new)
 
     roots = classes_of(members, tokens_for, similarity)
+    discard(members)
     if roots is None:
         return signed.select("doc_id", "content", "node", F.col("node").alias("root"))
-    labelled = signed.drop("weight", "buckets").join(roots, "node", "left")
-    return labelled.select("doc_id", "content", "node", F.coalesce("root", "node").alias("root"))
+    # a class is named by the digest of its root; nodes without links by their own
+    linked = nodes.select("node", F.col("id")).join(roots.select(F.col("node").alias("id"), "root"), "id")
+    named = linked.join(nodes.select(F.col("id").alias("root"), F.col("node").alias("root_node")), "root").select("node", "root_node")
+    labelled = signed.drop("weight", "buckets").join(named, "node", "left")
+    return labelled.select("doc_id", "content", "node", F.coalesce("root_node", "node").alias("root"))
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
