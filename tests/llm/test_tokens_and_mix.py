@@ -62,9 +62,7 @@ def test_decoding_part_of_a_character(spark):
 # token files -----------------------------------------------------------------------------------
 
 def library():
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    return tokenizer
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def files_by_hand(docs):
@@ -103,6 +101,13 @@ def test_stretches_keep_the_ids(texts):
 CACHED, LIBRARY = token_files.StretchEncoder(token_files.VOCABULARY), library()
 
 
+def test_strings_of_special_tokens_are_what_the_library_makes_of_them():
+    texts = ["<|endoftext|> hi", "a<|endoftext|>b c", "plain words", "x <|endoftext|>", "<|endoftext|", "one <|endof text|> two", "<|endoftext|><|endoftext|>"]
+    found = token_files.StretchEncoder(token_files.VOCABULARY).ids(texts)
+    assert found == [packed(library_ids(text)) for text in texts]
+    assert found[0] == packed([50256, 23105])
+
+
 def test_a_full_cache_starts_over(monkeypatch):
     monkeypatch.setattr(token_files, "CACHE_ENTRIES", 5)
     coder = token_files.StretchEncoder(token_files.VOCABULARY)

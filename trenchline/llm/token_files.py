@@ -14,7 +14,8 @@ repeated task leaves no half-written or doubled part.
 Texts are encoded by the tokenizers library, one stretch between single spaces at a time:
 no match of the byte-level pattern crosses a step from a non-space to a space, so stretches
 give the same ids as the whole text, and a bounded cache keeps those already seen.  A text
-where a space has white space beside it is encoded whole.
+where a space has white space beside it, or that holds the string of a special token (which
+the library gives that token's id), is encoded whole.
 
 Defined results: null counts as empty and holds the end id alone; rows with one doc_id follow
 each other in the order of their texts; null ids come last; an empty table gives a folder
@@ -55,7 +56,8 @@ class StretchEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings that the library takes for one token wherever they stand in a text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes | None] = {}
         self.tails: dict[str, bytes] = {}
         self.parting = self.whole(PARTING)
@@ -99,7 +101,8 @@ class StretchEncoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text."""
-        cut = [x.split(" ") for x in texts]
+        held = {i for i, x in enumerate(texts) if any(a in x for a in self.added)}
+        cut = [[""] if i in held else x.split(" ") for i, x in enumerate(texts)]
         new = set().union(*(x[1:] for x in cut)).difference(self.known)
         if new and len(self.known) + len(new) > CACHE_ENTRIES:
             self.known.clear()
