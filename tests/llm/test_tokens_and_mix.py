@@ -178,6 +178,40 @@ def test_slots_follow_the_weights_all_along(spark):
     assert dict(got) == need
 
 
+def test_every_prefix_of_the_mix_follows_the_weights(spark):
+    """In the order of their first slots, documents of each source come at the rate of its target."""
+    given = spark.range(9000).selectExpr("id as doc_id", "concat('s', id % 3) as source", "5 + id % 7 as size")
+    found = mixing.taken_words(given, ["doc_id", "size"], 100).where("first_slot is not null").collect()
+    last = max(r.first_slot for r in found)
+    target, whole = ({r.source: float(r[c]) for r in found} for c in ("target", "source_size"))
+    for part in (0.1, 0.3, 0.5, 0.7, 0.9):
+        held = defaultdict(int)
+        for r in found:
+            if r.first_slot <= part * last:
+                held[r.source] += r.size
+        # the last slot of the schedule ends the source with the largest target; others stand at the same share of theirs
+        shares = {s: min(held[s] / target[s], 1.0) for s in target if held[s] < 0.98 * whole[s]}
+        assert shares and max(shares.values()) - min(shares.values()) < 0.05
+    assert any(r.again_slot is not None and r.again_slot > r.first_slot for r in found)
+
+
+def test_mixed_rows_lie_in_the_order_of_the_schedule(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('word ', 200) as text", "concat('s', id % 4) as source")
+    sized = docs.select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
+    slots = {r.doc_id: (r.first_slot, r.again_slot) for r in mixing.taken_words(sized, ["doc_id", "size"]).collect()}
+    mixed = [r.doc_id for r in mixing.mix_documents(docs).collect()]
+    seen, before, out_of_order = set(), -1, 0
+    for i in mixed:
+        first, again = slots[i]
+        slot = again if i in seen and again is not None else first
+        seen.add(i)
+        out_of_order += slot < before
+        before = max(before, slot)
+    assert out_of_order == 0 and len(mixed) > 5000
+
+
 def test_documents_of_the_mix(clashing_docs, no_docs):
     mixed = mixing.mix_documents(clashing_docs)
     assert mixed.columns == clashing_docs.columns

@@ -32,13 +32,32 @@ rates AS (
 common AS (SELECT arg_min(rate, most::DOUBLE / w) AS rate FROM rates WHERE rate * w <= most),
 targets AS (SELECT r.number, r.source, r.source_size, least(r.most::DOUBLE, coalesce(c.rate * r.w, r.most)) AS target FROM rates r, common c),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS take,
+  SELECT t.number, s.doc_id, s.size, t.source_size, t.target, CAST(floor(t.target + 0.5) AS BIGINT) AS take,
          coalesce(sum(s.size) OVER (PARTITION BY t.number ORDER BY md5(CAST(s.doc_id AS VARCHAR)), s.doc_id, s.size
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+blocked AS (
+  SELECT *, ceil(source_size / greatest(1, ceil(source_size / 65536.0)))::BIGINT AS length FROM (
+    SELECT number, source_size, CAST(floor(target + 0.5) AS BIGINT) AS take FROM targets WHERE source_size > 0)),
+needs AS (
+  SELECT *, ceil(source_size / length::DOUBLE)::BIGINT AS blocks,
+         (take // source_size) * ceil(source_size / length::DOUBLE)::BIGINT + ceil((take % source_size) / length::DOUBLE)::BIGINT AS slots FROM blocked),
+circle AS (
+  SELECT *, coalesce(sum(slots) OVER (ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low, (sum(slots) OVER ())::BIGINT AS total FROM needs),
+points AS (
+  SELECT slot, (slot % 2147483648) * 2654435769 % 4294967296 / 4294967296::DOUBLE * total AS point
+  FROM (SELECT DISTINCT total FROM circle) t, range(0, (SELECT 2 * max(total) FROM circle)) r(slot)),
+dealt AS (
+  SELECT slot, c.*, row_number() OVER (PARTITION BY number ORDER BY slot) - 1 AS rank FROM points JOIN circle c ON point >= low AND point < low + slots),
+used AS (
+  SELECT number, slot, rank % blocks * length AS block_start, least((rank % blocks + 1) * length, take - rank // blocks * source_size) AS block_end FROM dealt WHERE rank < slots),
+firsts AS (
+  SELECT p.number, p.start, min(slot) AS first_slot FROM placed p JOIN used u ON u.number = p.number AND u.block_start < p.start + p.size AND u.block_end > p.start
+  WHERE p.size > 0 GROUP BY ALL)
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(start + size, take) - start) + greatest(0, least(start + size, take - source_size) - start) AS BIGINT) AS taken
-FROM placed""",
+       CAST(greatest(0, least(start + size, take) - start) + greatest(0, least(start + size, take - source_size) - start) AS BIGINT) AS taken,
+       CASE WHEN size > 0 THEN first_slot END AS first_slot
+FROM placed LEFT JOIN firsts USING (number, start)""",
     "op9_top_k": """
 WITH whole AS (
   SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings

@@ -114,9 +114,11 @@ def laid_out(sized: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def taken_words(sized: DataFrame, keys: list[str], block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per document copy: the keys, copy, copies, source_size, target, taken.
+    """One row per document copy: the keys, copy, copies, source_size, target, taken, first_slot, again_slot.
 
-    `sized` has source, size and the keys (doc_id and size among them).
+    `sized` has source, size and the keys (doc_id and size among them).  A document's slots
+    are those whose block holds words of it: first_slot is the first of the schedule, and
+    again_slot the first of the second time round (null where the mix takes none).
     """
     spark = sized.sparkSession
     sources = stored(with_blocks(source_targets(sized), block_words), "sources")
@@ -127,31 +129,48 @@ def taken_words(sized: DataFrame, keys: list[str], block_words: int = BLOCK_WORD
     slots = schedule(spark, sources).join(sources.select("number", "blocks", "length", F.col("source_size").alias("whole"), "take"), "number")
     block, again = F.expr("rank % blocks"), F.expr("rank div blocks")
     clip = F.least(F.expr("(rank % blocks + 1) * length"), F.col("take") - again * F.col("whole"))
-    used = slots.select("number", block.alias("block"), clip.alias("clip"))
+    used = slots.select("number", block.alias("block"), clip.alias("clip"), "slot", again.alias("again"))
     end = F.col("start") + F.col("size") - 1
     pieces = documents.where("size > 0").withColumn("block", F.explode(F.sequence(F.expr("start div length"), F.floor(end / F.col("length")))))
     overlap = F.least(F.col("start") + F.col("size"), "clip") - F.greatest("start", F.col("block") * F.col("length"))
-    taken = (pieces.join(used, ["number", "block"]).groupBy("number", "start").agg(F.sum(F.greatest(overlap, F.lit(0))).alias("taken")))
+    slot = F.when(overlap > 0, F.col("slot"))
+    taken = pieces.join(used, ["number", "block"]).groupBy("number", "start").agg(
+        F.sum(F.greatest(overlap, F.lit(0))).alias("taken"), F.min(slot).alias("first_slot"), F.min(F.when(F.col("again") > 0, slot)).alias("again_slot"))
     # documents without words share their place with others and take nothing
-    joined = documents.where("size > 0").join(taken, ["number", "start"], "left").select("source", *keys, "copy", "copies", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    empty = documents.where("size = 0").select("source", *keys, "copy", "copies", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    joined = documents.where("size > 0").join(taken, ["number", "start"], "left").select("source", *keys, "copy", "copies", "source_size", "target",
+                                                                                               F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", "again_slot")
+    none = F.lit(None).cast("long")
+    empty = documents.where("size = 0").select("source", *keys, "copy", "copies", "source_size", "target", F.lit(0).cast("long").alias("taken"), none.alias("first_slot"), none.alias("again_slot"))
     return joined.unionByName(empty)
 
 
 def mix_words(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken, first_slot (its place in the order of the mix; null if it has none)."""
     sized = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size")), "sizes")
-    return taken_words(sized, ["doc_id", "size"]).select("doc_id", "size", "source_size", "target", "taken")
+    return taken_words(sized, ["doc_id", "size"]).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def mix_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: the rows of `docs`, each as often as the mix takes it (to the nearest whole)."""
+    """The mix itself: the rows of `docs`, each as often as the mix takes it (to the nearest whole).
+
+    Rows come in the order of the schedule: sorted by slot within and across partitions, so
+    files written from them follow the weights from the first to the last.
+    """
     content = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), words(F.col(text)).alias("size"), content.alias("content"))
     sized = stored(rows.drop("row"), "sizes")
     keys = ["doc_id", "size", "content"]
-    shares = taken_words(sized, keys).where("size > 0").groupBy("source", *keys).agg(F.floor(F.sum("taken") / (F.max("copies") * F.col("size")) + 0.5).alias("times"))
-    shares = shares.where("times > 0").select("times", *(F.col(k).alias(f"_{k}") for k in ("source", *keys)))
+    shares = taken_words(sized, keys).where("size > 0").groupBy("source", *keys).agg(
+        F.floor(F.sum("taken") / (F.max("copies") * F.col("size")) + 0.5).alias("times"), F.min("first_slot").alias("first_slot"), F.min("again_slot").alias("again_slot"))
+    shares = shares.where("times > 0").select("times", "first_slot", "again_slot", *(F.col(k).alias(f"_{k}") for k in ("source", *keys)))
+    shares = stored(shares, "shares")
+    last = shares.agg(F.max(F.greatest("first_slot", F.coalesce("again_slot", "first_slot")))).first()[0] or 0
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ("source", *keys)]
     on = same[0] & same[1] & same[2] & same[3]
-    return rows.join(shares, on).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("row.*")
+    each = rows.join(shares, on).select("row", "doc_id", "first_slot", "again_slot", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("nth"))
+    slot = F.when(F.col("nth") > 1, F.coalesce("again_slot", "first_slot")).otherwise(F.col("first_slot"))
+    # slots hold equal numbers of words, so ranges of slots make equal partitions without a sample
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = each.select("row", slot.alias("slot"), F.xxhash64("doc_id").alias("within"))
+    dealt = ordered.repartitionById(parts, F.expr(f"cast(slot * {parts} div {last + 1} as int)"))
+    return dealt.sortWithinPartitions("slot", "within").select("row.*")
