@@ -132,6 +132,10 @@ def neighbours(catalog: DataFrame, bearings: DataFrame, keep: int | None = NEIGH
     return up.join(n_up, key).join(down.join(n_down, key), key, "full")
 
 
+#: Ways of anchoring that prove little.
+WEAK_ANCHORS = ("", "none", "group_relative_origin", "full_route_fallback", "balanced_span_search")
+
+
 def validate(anchored: DataFrame) -> DataFrame:
     """Six checks of each hypothesis, its overall status, confidence and failure class."""
     w = Window.partitionBy(*GROUP)
@@ -165,7 +169,7 @@ def validate(anchored: DataFrame) -> DataFrame:
         "c_span": F.when(F.col("drift") > 0.35, "fail").when(F.col("drift") > 0.15, "warn").otherwise("pass"),
         "c_spacing": F.when((low < 0.50) | (high > 1.75), "fail").when((low < 0.80) | (high > 1.25), "warn").otherwise("pass"),
         "c_edge": F.when(at_edge >= 2, "warn").otherwise("pass"),
-        "c_anchor": F.lit("pass")})
+        "c_anchor": F.when(F.coalesce("anchor_strategy", F.lit("")).isin(*WEAK_ANCHORS), "warn").otherwise("pass")})
     all_checks = F.array("c_ambiguity", "c_monotone", "c_span", "c_spacing", "c_edge", "c_anchor")
     status = F.when(F.array_contains(all_checks, "fail"), "fail").when(F.array_contains(all_checks, "warn"), "warn").otherwise("pass")
     return checks.withColumn("status", status).withColumns({

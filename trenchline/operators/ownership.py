@@ -74,7 +74,9 @@ def conflict_pairs(claims: DataFrame, width_ft: float = 200.0) -> DataFrame:
 
 
 def _options(hyp: dict, rel, span: float, sheets):
-    """Every window of a hypothesis but the present one, with score and bias."""
+    """Every window of a hypothesis but the present one, with score and bias; a route without length has none."""
+    if hyp["chain"] is None or len(hyp["chain"]) < 2:
+        return (np.empty(0),) * 4
     _, start, end, _, score, bias = scored_windows(hyp["chain"], rel, span, sheet_fractions(sheets, hyp["route_sheets"]))
     other = (np.abs(start - hyp["start_ft"]) >= 1e-6) | (np.abs(end - hyp["end_ft"]) >= 1e-6)
     return start[other], end[other], score[other], bias[other]

@@ -131,6 +131,9 @@ def best_window(chain: pd.Series, lat: pd.Series, lon: pd.Series, rel: pd.Series
                 route_sheets: pd.Series) -> pd.DataFrame:
     out = []
     for c, la, lo, x, s, gs, rs in zip(chain, lat, lon, rel, span, sheets, route_sheets):
+        if c is None or len(c) < 2 or not c[-1] > 0:  # a route without length has no window
+            out.append((0.0, 0.0, None, 0.0, 0.0, 0, [], [], [], [], [], 0))
+            continue
         line, start, end, kind, score, bias = scored_windows(c, x, s, sheet_fractions(gs, rs))
         best = np.lexsort((start, np.abs(np.abs(end - start) - s), -bias, -score))[0]
         seg, ratio, piece = line.locate(start[best] + np.asarray(x, dtype=float))
@@ -163,13 +166,23 @@ def hypothesis_inputs(ranked: DataFrame, groups: DataFrame, catalog: DataFrame,
     )
 
 
+#: How a hypothesis was placed: by its best window, or not at all.
+SLIDING, NO_GEOMETRY = "true_sliding_window_segment_scorer", "invalid_route_geometry"
+
+
 def anchor(inputs: DataFrame, cfg: Matching = Matching()) -> DataFrame:
-    """Best window per (group, route), combined score and anchored rank."""
+    """Best window per (group, route), combined score and anchored rank.
+
+    A route without length has no window: its hypothesis stays, at 0 ft, with the route's own
+    score and without an anchor strategy, which the checks that follow take for a bad anchor.
+    """
+    usable = F.coalesce((F.col("total_ft") > 0) & (F.size("chain") >= 2), F.lit(False))
     best = best_window("chain", "lats", "lons", "rel", "span_ft", "sheets", "route_sheets")
-    placed = inputs.where((F.col("total_ft") > 0) & (F.size("chain") >= 2)).withColumn("w", best).select("*", "w.*").drop("w", "lats", "lons")
-    placed = placed.withColumn("combined", F.round(F.round(F.least(F.lit(1.0), F.col("score") + F.col("window_score") * cfg.window_weight), 9), 6))
+    every = inputs.withColumns({"w": best, "anchor_method": F.when(usable, SLIDING).otherwise(NO_GEOMETRY), "anchor_strategy": F.when(usable, SLIDING).otherwise("")})
+    every = every.select("*", "w.*").drop("w", "lats", "lons")
+    every = every.withColumn("combined", F.round(F.round(F.least(F.lit(1.0), F.col("score") + F.col("window_score") * cfg.window_weight), 9), 6))
     order = [F.desc("combined"), F.desc("score"), F.asc("route_name"), F.asc("route_id")]
-    return placed.withColumn("anchor_rank", F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order)))
+    return every.withColumn("anchor_rank", F.row_number().over(Window.partitionBy(*GROUP).orderBy(*order)))
 
 
 def mapped_ft(station_ft: Column, min_ft: Column, span_ft: Column, total_ft: Column, start_ft: Column) -> Column:
