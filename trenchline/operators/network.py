@@ -78,7 +78,7 @@ def legs(segments: DataFrame) -> DataFrame:
 
 
 def snap(points: DataFrame, segments: DataFrame, id_col: str, cfg: Snap = Snap()) -> DataFrame:
-    """Nearest eligible segment within reach of each point.
+    """Nearest eligible segment within reach of each point (ids name one point of a project each).
 
     An equi-join on grid cells whose width in degrees follows the latitude of their row: legs
     cover all cells within reach of them, a point looks in one cell.  Exact distances decide.
@@ -93,20 +93,31 @@ def snap(points: DataFrame, segments: DataFrame, id_col: str, cfg: Snap = Snap()
         return F.explode(F.sequence(F.floor(low / step), F.floor(high / step)))
 
     reach = F.lit(y_deg) / F.greatest(F.cos(F.radians((F.col("a_lat") + F.col("b_lat")) / 2)), F.lit(1e-3))
-    leg = leg.withColumn("cy", span(F.least("a_lat", "b_lat") - y_deg, F.greatest("a_lat", "b_lat") + y_deg, y_deg))
-    leg = leg.withColumn("cx", span(F.least("a_lon", "b_lon") - reach, F.greatest("a_lon", "b_lon") + reach, width(F.col("cy"))))
+    by_name = Window.partitionBy("project_id").orderBy("segment_id", "seg_idx")
+    leg = leg.withColumn("leg_no", F.row_number().over(by_name).cast("long"))
+    cells = leg.select("project_id", "leg_no", "a_lat", "a_lon", "b_lat", "b_lon").withColumn("cy", span(F.least("a_lat", "b_lat") - y_deg, F.greatest("a_lat", "b_lat") + y_deg, y_deg))
+    cells = cells.withColumn("cx", span(F.least("a_lon", "b_lon") - reach, F.greatest("a_lon", "b_lon") + reach, width(F.col("cy"))))
     at = points.select("project_id", id_col, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.floor(F.col("lat") / y_deg).alias("cy"))
     at = at.withColumn("cx", F.floor(F.col("p_lon") / width(F.col("cy"))))
-    east = geo.lon_scale((F.col("a_lat") + F.col("b_lat")) / 2)
-    bx, by = (F.col("b_lon") - F.col("a_lon")) * east, (F.col("b_lat") - F.col("a_lat")) * geo.FEET_PER_DEG
-    px, py = (F.col("p_lon") - F.col("a_lon")) * east, (F.col("p_lat") - F.col("a_lat")) * geo.FEET_PER_DEG
-    scored = at.join(leg, ["project_id", "cy", "cx"]).withColumn("t", geo.along(px, py, bx, by, 0.0))
-    scored = scored.withColumn("distance_ft", F.sqrt(F.pow(px - bx * F.col("t"), 2) + F.pow(py - by * F.col("t"), 2))).where(F.col("distance_ft") <= cfg.max_distance_ft)
-    best = F.min_by(F.struct(
-        "segment_id", (F.col("a_lat") + (F.col("b_lat") - F.col("a_lat")) * F.col("t")).alias("snap_lat"), (F.col("a_lon") + (F.col("b_lon") - F.col("a_lon")) * F.col("t")).alias("snap_lon"),
-        "distance_ft", (F.col("planar_before") + F.col("planar_ft") * F.col("t")).alias("offset_ft")), F.struct(F.round("distance_ft", 6).alias("d"), F.col("segment_id").alias("s"), F.col("seg_idx").alias("i")))
-    return scored.groupBy("project_id", id_col).agg(best.alias("b")).select("project_id", id_col, "b.*").withColumn(
-        "confidence", F.round(F.greatest(F.lit(0.0), 1 - F.col("distance_ft") / cfg.max_distance_ft), 3))
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        east = geo.lon_scale((F.col("a_lat") + F.col("b_lat")) / 2)
+        bx, by = (F.col("b_lon") - F.col("a_lon")) * east, (F.col("b_lat") - F.col("a_lat")) * geo.FEET_PER_DEG
+        px, py = (F.col("p_lon") - F.col("a_lon")) * east, (F.col("p_lat") - F.col("a_lat")) * geo.FEET_PER_DEG
+        on = pairs.withColumn("t", geo.along(px, py, bx, by, 0.0))
+        return on.withColumn("distance_ft", F.sqrt(F.pow(px - bx * F.col("t"), 2) + F.pow(py - by * F.col("t"), 2)))
+
+    # the nearest leg, ties by name, as one number (millionths of a foot, then the leg), which aggregates in place
+    met = measured(at.join(cells, ["project_id", "cy", "cx"])).where(F.col("distance_ft") <= cfg.max_distance_ft)
+    rank = F.shiftleft(F.round(F.col("distance_ft") * 1e6).cast("long"), 32).bitwiseOR(F.col("leg_no"))
+    best = met.groupBy("project_id", id_col, "p_lat", "p_lon").agg(F.min(rank).alias("rank"))
+    best = best.withColumn("leg_no", F.col("rank").bitwiseAND((1 << 32) - 1)).drop("rank")
+    found = measured(best.join(leg, ["project_id", "leg_no"]))
+    return found.select(
+        "project_id", id_col, "segment_id", (F.col("a_lat") + (F.col("b_lat") - F.col("a_lat")) * F.col("t")).alias("snap_lat"),
+        (F.col("a_lon") + (F.col("b_lon") - F.col("a_lon")) * F.col("t")).alias("snap_lon"), "distance_ft",
+        (F.col("planar_before") + F.col("planar_ft") * F.col("t")).alias("offset_ft"),
+        F.round(F.greatest(F.lit(0.0), 1 - F.col("distance_ft") / cfg.max_distance_ft), 3).alias("confidence"))
 
 
 def with_route_offset(snapped: DataFrame, segments: DataFrame, id_col: str) -> DataFrame:
