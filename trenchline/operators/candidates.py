@@ -135,18 +135,54 @@ def ranking_confidence(score: Column, next_score: Column) -> Column:
     return F.when(clear, "MEDIUM").otherwise("LOW")
 
 
+def _simple_score(bore: Column, overlap: Column, route: Column, named: Column) -> Column:
+    """Overlap share x 60, length likeness x 30, 10 for a named route."""
+    return (F.when(bore > 0, F.greatest(F.lit(0.0), overlap) / bore * 60).otherwise(0.0)
+            + F.when(route > 0, F.greatest(F.lit(0.0), 30 - F.abs(route - bore) / route * 30)).otherwise(0.0)
+            + F.when(named, 10.0).otherwise(0.0))
+
+
+def length_bins(classes: DataFrame) -> DataFrame:
+    """One row per project: its bins of routes of about one length, each with its ranges and one of its routes.
+
+    Bins are quarters of a doubling, so a project has a few dozen however many routes it has.
+    """
+    ranges = (F.min("start_station").alias("start_lo"), F.max("end_station").alias("end_hi"), F.min("feet").alias("lo"), F.max("feet").alias("hi"),
+              F.max("named").alias("any_named"), F.min(F.struct("start_station", "end_station", "named")).alias("one"))
+    bins = classes.groupBy("project_id", "bin").agg(*ranges)
+    return bins.groupBy("project_id").agg(F.collect_list(F.struct("bin", "start_lo", "end_hi", "lo", "hi", "any_named", "one")).alias("bins"))
+
+
 def simple_match(logs: DataFrame, routes: DataFrame) -> DataFrame:
-    """Simple matcher: overlap share x 60, length likeness x 30, 10 for a named route; under 40 is refused."""
+    """Simple matcher: the route of best score for each log; under 40 is refused.
+
+    Routes of one range are one class, named by its smallest id, and classes stand in bins by
+    length.  A bin's ranges bound the score of its routes from above, one route of each bin
+    bounds the best from below; a log meets only the bins that can still hold its best route.
+    """
+    feet = F.col("end_station") - F.col("start_station")
+    shape = ["project_id", "start_station", "end_station", "named"]
+    classes = routes.withColumn("named", F.coalesce(F.col("route_name") != "", F.lit(False))).groupBy(*shape).agg(F.min("route_id").alias("route_id"))
+    classes = classes.withColumn("feet", feet).withColumn("bin", F.when(feet > 0, F.floor(F.log2(feet) * 4)).otherwise(-1000).cast("int"))
     bore = F.col("end_ft") - F.col("start_ft")
-    route = F.col("end_station") - F.col("start_station")
-    overlap = F.greatest(F.lit(0.0), F.least("end_ft", "end_station") - F.greatest("start_ft", "start_station"))
-    score = (F.when(bore > 0, overlap / bore * 60).otherwise(0.0)
-             + F.when(route > 0, F.greatest(F.lit(0.0), 30 - F.abs(route - bore) / route * 30)).otherwise(0.0)
-             + F.when(F.col("route_name") != "", 10.0).otherwise(0.0))
+
+    def score(start: Column, end: Column, route: Column, named: Column) -> Column:
+        return _simple_score(bore, F.least(F.col("end_ft"), end) - F.greatest(F.col("start_ft"), start), route, named)
+
+    def most(b: Column) -> Column:
+        return score(b["start_lo"], b["end_hi"], F.greatest(b["lo"], F.least(bore, b["hi"])), b["any_named"])
+
+    def certain(b: Column) -> Column:
+        one = b["one"]
+        return score(one["start_station"], one["end_station"], one["end_station"] - one["start_station"], one["named"])
+
     keys = ["project_id", "source_file"]
+    asked = logs.join(length_bins(classes), "project_id").withColumn("floor", F.array_max(F.transform("bins", certain)))
+    open_ = asked.withColumn("bin", F.explode(F.transform(F.filter("bins", lambda b: most(b) + 1e-5 >= F.col("floor")), lambda b: b["bin"]))).drop("bins", "floor")
+    met = open_.join(classes, ["project_id", "bin"]).withColumn("score", score(F.col("start_station"), F.col("end_station"), F.col("feet"), F.col("named")))
     best = F.min_by(F.struct("route_id", "score", "end_station"), F.struct((-F.round("score", 6)).alias("s"), F.col("route_id")))
     return (
-        logs.join(routes, "project_id").withColumn("score", score).groupBy(*keys, "start_ft", "end_ft").agg(best.alias("b"))
+        met.groupBy(*keys, "start_ft", "end_ft").agg(best.alias("b"))
         .select(*keys, "start_ft", "end_ft", "b.route_id", F.col("b.score").alias("score"), "b.end_station")
         .withColumn("status", F.when(F.col("score") < 40, "rejected").otherwise("matched"))
     )
