@@ -173,7 +173,7 @@ def test_steady_lines_of_random_walks(spark):
     rng, given, want = np.random.default_rng(8), [], {}
     for s, n in enumerate([1, 2, 3, 4, 50, 400, 12_000]):
         metres = np.cumsum(rng.normal(0.4, 1.6, (n, 2)), axis=0)
-        points = [(30 + y / 111_195, -96 + x / 96_000) for y, x in metres]
+        points = [(30 + float(y) / 111_195, -96 + float(x) / 96_000) for y, x in metres]
         given += [(f"s{s}", 0.0, i, *p) for i, p in enumerate(points)]
         want[f"s{s}"] = steady_by_hand(points)
     df = spark.createDataFrame(given, "session_id string, walk_s double, pos int, lat double, lon double").repartition(5)
