@@ -34,3 +34,15 @@ def test_stages(spark, documents, labels, tmp_path):
 
 def test_run_gives_the_same(spark):
     assert corpus_pipeline.run(spark, SF_DIR).count() > 0
+
+
+def test_run_on_odd_and_on_no_rows(spark, odd_docs, clashing_docs, no_docs, labels, tmp_path):
+    """Odd rows, extra columns of clashing names and an empty table go through all stages."""
+    for name, docs in (("odd", odd_docs), ("clashing", clashing_docs), ("none", no_docs)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.limit(0).write.parquet(str(tmp_path / name / "labels.parquet"))
+    odd, clashing, none = ([tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()] for name in ("odd", "clashing", "none"))
+    assert none == [] and Counter(odd) == Counter(clashing) and odd
+    # of the equal and of the near texts one each is left, and texts without words are in no mix
+    left = {r[0] for r in odd}
+    assert not left & {3, 4, 12} and len(left & {1, 2}) == 1 and len(left & {8, 9, 10}) <= 1
