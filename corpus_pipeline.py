@@ -3,6 +3,14 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir), works on all rows
 its predecessor kept, and returns a DataFrame.  All but the last return the columns of
 documents.  `run` applies them to the documents, each stage written as Parquet and reread.
+
+Defined results
+* Null text counts as empty, and a document without words is taken by no mix.  Rows that
+  repeat id and text are one document; a null id comes after all others of its class.
+* Without labels of both kinds every document passes the first stage.  Ties in the near-copies
+  and the exact copies go to the smallest id.
+* An empty table gives an empty result; extra columns are kept until the last stage, whatever
+  their names.
 """
 
 from __future__ import annotations
