@@ -257,3 +257,18 @@ def test_repartitioning_changes_nothing(spark):
     built = view(spark, SF_DIR, "built")
     keys = ["project_id", "route_id"]
     assert rows(coverage.merge_intervals(built.repartition(13), keys)) == rows(coverage.merge_intervals(built.coalesce(1), keys))
+
+
+def test_snapping_broadcasts_neither_points_nor_exploded_legs(spark):
+    """Their sizes are far above what small files let expect; equal places are measured once."""
+    from trenchline.operators import network
+
+    segments = spark.createDataFrame(
+        [("p", "s", [(30.0, -96.0), (30.0, -95.999)], [0.0, 315.0], 315.0, True)],
+        "project_id string, segment_id string, coords array<struct<lat:double,lon:double>>, chain array<double>, length_ft double, eligible boolean")
+    points = spark.createDataFrame([("p", n, 30.0 + n % 2 * 1e-4, -95.9995) for n in range(6)], "project_id string, photo_id long, lat double, lon double")
+    snapped = network.snap(points, segments, "photo_id")
+    assert "BroadcastHashJoin" not in snapped._jdf.queryExecution().executedPlan().toString()
+    rows = network.with_route_offset(snapped, segments, "photo_id").collect()
+    assert sorted(r.photo_id for r in rows) == list(range(6))
+    assert len({(r.distance_ft, r.route_offset_ft) for r in rows}) == 2

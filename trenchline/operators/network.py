@@ -82,6 +82,8 @@ def snap(points: DataFrame, segments: DataFrame, id_col: str, cfg: Snap = Snap()
 
     An equi-join on grid cells whose width in degrees follows the latitude of their row: legs
     cover all cells within reach of them, a point looks in one cell.  Exact distances decide.
+    Each place is measured once however many points lie there.  Points and exploded legs are
+    shuffled: their sizes are far above what the files they come from let expect.
     """
     y_deg = cfg.max_distance_ft / geo.FEET_PER_DEG * 1.01
     leg = legs(segments)
@@ -97,7 +99,8 @@ def snap(points: DataFrame, segments: DataFrame, id_col: str, cfg: Snap = Snap()
     leg = leg.withColumn("leg_no", F.row_number().over(by_name).cast("long"))
     cells = leg.select("project_id", "leg_no", "a_lat", "a_lon", "b_lat", "b_lon").withColumn("cy", span(F.least("a_lat", "b_lat") - y_deg, F.greatest("a_lat", "b_lat") + y_deg, y_deg))
     cells = cells.withColumn("cx", span(F.least("a_lon", "b_lon") - reach, F.greatest("a_lon", "b_lon") + reach, width(F.col("cy"))))
-    at = points.select("project_id", id_col, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.floor(F.col("lat") / y_deg).alias("cy"))
+    named = points.select("project_id", id_col, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")).distinct()
+    at = named.select("project_id", "p_lat", "p_lon").distinct().withColumn("cy", F.floor(F.col("p_lat") / y_deg))
     at = at.withColumn("cx", F.floor(F.col("p_lon") / width(F.col("cy"))))
 
     def measured(pairs: DataFrame) -> DataFrame:
@@ -108,11 +111,11 @@ def snap(points: DataFrame, segments: DataFrame, id_col: str, cfg: Snap = Snap()
         return on.withColumn("distance_ft", F.sqrt(F.pow(px - bx * F.col("t"), 2) + F.pow(py - by * F.col("t"), 2)))
 
     # the nearest leg, ties by name, as one number (millionths of a foot, then the leg), which aggregates in place
-    met = measured(at.join(cells, ["project_id", "cy", "cx"])).where(F.col("distance_ft") <= cfg.max_distance_ft)
+    met = measured(at.join(cells.hint("merge"), ["project_id", "cy", "cx"])).where(F.col("distance_ft") <= cfg.max_distance_ft)
     rank = F.shiftleft(F.round(F.col("distance_ft") * 1e6).cast("long"), 32).bitwiseOR(F.col("leg_no"))
-    best = met.groupBy("project_id", id_col, "p_lat", "p_lon").agg(F.min(rank).alias("rank"))
+    best = met.groupBy("project_id", "p_lat", "p_lon").agg(F.min(rank).alias("rank"))
     best = best.withColumn("leg_no", F.col("rank").bitwiseAND((1 << 32) - 1)).drop("rank")
-    found = measured(best.join(leg, ["project_id", "leg_no"]))
+    found = named.join(measured(best.join(leg.hint("merge"), ["project_id", "leg_no"])).hint("merge"), ["project_id", "p_lat", "p_lon"])
     return found.select(
         "project_id", id_col, "segment_id", (F.col("a_lat") + (F.col("b_lat") - F.col("a_lat")) * F.col("t")).alias("snap_lat"),
         (F.col("a_lon") + (F.col("b_lon") - F.col("a_lon")) * F.col("t")).alias("snap_lon"), "distance_ft",
@@ -121,13 +124,18 @@ def snap(points: DataFrame, segments: DataFrame, id_col: str, cfg: Snap = Snap()
 
 
 def with_route_offset(snapped: DataFrame, segments: DataFrame, id_col: str) -> DataFrame:
-    """Adds each snapped point's feet along its project's main route (the longest eligible line)."""
+    """Adds each snapped point's feet along its project's main route (the longest eligible line).
+
+    Points snapped to one place are measured once.
+    """
     main = segments.where("eligible").groupBy("project_id").agg(F.min_by("segment_id", F.struct((-F.col("length_ft")).alias("l"), F.col("segment_id"))).alias("main"))
     v = segments.join(main, "project_id").where(F.col("segment_id") == F.col("main")).select("project_id", F.col("segment_id").alias("route_id"), F.posexplode(F.arrays_zip("coords", "chain")).alias("idx", "p"))
     line = routes.route_segments(v.select("project_id", "route_id", "idx", "p.coords.lat", "p.coords.lon", F.col("p.chain").alias("chain_ft")))
-    at = snapped.join(main, "project_id").select("project_id", id_col, F.col("main").alias("route_id"), F.col("snap_lat").alias("p_lat"), F.col("snap_lon").alias("p_lon"))
-    near = routes.nearest_on_route(at, line, ["project_id", id_col]).select("project_id", id_col, F.round("offset_ft", 2).alias("route_offset_ft"))
-    return snapped.join(near, ["project_id", id_col])
+    spots = snapped.select("project_id", "snap_lat", "snap_lon").distinct()
+    at = spots.join(main, "project_id").select("project_id", F.col("main").alias("route_id"), F.col("snap_lat").alias("p_lat"), F.col("snap_lon").alias("p_lon"))
+    near = routes.nearest_on_route(at, line, ["project_id", "p_lat", "p_lon"]).select(
+        "project_id", F.col("p_lat").alias("snap_lat"), F.col("p_lon").alias("snap_lon"), F.round("offset_ft", 2).alias("route_offset_ft"))
+    return snapped.join(near.hint("merge"), ["project_id", "snap_lat", "snap_lon"]).select(*snapped.columns, "route_offset_ft")
 
 
 def shortest_paths(links: DataFrame, sources: DataFrame, limit_ft: float = Snap().max_length_ft, max_rounds: int = 200) -> DataFrame:
