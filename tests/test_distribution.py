@@ -272,3 +272,27 @@ def test_snapping_broadcasts_neither_points_nor_exploded_legs(spark):
     rows = network.with_route_offset(snapped, segments, "photo_id").collect()
     assert sorted(r.photo_id for r in rows) == list(range(6))
     assert len({(r.distance_ft, r.route_offset_ft) for r in rows}) == 2
+
+
+def test_windows_of_a_route_are_made_once_for_groups_of_one_span(monkeypatch):
+    import numpy as np
+    import pandas as pd
+
+    from trenchline.operators import windows
+    from trenchline.operators.intervals import Claims
+    from trenchline.operators.ownership import _options
+
+    made, make = [], windows.make_windows
+    monkeypatch.setattr(windows, "make_windows", lambda line, span: made.append(span) or make(line, span))
+    n, chain = 20, np.linspace(0.0, 1500.0, 26)
+    flat = pd.Series([np.zeros(26)] * n)
+    rel = pd.Series([np.array([0.0, 100.0 + k % 3, 300.0 + 25 * (k % 2)]) for k in range(n)])
+    span = pd.Series([x[-1] for x in rel])
+    none = pd.Series([None] * n)
+    found = windows.best_window.func(pd.Series([chain] * n), flat, flat, rel, span, none, none)
+    assert len(found) == n and sorted(made) == [300.0, 325.0]
+    made.clear()
+    claims, hyp = Claims(), {"chain": list(chain), "route_sheets": None, "start_ft": 0.0, "end_ft": 300.0}
+    first = _options(hyp, [0.0, 300.0], 300.0, None, claims.lines)
+    again = _options(hyp, [0.0, 300.0], 300.0, None, claims.lines)
+    assert made == [300.0] and all(np.array_equal(a, b) for a, b in zip(first, again, strict=True))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from trenchline.operators.windows import Line, half_up
+from trenchline.operators.windows import Line, half_up, line_of
 
 _CHUNK = 2000
 
@@ -52,18 +52,20 @@ def score_starts(line: Line, lat: np.ndarray, lon: np.ndarray, span_ft: float, o
     total, usable = line.total, max(0.0, min(span_ft, line.total))
     start = np.clip(starts, 0.0, max(0.0, total - usable))
     end = np.minimum(start + usable, total)
-    seg, ratio, piece = line.locate(start[:, None] + offsets[None, :])
-    n = line.pieces[seg]
-    local = np.clip((ratio - (piece - line.first[seg]) / n) * n, 0.0, 1.0)
-    balance = half_up(((local >= 0.08) & (local <= 0.92)).mean(axis=1), 6)
-    jump = np.abs(np.diff(piece, axis=1)).max(axis=1) if piece.shape[1] > 1 else np.zeros(len(start))
+    # one row a station, one column a start: reductions run down long rows
+    seg, ratio, n, part = line.parts(offsets[:, None] + start[None, :])
+    local = (ratio - part / n) * n
+    balance = half_up(np.count_nonzero((local >= 0.08) & (local <= 0.92), axis=0) / len(offsets), 6)
+    piece = line.first.take(seg) + part
+    jump = np.abs(piece[1:] - piece[:-1]).max(axis=0) if len(piece) > 1 else np.zeros(len(start))
     penalty = half_up(np.minimum(1.0, jump / 3.0), 6)
     at, strength = bends(lat, lon, line.chain)
     covered = ((at[None, :] >= start[:, None]) & (at[None, :] <= end[:, None])) @ strength if len(at) else np.zeros(len(start))
     density = half_up(np.minimum(1.0, covered / max(35.0, usable * 0.18)), 6) if usable > 0 else np.zeros(len(start))
 
     def off_vertex(x: np.ndarray) -> np.ndarray:
-        return np.abs(x[:, None] - line.chain[None, :]).min(axis=1)
+        after = np.searchsorted(line.chain[:-1], x)
+        return np.minimum(np.abs(x - line.chain[np.maximum(after - 1, 0)]), np.abs(x - line.chain[after]))
 
     align = half_up(np.maximum(0.0, 1.0 - np.minimum(1.0, (off_vertex(start) + off_vertex(end)) / max(30.0, usable * 0.15) / 2.0)), 6)
     clear = half_up(np.minimum(start, np.maximum(0.0, total - end)), 2)
@@ -91,9 +93,9 @@ RESULT = T.StructType([
 @pandas_udf(RESULT)
 def best_anchor(chain: pd.Series, lat: pd.Series, lon: pd.Series, rel: pd.Series, span: pd.Series, low: pd.Series, high: pd.Series,
                 score: pd.Series) -> pd.DataFrame:
-    out = []
+    out, lines = [], {}
     for c, la, lo, x, s, a, b, q in zip(chain, lat, lon, rel, span, low, high, score):
-        line, offsets = Line(c), np.asarray(x, dtype=float)
+        line, offsets = line_of(c, lines), np.asarray(x, dtype=float)
         starts = candidate_starts(line, s, offsets, a, b)
         best = None
         for at in range(0, len(starts), _CHUNK):

@@ -46,6 +46,8 @@ class Claims:
     def __init__(self) -> None:
         self.outer = Row()
         self.by_length: dict[int, Row] = {}
+        #: The route's chainage and windows, kept for the groups that come later.
+        self.lines: dict = {}
 
     def add(self, start: float, end: float) -> None:
         row = self.by_length.setdefault(frexp(max(end - start, 0.0))[1], Row())

@@ -73,11 +73,11 @@ def conflict_pairs(claims: DataFrame, width_ft: float = 200.0) -> DataFrame:
     return pairs.withColumns({**facts, "same_zone": same_print_zone(*[F.col(c) for c in ("a_sheets", "b_sheets", "a_streets", "b_streets")])}).drop("_bin")
 
 
-def _options(hyp: dict, rel, span: float, sheets):
+def _options(hyp: dict, rel, span: float, sheets, lines: dict):
     """Every window of a hypothesis but the present one, with score and bias; a route without length has none."""
     if hyp["chain"] is None or len(hyp["chain"]) < 2:
         return (np.empty(0),) * 4
-    _, start, end, _, score, bias = scored_windows(hyp["chain"], rel, span, sheet_fractions(sheets, hyp["route_sheets"]))
+    _, start, end, _, score, bias = scored_windows(hyp["chain"], rel, span, sheet_fractions(sheets, hyp["route_sheets"]), lines)
     other = (np.abs(start - hyp["start_ft"]) >= 1e-6) | (np.abs(end - hyp["end_ft"]) >= 1e-6)
     return start[other], end[other], score[other], bias[other]
 
@@ -97,14 +97,14 @@ def separate(row, choice: int, claims: Claims) -> tuple[int, dict, bool, str]:
     clash = claims.overlaps(np.array([s]), np.array([e]))[0] > HARD_OVERLAP_FT
     if not clash:
         if length > 0 and span / max(length, 1.0) >= 0.94 and (s <= 12.0 or length - e <= 12.0):
-            start, end, score, _ = _options(hyp, row.rel, row.span_ft, row.sheets)
+            start, end, score, _ = _options(hyp, row.rel, row.span_ft, row.sheets, claims.lines)
             clear = np.minimum(start, np.maximum(0.0, length - end))
             ok = np.flatnonzero((clear > 4.0) & (score + 0.03 >= hyp["window_score"]))
             if len(ok):
                 k = ok[np.lexsort((start[ok], np.abs((start[ok] + end[ok]) / 2 - centre), -score[ok], -clear[ok]))[0]]
                 return choice, _moved(hyp, start[k], end[k], score[k]), True, "edge_locked_window_reselected_inward"
         return choice, hyp, False, "no_within_route_overlap_conflict"
-    start, end, score, bias = _options(hyp, row.rel, row.span_ft, row.sheets)
+    start, end, score, bias = _options(hyp, row.rel, row.span_ft, row.sheets, claims.lines)
     ok = np.flatnonzero(claims.overlaps(start, end) <= HARD_OVERLAP_FT) if len(start) else []
     if len(ok):
         k = ok[np.lexsort((start[ok], np.abs((start[ok] + end[ok]) / 2 - centre), np.abs(np.abs(end[ok] - start[ok]) - span), -bias[ok], -score[ok]))[0]]
@@ -223,13 +223,11 @@ def _last_said(said: list[DataFrame], settled_again: list[DataFrame], keys: list
     return out
 
 
-def claim_inputs(evaluated: DataFrame, inputs: DataFrame) -> DataFrame:
+def claim_inputs(evaluated: DataFrame) -> DataFrame:
     """One row per group: its evaluated hypotheses in order with what is needed to move them."""
-    geometry = inputs.select(*GROUP, "route_id", "chain", "route_sheets")
     hyp = F.struct("eval_rank", "route_id", "start_ft", "end_ft", "window_score", "combined", "score", "length_ft", "render_allowed",
                    "billable", "status", "chain", "route_sheets")
-    full = evaluated.drop("chain", "route_sheets").join(geometry, [*GROUP, "route_id"])
-    return full.groupBy(*GROUP, "source_file", "tokens_key", "min_station_ft", "span_ft").agg(
+    return evaluated.groupBy(*GROUP, "source_file", "tokens_key", "min_station_ft", "span_ft").agg(
         F.sort_array(F.collect_list(hyp)).alias("hyps"), F.first("rel").alias("rel"), F.first("sheets").alias("sheets"),
         F.first("streets").alias("streets"), F.max(F.col("consensus_route").isNotNull()).alias("has_consensus"))
 

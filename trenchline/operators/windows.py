@@ -20,6 +20,8 @@ from trenchline.operators.grouping import GROUP
 
 TYPES = ("coarse_window", "fine_window", "origin_window", "tail_window", "mid_window", "vertex_forward", "vertex_backward")
 _CELLS = 2_000_000
+#: Lines kept in a call, and window lists kept of a line.
+_LINES, _SPANS = 256, 32
 
 
 def half_up(x, digits: int):
@@ -33,18 +35,26 @@ class Line:
     def __init__(self, chain: np.ndarray):
         self.chain = np.asarray(chain, dtype=float)
         self.total = float(self.chain[-1])
-        self.step = np.diff(self.chain)
+        self.step = self.chain[1:] - self.chain[:-1]
+        self.width = np.maximum(self.step, 1e-9)
         self.pieces = np.maximum(1, np.ceil(self.step / 60.0 - 1e-6)).astype(int)
-        self.first = np.concatenate([[0], np.cumsum(self.pieces)[:-1]])
-        self.n_pieces = int(self.pieces.sum())
+        ends = np.cumsum(self.pieces)
+        self.first, self.n_pieces = ends - self.pieces, int(ends[-1])
+        self.windows: dict[float, tuple] = {}
+
+    def parts(self, feet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Segment of each distance, clamped to the route, share of it, its pieces and the piece of them."""
+        d = np.minimum(np.maximum(feet, 0.0), self.total)
+        seg = np.searchsorted(self.chain[1:-1], d, side="left")
+        ratio = (d - self.chain.take(seg)) / self.width.take(seg)
+        ratio = np.minimum(np.maximum(ratio, 0.0, out=ratio), 1.0, out=ratio)
+        pieces = self.pieces.take(seg)
+        return seg, ratio, pieces, np.minimum(pieces - 1, (ratio * pieces).astype(int))
 
     def locate(self, feet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Segment, share of it and virtual piece of each distance, clamped to the route."""
-        d = np.clip(feet, 0.0, self.total)
-        seg = np.minimum(np.searchsorted(self.chain[1:], d, side="left"), len(self.step) - 1)
-        ratio = np.clip((d - self.chain[seg]) / np.maximum(self.step[seg], 1e-9), 0.0, 1.0)
-        piece = np.minimum(self.pieces[seg] - 1, np.floor(ratio * self.pieces[seg]).astype(int))
-        return seg, ratio, self.first[seg] + piece
+        seg, ratio, _, part = self.parts(feet)
+        return seg, ratio, self.first.take(seg) + part
 
 
 def make_windows(line: Line, span_ft: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,8 +78,10 @@ def make_windows(line: Line, span_ft: float) -> tuple[np.ndarray, np.ndarray, np
     start = np.clip(lows, 0.0, total)
     end = np.maximum(start, np.minimum(highs, total))
     start, end = half_up(start, 2), half_up(end, 2)
-    _, keep = np.unique(np.column_stack([start, end, kinds]), axis=0, return_index=True)
-    keep.sort()
+    order = np.lexsort((kinds, end, start))
+    s, e, k = start[order], end[order], kinds[order]
+    new = np.concatenate([[True], (s[1:] != s[:-1]) | (e[1:] != e[:-1]) | (k[1:] != k[:-1])])
+    keep = np.sort(order[new])
     return start[keep], end[keep], kinds[keep]
 
 
@@ -79,8 +91,8 @@ def score_windows(line: Line, rel: np.ndarray, span_ft: float, start: np.ndarray
     hit = np.empty(len(start))
     rows = max(1, _CELLS // max(1, len(rel)))
     for at in range(0, len(start), rows):
-        _, _, piece = line.locate(start[at:at + rows, None] + rel[None, :])
-        hit[at:at + rows] = 1 + (np.diff(piece, axis=1) != 0).sum(axis=1)
+        _, _, piece = line.locate(rel[:, None] + start[None, at:at + rows])
+        hit[at:at + rows] = 1 + np.count_nonzero(piece[1:] != piece[:-1], axis=0)
     fit = np.maximum(0.0, 1.0 - np.abs(np.maximum(0.0, end - start) - span) / span)
     diversity = np.minimum(1.0, hit / max(1, line.n_pieces))
     edge = np.minimum(1.0, np.minimum(start, np.maximum(0.0, line.total - end)) / span)
@@ -107,10 +119,32 @@ def sheet_bias(line: Line, fractions: np.ndarray, start: np.ndarray, end: np.nda
     return half_up(np.maximum(0.0, 1.0 - away / 0.18) * 0.12, 6)
 
 
-def scored_windows(chain, rel, span_ft, fractions):
-    """Start, end, type, score and bias of every window of one group on one route."""
-    line = Line(chain)
-    start, end, kind = make_windows(line, span_ft)
+def line_of(chain, lines: dict[bytes, Line]) -> Line:
+    """The line of a chainage, made once for the rows of one batch that share a route."""
+    key = np.asarray(chain, dtype=float).tobytes()
+    if key not in lines:
+        if len(lines) >= _LINES:
+            lines.clear()
+        lines[key] = Line(chain)
+    return lines[key]
+
+
+def windows_of(line: Line, span_ft: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`make_windows`, once for each line and span."""
+    if span_ft not in line.windows:
+        if len(line.windows) >= _SPANS:
+            line.windows.clear()
+        line.windows[span_ft] = make_windows(line, span_ft)
+    return line.windows[span_ft]
+
+
+def scored_windows(chain, rel, span_ft, fractions, lines: dict[bytes, Line] | None = None):
+    """Start, end, type, score and bias of every window of one group on one route.
+
+    `lines` keeps lines and their windows between calls.
+    """
+    line = line_of(chain, {} if lines is None else lines)
+    start, end, kind = windows_of(line, span_ft)
     bias = sheet_bias(line, fractions, start, end)
     base = score_windows(line, np.asarray(rel, dtype=float), span_ft, start, end)
     return line, start, end, kind, half_up(np.clip(base + bias, 0.0, 1.0), 6), bias
@@ -129,12 +163,12 @@ ANCHOR = T.StructType([
 @pandas_udf(ANCHOR)
 def best_window(chain: pd.Series, lat: pd.Series, lon: pd.Series, rel: pd.Series, span: pd.Series, sheets: pd.Series,
                 route_sheets: pd.Series) -> pd.DataFrame:
-    out = []
+    out, lines = [], {}
     for c, la, lo, x, s, gs, rs in zip(chain, lat, lon, rel, span, sheets, route_sheets):
         if c is None or len(c) < 2 or not c[-1] > 0:  # a route without length has no window
             out.append((0.0, 0.0, None, 0.0, 0.0, 0, [], [], [], [], [], 0))
             continue
-        line, start, end, kind, score, bias = scored_windows(c, x, s, sheet_fractions(gs, rs))
+        line, start, end, kind, score, bias = scored_windows(c, x, s, sheet_fractions(gs, rs), lines)
         best = np.lexsort((start, np.abs(np.abs(end - start) - s), -bias, -score))[0]
         seg, ratio, piece = line.locate(start[best] + np.asarray(x, dtype=float))
         la, lo = np.asarray(la, dtype=float), np.asarray(lo, dtype=float)

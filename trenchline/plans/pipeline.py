@@ -82,7 +82,7 @@ class Job:
 
     @property
     def claims(self) -> DataFrame:
-        return self._once("claims", lambda: cut_lineage(ownership.claim_inputs(self.evaluated, self.hypothesis_inputs)))
+        return self._once("claims", lambda: cut_lineage(ownership.claim_inputs(self.evaluated)))
 
     @property
     def owned(self) -> DataFrame:
