@@ -296,3 +296,14 @@ def test_windows_of_a_route_are_made_once_for_groups_of_one_span(monkeypatch):
     first = _options(hyp, [0.0, 300.0], 300.0, None, claims.lines)
     again = _options(hyp, [0.0, 300.0], 300.0, None, claims.lines)
     assert made == [300.0] and all(np.array_equal(a, b) for a, b in zip(first, again, strict=True))
+
+
+def test_outline_groups_follow_partitions(spark):
+    """A project that lies in one partition is one group of the middle step, not one for each salt."""
+    from trenchline.operators import hulls
+
+    points = spark.createDataFrame([("p", x / 10, y / 10) for x in range(12) for y in range(12)], "project_id string, lon double, lat double").coalesce(1)
+    outline = hulls.design_outline(points)
+    plan = outline._jdf.queryExecution().analyzed().toString()
+    assert "spark_partition_id" in plan.lower() and "xxhash64" not in plan.lower()
+    assert {(r.lon, r.lat) for r in outline.collect()} == {(0.0, 0.0), (1.1, 0.0), (1.1, 1.1), (0.0, 1.1)}

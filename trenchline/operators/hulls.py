@@ -49,10 +49,11 @@ def design_outline(vertices: DataFrame, salts: int = 64) -> DataFrame:
     """Hull vertices per project, in order, with the closing point repeated.
 
     Batches keep only their own hull, then (project, salt) groups do, then projects:
-    a project of any size reaches its last task as at most `salts` small hulls.
+    a project of any size reaches its last task as at most `salts` small hulls.  The salt follows
+    the partition a hull was made in, so a project that lies in one place makes one group.
     """
     near = vertices.select("project_id", "lon", "lat").mapInPandas(_local_hulls, _SCHEMA)
-    salted = near.withColumn("salt", F.pmod(F.xxhash64("lon", "lat"), F.lit(salts)))
+    salted = near.withColumn("salt", F.spark_partition_id() % salts)
     def of_salt(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         return _outline(g, key[0])
 
