@@ -307,3 +307,45 @@ def test_outline_groups_follow_partitions(spark):
     plan = outline._jdf.queryExecution().analyzed().toString()
     assert "spark_partition_id" in plan.lower() and "xxhash64" not in plan.lower()
     assert {(r.lon, r.lat) for r in outline.collect()} == {(0.0, 0.0), (1.1, 0.0), (1.1, 1.1), (0.0, 1.1)}
+
+
+def test_pieces_by_bounds_are_those_of_locate():
+    from trenchline.operators.windows import Line
+
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        line = Line(np.concatenate([[0.0], np.cumsum(rng.choice([0.0, 7.3, 60.0, 119.99999, 181.0, 1e-10], 12))]))
+        near = np.concatenate([np.nextafter(line.bounds, -np.inf), line.bounds, np.nextafter(line.bounds, np.inf)])
+        feet = np.concatenate([near, rng.uniform(-50, line.total + 50, 300), line.chain])
+        assert np.array_equal(line.piece(feet), line.locate(feet)[2])
+
+
+def test_best_window_is_the_best_of_all_windows():
+    """Bounds skip windows, never the best one; rows of any route may stand in one call, some without length."""
+    import pyarrow as pa
+
+    from trenchline.operators import windows
+
+    rng = np.random.default_rng(5)
+    chains = [np.concatenate([[0.0], np.cumsum(rng.uniform(20, 150, 14))]) for _ in range(4)] + [np.zeros(2)]
+    rows = [(chains[k % 5], np.unique(np.round(rng.uniform(0, 400, 9) / 25) * 25), [1 + k % 3] if k % 2 else None, [1, 2, 3] if k % 3 else None) for k in range(60)]
+    rows = [(c, x - x[0], float(x[-1] - x[0]), gs, rs) for c, x, gs, rs in rows]
+    doubles, ints = pa.list_(pa.float64()), pa.list_(pa.int32())
+    chain = pa.array([c for c, *_ in rows], doubles)
+    found = windows.best_window.func(chain, chain, chain, pa.array([x for _, x, *_ in rows], doubles), pa.array([s for _, _, s, *_ in rows]),
+                                     pa.array([r[3] for r in rows], ints), pa.array([r[4] for r in rows], ints)).to_pylist()
+    for (c, x, s, gs, rs), got in zip(rows, found, strict=True):
+        if c[-1] == 0:
+            assert (got["window_type"], got["n_windows"], got["p_piece"]) == (None, 0, [])
+            continue
+        line, start, end, _, score, bias = scored_windows(c, x, s, sheet_fractions(gs, rs))
+        k = np.lexsort((start, np.abs(np.abs(end - start) - s), -bias, -score))[0]
+        assert (got["start_ft"], got["window_score"], got["bias"]) == (half_up(start[k], 2), score[k], bias[k])
+        assert got["p_piece"] == line.locate(start[k] + x)[2].tolist() and got["n_windows"] == len(start)
+
+
+def test_anchored_routes_are_kept_as_columns(job):
+    """Wide rows in the checkpoint folder filled the disk: later steps read columns, and stations come without their texts."""
+    plan = job.anchored.select("route_id", "start_ft")._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "station_rows" not in plan
+    assert job.anchored.schema["station_rows"].dataType.elementType.names == ["station_ft"]

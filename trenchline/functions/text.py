@@ -155,11 +155,16 @@ def tokens(value: Column, min_length: int = 3, keep_numbers: bool = False) -> Co
     return keep if keep_numbers else F.filter(keep, lambda w: ~w.rlike("^[0-9]+$"))
 
 
-def name_hint(source_file: Column, route_text: Column) -> Column:
-    """Share of file-name words (four letters up) found in the route text, at most .12."""
-    words = F.filter(F.split(F.translate(F.lower(source_file), "-_", "  "), r"\s+"),
-                     lambda w: F.length(w) >= 4)
-    hits = F.size(F.filter(words, lambda w: F.contains(F.lower(route_text), w)))
+def name_words(source_file: Column) -> Column:
+    """Words of a file name, four letters up."""
+    return F.filter(F.split(F.translate(F.lower(source_file), "-_", "  "), r"\s+"),
+                    lambda w: F.length(w) >= 4)
+
+
+def name_hint(words: Column, route_text: Column) -> Column:
+    """Share of file-name words found in the route text, at most .12."""
+    low = F.lower(route_text)
+    hits = F.size(F.filter(words, lambda w: F.contains(low, w)))
     return F.round(F.least(hits * 0.03, F.lit(0.12)), 3)
 
 

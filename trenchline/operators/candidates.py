@@ -43,7 +43,9 @@ def route_pool(groups: DataFrame, catalog: DataFrame, cfg: Matching = Matching()
     floor go unless none is left.  `spatial` (group box and centroid) is off by default.
     """
     routes = catalog.select("project_id", "route_id", "route_name", "source_folder", "route_role", "length_ft", "point_count", "catalog_rank")
-    slim = groups.select(*GROUP, "source_file", "span_ft", "context", "sheets", "streets", "allowed_routes")
+    # what depends on the group alone is worked out before it meets its routes
+    slim = groups.select(*GROUP, "source_file", "span_ft", "context", "sheets", "streets", "allowed_routes",
+                         tx.expected_roles(F.col("context"), F.col("span_ft")).alias("expected_roles"), tx.name_words(F.col("source_file")).alias("_words"))
     named = slim.withColumn("route_id", F.explode("allowed_routes")).join(routes, ["project_id", "route_id"])
     named = named.withColumn("print_filtered", F.lit(True))
     hit = named.select(*GROUP).distinct()
@@ -58,10 +60,10 @@ def route_pool(groups: DataFrame, catalog: DataFrame, cfg: Matching = Matching()
     w = Window.partitionBy(*GROUP)
     keep = F.col("fits") & F.col("spatial_ok")
     pool = pool.withColumn("any_kept", F.max(keep.cast("int")).over(w) == 1).where(keep | ~F.col("any_kept"))
-    hint = tx.name_hint(F.col("source_file"), F.concat_ws(" ", "route_name", "source_folder"))
+    hint = tx.name_hint(F.col("_words"), F.concat_ws(" ", "route_name", "source_folder"))
     return pool.withColumns({
         "name_hint": F.when(F.col("any_kept"), hint).otherwise(0.0),
-        "spatial_hint": F.when(F.col("any_kept"), F.col("spatial_hint")).otherwise(0.0)})
+        "spatial_hint": F.when(F.col("any_kept"), F.col("spatial_hint")).otherwise(0.0)}).drop("_words")
 
 
 def _with_spatial(pool: DataFrame, spatial: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -95,7 +97,7 @@ def score_pool(pool: DataFrame) -> DataFrame:
     gap = F.abs(length - span)
     fit = F.greatest(F.lit(0.0), F.pow(ratio, F.lit(2.35)) - F.least(F.lit(0.42), F.greatest(F.lit(0.0), (over - 1.0) * 0.18)))
     base = F.round(F.least(F.lit(1.0), F.when(both, fit).otherwise(0.0)
-                           + tx.role_bonus(F.col("route_role"), tx.expected_roles(F.col("context"), span))
+                           + tx.role_bonus(F.col("route_role"), F.col("expected_roles"))
                            + F.when(F.col("point_count") >= 3, 0.02).otherwise(0.0)), 6)
     family = Window.partitionBy(*GROUP, F.lower(F.trim("route_name")), F.lower(F.trim("route_role")))
     staged = pool.withColumns({"ratio": ratio, "length_gap_ft": F.round(gap, 2), "base_score": base}).withColumns({
@@ -117,7 +119,7 @@ def score_pool(pool: DataFrame) -> DataFrame:
         "family_bonus": family_bonus})
     total = (F.col("base_score") + F.col("print_bonus") + F.col("subsection") + F.col("exact_length") + F.col("role_score")
              + F.col("name_hint") + F.col("spatial_hint") + F.col("family_bonus") - F.col("oversize"))
-    return parts.withColumn("score", F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)), 6))
+    return parts.withColumn("score", F.round(F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0)), 6)).drop("expected_roles")
 
 
 def rank_pool(scored: DataFrame, keep: int = Matching().keep_ranked) -> DataFrame:

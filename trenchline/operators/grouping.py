@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trenchline.config import Grouping
+from trenchline.functions.stations import let
 from trenchline.functions.text import print_tokens
 
 LOG_KEY = ["project_id", "source_file", "tokens_key"]
@@ -22,23 +23,24 @@ def _median(steps: Column, default: float) -> Column:
 
 def _fold(rows: Column, cfg: Grouping) -> Column:
     """Part number of each row of a run: a new part starts where the step exceeds
-    max(min_gap, factor x median step of the part so far)."""
-    none = F.array().cast("array<double>")
-    start = F.struct(F.lit(None).cast("double").alias("prev"), none.alias("steps"),
-                     F.lit(0).alias("part"), F.array().cast("array<int>").alias("out"))
-
-    def add(acc: Column, row: Column) -> Column:
-        delta = row["station_ft"] - acc["prev"]
-        limit = F.greatest(F.lit(cfg.min_gap_ft), _median(acc["steps"], cfg.default_step_ft) * cfg.gap_factor)
-        cut = F.coalesce((delta > cfg.min_gap_ft) & (delta > limit), F.lit(False))
-        part = acc["part"] + cut.cast("int")
-        steps = F.when(cut | delta.isNull(), none).otherwise(F.concat(acc["steps"], F.array(delta)))
-        return F.struct(row["station_ft"].alias("prev"), steps.alias("steps"), part.alias("part"),
-                        F.concat(acc["out"], F.array(part)).alias("out"))
+    max(min_gap, factor x median step of the part so far).
 
+    Only steps above min_gap can start one, so the fold goes over those alone.
+    """
+    def cuts_of(steps: Column) -> Column:
+        wide = F.filter(F.transform(steps, lambda d, i: F.when((i > 0) & (d > cfg.min_gap_ft), i)), lambda i: i.isNotNull())
+
+        def add(cuts: Column, i: Column) -> Column:
+            begin = F.coalesce(F.try_element_at(cuts, F.lit(-1)), F.lit(0))
+            limit = _median(F.slice(steps, begin + 2, i - begin - 1), cfg.default_step_ft) * cfg.gap_factor
+            return F.when(F.get(steps, i) > F.greatest(F.lit(cfg.min_gap_ft), limit), F.array_append(cuts, i)).otherwise(cuts)
+
+        return F.aggregate(wide, F.array().cast("array<int>"), add)
+
+    steps = F.transform(rows, lambda r, i: r["station_ft"] - F.get(rows, F.greatest(i - 1, F.lit(0)))["station_ft"])
     far = F.exists(rows, lambda r: r["far"])
-    return F.when(far, F.aggregate(rows, start, add, lambda acc: acc["out"])).otherwise(
-        F.transform(rows, lambda r: F.lit(0)))
+    parts = let(let(steps, cuts_of), lambda cuts: F.transform(rows, lambda r, i: F.size(F.filter(cuts, lambda c: c <= i))))
+    return F.when(far, parts).otherwise(F.transform(rows, lambda r: F.lit(0)))
 
 
 def with_row_keys(rows: DataFrame) -> DataFrame:

@@ -9,11 +9,11 @@ that holds it, so nothing is exploded or shuffled.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from trenchline.config import Matching
 from trenchline.operators.grouping import GROUP
@@ -41,6 +41,35 @@ class Line:
         ends = np.cumsum(self.pieces)
         self.first, self.n_pieces = ends - self.pieces, int(ends[-1])
         self.windows: dict[float, tuple] = {}
+        self.facts: dict[float, tuple] = {}
+        self.bounds = self._bounds()
+
+    def _bounds(self) -> np.ndarray:
+        """The last distance of every piece but the last: a distance lies on the piece whose number is that of
+        the bounds below it, exactly as `locate` works it out."""
+        seg = np.repeat(np.arange(len(self.pieces)), self.pieces)
+        k = np.arange(self.n_pieces) - self.first[seg] + 1
+        inner = k < self.pieces[seg]
+        at, width, n = self.chain[seg], self.width[seg], self.pieces[seg]
+        out = self.chain[seg + 1].copy()
+        if inner.any():
+            i = np.flatnonzero(inner)
+
+            def on_next(x: np.ndarray) -> np.ndarray:
+                ratio = np.minimum(np.maximum((x - at[i]) / width[i], 0.0), 1.0)
+                return np.minimum(n[i] - 1, (ratio * n[i]).astype(int)) >= k[i]
+
+            b = at[i] + width[i] * k[i] / n[i]
+            while (late := on_next(b)).any():
+                b = np.where(late, np.nextafter(b, -np.inf), b)
+            while (early := ~on_next(up := np.nextafter(b, np.inf))).any():
+                b = np.where(early, up, b)
+            out[i] = b
+        return out[:-1]
+
+    def piece(self, feet: np.ndarray) -> np.ndarray:
+        """Virtual piece of each distance, clamped to the route."""
+        return np.searchsorted(self.bounds, np.minimum(feet, self.total), side="left")
 
     def parts(self, feet: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Segment of each distance, clamped to the route, share of it, its pieces and the piece of them."""
@@ -85,19 +114,32 @@ def make_windows(line: Line, span_ft: float) -> tuple[np.ndarray, np.ndarray, np
     return start[keep], end[keep], kinds[keep]
 
 
-def score_windows(line: Line, rel: np.ndarray, span_ft: float, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Span fit .6, share of the route's pieces hit .2, distance from the route ends .12, shape .08."""
-    span = max(1.0, span_ft)
+def hits(line: Line, rel: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many pieces the stations of each window fall on, counted along the stations."""
     hit = np.empty(len(start))
     rows = max(1, _CELLS // max(1, len(rel)))
     for at in range(0, len(start), rows):
-        _, _, piece = line.locate(rel[:, None] + start[None, at:at + rows])
+        piece = line.piece(rel[:, None] + start[None, at:at + rows])
         hit[at:at + rows] = 1 + np.count_nonzero(piece[1:] != piece[:-1], axis=0)
+    return hit
+
+
+def _span_facts(line: Line, span_ft: float, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Parts of a window's score that the stations do not enter: span fit, distance from the route ends, shape."""
+    span = max(1.0, span_ft)
     fit = np.maximum(0.0, 1.0 - np.abs(np.maximum(0.0, end - start) - span) / span)
-    diversity = np.minimum(1.0, hit / max(1, line.n_pieces))
     edge = np.minimum(1.0, np.minimum(start, np.maximum(0.0, line.total - end)) / span)
-    shape = 0.08 if len(line.chain) >= 4 else 0.0
-    return half_up(np.clip(fit * 0.6 + diversity * 0.2 + edge * 0.12 + shape, 0.0, 1.0), 6)
+    return fit * 0.6, edge * 0.12, 0.08 if len(line.chain) >= 4 else 0.0
+
+
+def _score(line: Line, facts: tuple, hit) -> np.ndarray:
+    fit, edge, shape = facts
+    return half_up(np.clip(fit + np.minimum(1.0, hit / max(1, line.n_pieces)) * 0.2 + edge + shape, 0.0, 1.0), 6)
+
+
+def score_windows(line: Line, rel: np.ndarray, span_ft: float, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Span fit .6, share of the route's pieces hit .2, distance from the route ends .12, shape .08."""
+    return _score(line, _span_facts(line, span_ft, start, end), hits(line, rel, start))
 
 
 def sheet_fractions(sheets, route_sheets) -> np.ndarray:
@@ -138,6 +180,28 @@ def windows_of(line: Line, span_ft: float) -> tuple[np.ndarray, np.ndarray, np.n
     return line.windows[span_ft]
 
 
+def facts_of(line: Line, span_ft: float) -> tuple:
+    """`_span_facts` of all windows of a span, and their biases by sheets, once for each line and span."""
+    if span_ft not in line.facts:
+        if len(line.facts) >= _SPANS:
+            line.facts.clear()
+        start, end, _ = windows_of(line, span_ft)
+        line.facts[span_ft] = (_span_facts(line, span_ft, start, end), {})
+    return line.facts[span_ft]
+
+
+def bias_of(line: Line, span_ft: float, fractions: np.ndarray) -> np.ndarray:
+    """`sheet_bias` of all windows of a span."""
+    _, known = facts_of(line, span_ft)
+    key = np.asarray(fractions, dtype=float).tobytes()
+    if key not in known:
+        if len(known) >= _SPANS:
+            known.clear()
+        start, end, _ = windows_of(line, span_ft)
+        known[key] = sheet_bias(line, fractions, start, end)
+    return known[key]
+
+
 def scored_windows(chain, rel, span_ft, fractions, lines: dict[bytes, Line] | None = None):
     """Start, end, type, score and bias of every window of one group on one route.
 
@@ -145,11 +209,52 @@ def scored_windows(chain, rel, span_ft, fractions, lines: dict[bytes, Line] | No
     """
     line = line_of(chain, {} if lines is None else lines)
     start, end, kind = windows_of(line, span_ft)
-    bias = sheet_bias(line, fractions, start, end)
-    base = score_windows(line, np.asarray(rel, dtype=float), span_ft, start, end)
+    bias = bias_of(line, span_ft, fractions)
+    base = _score(line, facts_of(line, span_ft)[0], hits(line, np.asarray(rel, dtype=float), start))
     return line, start, end, kind, half_up(np.clip(base + bias, 0.0, 1.0), 6), bias
 
 
+def _hits_of(line: Line, rel: np.ndarray, first: np.ndarray, size: np.ndarray, who: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """`hits` of single windows: `who` tells the group of each, whose stations are a stretch of `rel`."""
+    n = size[who]
+    out = np.empty(len(who))
+    for part in np.array_split(np.arange(len(who)), 1 + int(n.sum()) // _CELLS):
+        m = n[part]
+        ends = np.cumsum(m)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[who[part]] - (ends - m), m)
+        piece = line.piece(rel[at] + np.repeat(start[part], m))
+        new = np.empty(len(piece))
+        new[1:] = piece[1:] != piece[:-1]
+        new[ends - m] = 1.0
+        out[part] = np.add.reduceat(new, ends - m) if len(new) else new
+    return out
+
+
+def leading_windows(line: Line, span_ft: float, rel: np.ndarray, first: np.ndarray, size: np.ndarray, biases: np.ndarray,
+                    among: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """(group, window, score, bias) of the windows that can have the highest score of their group.
+
+    For groups of one span on one route; a group's stations are `size` values of `rel` from `first`, its
+    biases a row of `biases`.  A window hits no more pieces than the group has stations or the route has
+    pieces.  That bounds its score from above; only windows whose bound reaches the score of the one with
+    the highest bound need their stations.  All windows of a group's highest score are among them.
+    `among` leaves out windows that a group may not take; each group has one that it may.
+    """
+    start = windows_of(line, span_ft)[0]
+    fit, edge, shape = facts_of(line, span_ft)[0]
+
+    def total(i, j, hit) -> np.ndarray:
+        return half_up(np.clip(_score(line, (fit[j], edge[j], shape), hit) + biases[i, j], 0.0, 1.0), 6)
+
+    most = total(slice(None), slice(None), np.minimum(np.maximum(1, size), line.n_pieces)[:, None].astype(float))
+    if among is not None:
+        most[~among] = -1.0
+    each, top = np.arange(len(size)), most.argmax(axis=1)
+    least = total(each, top, _hits_of(line, rel, first, size, each, start[top]))
+    i, j = np.nonzero(most >= least[:, None])
+    return i, j, total(i, j, _hits_of(line, rel, first, size, i, start[j])), biases[i, j]
+
+
 ANCHOR = T.StructType([
     T.StructField("start_ft", T.DoubleType()), T.StructField("end_ft", T.DoubleType()),
     T.StructField("window_type", T.StringType()), T.StructField("window_score", T.DoubleType()),
@@ -160,22 +265,90 @@ ANCHOR = T.StructType([
 ])
 
 
-@pandas_udf(ANCHOR)
-def best_window(chain: pd.Series, lat: pd.Series, lon: pd.Series, rel: pd.Series, span: pd.Series, sheets: pd.Series,
-                route_sheets: pd.Series) -> pd.DataFrame:
-    out, lines = [], {}
-    for c, la, lo, x, s, gs, rs in zip(chain, lat, lon, rel, span, sheets, route_sheets):
-        if c is None or len(c) < 2 or not c[-1] > 0:  # a route without length has no window
-            out.append((0.0, 0.0, None, 0.0, 0.0, 0, [], [], [], [], [], 0))
-            continue
-        line, start, end, kind, score, bias = scored_windows(c, x, s, sheet_fractions(gs, rs), lines)
-        best = np.lexsort((start, np.abs(np.abs(end - start) - s), -bias, -score))[0]
-        seg, ratio, piece = line.locate(start[best] + np.asarray(x, dtype=float))
-        la, lo = np.asarray(la, dtype=float), np.asarray(lo, dtype=float)
-        out.append((half_up(start[best], 2), half_up(end[best], 2), "full_route_window" if kind[best] < 0 else TYPES[kind[best]], score[best], bias[best], len(start),
-                    half_up(start[best] + np.asarray(x, dtype=float), 2), half_up(la[seg] + (la[seg + 1] - la[seg]) * ratio, 8),
-                    half_up(lo[seg] + (lo[seg + 1] - lo[seg]) * ratio, 8), piece, seg, line.n_pieces))
-    return pd.DataFrame(out, columns=ANCHOR.names)
+def flat(lists, of: pa.DataType = pa.float64()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, first, size) of a column of lists; null lists are empty."""
+    lists = lists if isinstance(lists, pa.Array) else pa.array(lists, pa.list_(of))
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy(zero_copy_only=False), offsets[:-1], np.where(lists.is_valid().to_numpy(zero_copy_only=False), np.diff(offsets), 0)
+
+
+def by_line(chain: tuple, span: np.ndarray) -> dict[tuple[bytes, float], list[int]]:
+    """Rows of one chainage and one span; those without length are left out."""
+    values, first, size = chain
+    found: dict[tuple[bytes, float], list[int]] = {}
+    for i, (a, n, s) in enumerate(zip(first.tolist(), size.tolist(), span.tolist(), strict=True)):
+        if n >= 2 and values[a + n - 1] > 0:
+            found.setdefault((values[a:a + n].tobytes(), s), []).append(i)
+    return found
+
+
+def fractions_of(sheets: tuple, on_route: tuple) -> list[np.ndarray]:
+    """`sheet_fractions` of every row, worked out once for equal sheets."""
+    known, out = {}, []
+    (v, a, n), (w, b, m) = sheets, on_route
+    for i, k, j, q in zip(a.tolist(), n.tolist(), b.tolist(), m.tolist(), strict=True):
+        key = (v[i:i + k].tobytes(), w[j:j + q].tobytes())
+        if key not in known:
+            known[key] = sheet_fractions(v[i:i + k], w[j:j + q])
+        out.append(known[key])
+    return out
+
+
+@arrow_udf(ANCHOR)
+def best_window(chain: pa.Array, lat: pa.Array, lon: pa.Array, rel: pa.Array, span: pa.Array, sheets: pa.Array, route_sheets: pa.Array) -> pa.Array:
+    """Best window of every row; rows of one route and span are scored together."""
+    chains, (la, la0, _), (lo, lo0, _), (x, x0, xn) = flat(chain), flat(lat), flat(lon), flat(rel)
+    spans = np.asarray(span, dtype=float)
+    fractions = fractions_of(flat(sheets, pa.int32()), flat(route_sheets, pa.int32()))
+    n, lines = len(spans), {}
+    numbers = {c: np.zeros(n) for c in ("start_ft", "end_ft", "window_score", "bias")}
+    whole = {c: np.zeros(n, np.int32) for c in ("n_windows", "n_pieces")}
+    kinds: list[str | None] = [None] * n
+    order, seg_, ratio_, piece_, at_ = [], [], [], [], []
+    for (key, s), members in by_line(chains, spans).items():
+        line = line_of(np.frombuffer(key), lines)
+        start, end, kind = windows_of(line, s)
+        m = np.array(members)
+        i, j, score, bias = leading_windows(line, s, x, x0[m], xn[m], np.stack([bias_of(line, s, fractions[k]) for k in members]))
+        by = np.lexsort((start[j], np.abs(np.abs(end[j] - start[j]) - s), -bias, -score, i))
+        by = by[np.unique(i[by], return_index=True)[1]]
+        best = j[by]
+        numbers["start_ft"][m], numbers["end_ft"][m], numbers["window_score"][m], numbers["bias"][m] = half_up(start[best], 2), half_up(end[best], 2), score[by], bias[by]
+        whole["n_windows"][m], whole["n_pieces"][m] = len(start), line.n_pieces
+        for k, w in zip(members, kind[best].tolist(), strict=True):
+            kinds[k] = "full_route_window" if w < 0 else TYPES[w]
+        size = xn[m]
+        at = np.repeat(start[best], size) + x[np.arange(size.sum()) + np.repeat(x0[m] - (np.cumsum(size) - size), size)]
+        seg, ratio, piece = line.locate(at)
+        for held, new in ((order, m), (seg_, seg), (ratio_, ratio), (piece_, piece), (at_, at)):
+            held.append(new)
+    rows = np.concatenate(order) if order else np.empty(0, int)
+    # back to the order of the rows
+    counts = np.zeros(n, np.int64)
+    counts[rows] = xn[rows]
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    to = np.arange(offsets[-1]) + np.repeat(offsets[rows] - (np.cumsum(xn[rows]) - xn[rows]), xn[rows])
+    row = np.repeat(np.arange(n), counts)
+
+    def placed(parts: list[np.ndarray], dtype) -> np.ndarray:
+        out = np.empty(offsets[-1], dtype)
+        if parts:
+            out[to] = np.concatenate(parts)
+        return out
+
+    seg, ratio = placed(seg_, np.int32), placed(ratio_, float)
+
+    def between(v: np.ndarray, first: np.ndarray) -> np.ndarray:
+        a = v.take(first[row] + seg)
+        return half_up(a + (v.take(first[row] + seg + 1) - a) * ratio, 8)
+
+    def lists(values: np.ndarray, of: pa.DataType) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, of))
+
+    made = {**{c: pa.array(v) for c, v in numbers.items()}, **{c: pa.array(v) for c, v in whole.items()}, "window_type": pa.array(kinds, pa.string()),
+            "p_route_ft": lists(half_up(placed(at_, float), 2), pa.float64()), "p_lat": lists(between(la, la0), pa.float64()),
+            "p_lon": lists(between(lo, lo0), pa.float64()), "p_piece": lists(placed(piece_, np.int32), pa.int32()), "p_seg": lists(seg, pa.int32())}
+    return pa.StructArray.from_arrays([made[c] for c in ANCHOR.names], ANCHOR.names)
 
 
 def route_sheets(index: DataFrame) -> DataFrame:
@@ -192,7 +365,8 @@ def hypothesis_inputs(ranked: DataFrame, groups: DataFrame, catalog: DataFrame,
     lines = catalog.select("project_id", "route_id", "coords", "chain", "total_ft",
                            F.transform("coords", lambda p: p["lat"]).alias("lats"), F.transform("coords", lambda p: p["lon"]).alias("lons"))
     rel = F.transform("station_rows", lambda r: F.greatest(r["station_ft"] - F.col("min_station_ft"), F.lit(0.0)))
-    station = groups.select(*GROUP, "tokens_key", "min_station_ft", "max_station_ft", "row_count", "station_rows", rel.alias("rel"))
+    feet = F.transform("station_rows", lambda r: F.struct(r["station_ft"].alias("station_ft")))
+    station = groups.select(*GROUP, "tokens_key", "min_station_ft", "max_station_ft", "row_count", feet.alias("station_rows"), rel.alias("rel"))
     usable = (F.size("allowed_routes") == 0) | F.array_contains("allowed_routes", F.col("route_id"))
     return (
         top.join(station, GROUP).join(lines, ["project_id", "route_id"]).join(route_sheets(index), ["project_id", "route_id"], "left")

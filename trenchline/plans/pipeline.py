@@ -1,8 +1,9 @@
 """The main flow: log rows and design routes to groups, matches, as-built tables.
 
-Each step takes the tables it needs.  Tables that several later steps read (catalog,
-groups, anchored hypotheses) are checkpointed to the shared folder: they are computed once,
-and a lost executor does not send the job back to the raw logs.
+Each step takes the tables it needs.  Tables that several later steps read (catalog, rows,
+groups, ranked routes, anchored hypotheses, claims) are kept in the shared folder: they are computed
+once, and a lost executor does not send the job back to the raw logs.  Wide ones are kept as
+compressed columns, of which each step reads its own.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from trenchline.operators import candidates as cand
 from trenchline.operators import coverage, gates, grouping, ownership, routes, windows
 from trenchline.plans.inputs import view
-from trenchline.session import cut_lineage
+from trenchline.session import cut_lineage, discard, stored
 from trenchline.sources.bore_logs import clean_bore_rows
 
 
@@ -36,8 +37,8 @@ class Job:
     @property
     def rows(self) -> DataFrame:
         """Accepted log rows with a stable key of their own."""
-        return self._once("rows", lambda: grouping.with_row_keys(
-            clean_bore_rows(self._raw).where("reject_reason IS NULL").drop("reject_reason", "station_raw")))
+        return self._once("rows", lambda: stored(grouping.with_row_keys(
+            clean_bore_rows(self._raw).where("reject_reason IS NULL").drop("reject_reason", "station_raw")), "rows"))
 
     @property
     def catalog(self) -> DataFrame:
@@ -50,13 +51,16 @@ class Job:
     @property
     def groups(self) -> DataFrame:
         def make():
-            summary = grouping.summarise_groups(self.grouped_rows)
-            return cut_lineage(grouping.order_keys(cand.sheet_hints(summary, self.index, grouping.GROUP)))
+            # hints go back to the groups they come from, so these are made once before
+            summary = stored(grouping.summarise_groups(self.grouped_rows), "summary")
+            found = stored(grouping.order_keys(cand.sheet_hints(summary, self.index, grouping.GROUP)), "groups")
+            discard(summary)
+            return found
         return self._once("groups", make)
 
     @property
     def ranked(self) -> DataFrame:
-        return self._once("ranked", lambda: cand.rank_pool(cand.score_pool(cand.route_pool(self.groups, self.catalog))))
+        return self._once("ranked", lambda: stored(cand.rank_pool(cand.score_pool(cand.route_pool(self.groups, self.catalog))), "ranked"))
 
     @property
     def hypothesis_inputs(self) -> DataFrame:
@@ -64,7 +68,7 @@ class Job:
 
     @property
     def anchored(self) -> DataFrame:
-        return self._once("anchored", lambda: cut_lineage(windows.anchor(self.hypothesis_inputs)))
+        return self._once("anchored", lambda: stored(windows.anchor(self.hypothesis_inputs), "anchored"))
 
     @property
     def neighbours(self) -> DataFrame:
@@ -82,7 +86,7 @@ class Job:
 
     @property
     def claims(self) -> DataFrame:
-        return self._once("claims", lambda: cut_lineage(ownership.claim_inputs(self.evaluated)))
+        return self._once("claims", lambda: stored(ownership.claim_inputs(self.evaluated), "claims"))
 
     @property
     def owned(self) -> DataFrame:
