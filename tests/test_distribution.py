@@ -349,3 +349,11 @@ def test_anchored_routes_are_kept_as_columns(job):
     plan = job.anchored.select("route_id", "start_ft")._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "station_rows" not in plan
     assert job.anchored.schema["station_rows"].dataType.elementType.names == ["station_ft"]
+
+
+def test_settled_claims_are_kept_as_columns(job):
+    """Copies of whole claims in every round filled the disk; a task walks all its routes in one pass, without a call for each."""
+    for table in (job.evaluated, job.claims, job.owned):
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan parquet" in plan and "ExistingRDD" not in plan
+    assert not {"coords", "p_lat", "mapped"} & set(job.evaluated.columns)

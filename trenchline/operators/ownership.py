@@ -7,20 +7,25 @@ moves no longer change; a round settles the routes again whose arrivals changed
 before, and no others.  The order has no cycles, so that state is the sequential result, and
 the number of rounds follows the longest chain of moves.  Claims of a route are kept in order
 (`intervals.Claims`), so a route of many groups costs little more than its groups' windows.
+A task walks its routes row by row in one ordered pass, with no call of its own for a route.
 Only a group's present route carries its chainage.
 """
 
 from __future__ import annotations
 
+from collections import namedtuple
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trenchline.operators.grouping import GROUP
 from trenchline.operators.intervals import Claims
-from trenchline.operators.windows import half_up, scored_windows, sheet_fractions
-from trenchline.session import cut_lineage
+from trenchline.operators.ordered import TYPES
+from trenchline.operators.windows import bias_of, flat, half_up, leading_windows, line_of, scored_windows, sheet_fractions, windows_of
+from trenchline.session import stored
 
 HARD_OVERLAP_FT = 5.0
 #: Columns that order groups, in turn, and whether they rise.
@@ -82,6 +87,23 @@ def _options(hyp: dict, rel, span: float, sheets, lines: dict):
     return start[other], end[other], score[other], bias[other]
 
 
+def _free_window(row, hyp: dict, claims: Claims, span: float, centre: float) -> tuple[float, float, float] | None:
+    """(start, end, score) of the best other window of a hypothesis that no claim overlaps."""
+    if hyp["chain"] is None or len(hyp["chain"]) < 2:
+        return None
+    line = line_of(hyp["chain"], claims.lines)
+    start, end, _ = windows_of(line, row.span_ft)
+    free = (np.abs(start - hyp["start_ft"]) >= 1e-6) | (np.abs(end - hyp["end_ft"]) >= 1e-6)
+    free &= claims.overlaps(start, end) <= HARD_OVERLAP_FT
+    if not free.any():
+        return None
+    rel = np.asarray(row.rel, dtype=float)
+    bias = bias_of(line, row.span_ft, sheet_fractions(row.sheets, hyp["route_sheets"]))
+    _, j, score, bias = leading_windows(line, row.span_ft, rel, np.array([0]), np.array([len(rel)]), bias[None, :], free[None, :])
+    k = np.lexsort((start[j], np.abs((start[j] + end[j]) / 2 - centre), np.abs(np.abs(end[j] - start[j]) - span), -bias, -score))[0]
+    return start[j[k]], end[j[k]], score[k]
+
+
 def _moved(hyp: dict, start: float, end: float, score: float) -> dict:
     return {**hyp, "start_ft": float(half_up(start, 2)), "end_ft": float(half_up(end, 2)), "window_score": float(score),
             "combined": float(half_up(min(1.0, hyp["score"] + score * 0.35), 6))}
@@ -104,11 +126,8 @@ def separate(row, choice: int, claims: Claims) -> tuple[int, dict, bool, str]:
                 k = ok[np.lexsort((start[ok], np.abs((start[ok] + end[ok]) / 2 - centre), -score[ok], -clear[ok]))[0]]
                 return choice, _moved(hyp, start[k], end[k], score[k]), True, "edge_locked_window_reselected_inward"
         return choice, hyp, False, "no_within_route_overlap_conflict"
-    start, end, score, bias = _options(hyp, row.rel, row.span_ft, row.sheets, claims.lines)
-    ok = np.flatnonzero(claims.overlaps(start, end) <= HARD_OVERLAP_FT) if len(start) else []
-    if len(ok):
-        k = ok[np.lexsort((start[ok], np.abs((start[ok] + end[ok]) / 2 - centre), np.abs(np.abs(end[ok] - start[ok]) - span), -bias[ok], -score[ok]))[0]]
-        return choice, _moved(hyp, start[k], end[k], score[k]), True, "reselected_to_non_overlapping_subsection_same_route"
+    if (free := _free_window(row, hyp, claims, span, centre)) is not None:
+        return choice, _moved(hyp, *free), True, "reselected_to_non_overlapping_subsection_same_route"
     for i, other in enumerate(row.hyps):
         if other["route_id"] != route:
             return i, other, True, "reselected_to_non_conflicting_route"
@@ -156,44 +175,79 @@ def _second_pass(always: bool):
     return own, arrival
 
 
+#: What a pass reads of a row besides its keys and places; arrivals lack what only own groups need.
+_READ = ("choice", "shown", "reason", "start_ft", "end_ft", "window_score", "combined", "leader", "has_consensus", "hyps", "sheets", "route_sheets")
+_HYP = ("route_id", "start_ft", "end_ft", "window_score", "combined", "score", "length_ft", "render_allowed")
+
+
+def _walk(own, arrival):
+    """Rows of routes, each in its order, to `SETTLED`: a new route starts with no claims."""
+    columns = [c.strip().split(" ") for c in SETTLED.split(", ")]
+    schema = pa.schema([(c, TYPES[t]) for c, t in columns])
+    place = [c.strip().split(" ")[0] for c in _PLACE.split(", ")]
+    Row = namedtuple("Row", dict.fromkeys(("route_id", *place, "arrives", *_READ, "rel", "chain")))
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+    def lists(column: pa.Array) -> list[np.ndarray]:
+        values, first, size = flat(column)
+        return [values[a:a + n] for a, n in zip(first.tolist(), size.tolist(), strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, claims, held = None, Claims(), []
+        for batch in batches:
+            read = [lists(batch[c]) if c in ("rel", "chain") else batch[c].to_pylist() for c in Row._fields]
+            for row in map(Row._make, zip(*read, strict=True)):
+                if key != (here := (row.project_id, row.route_id)):
+                    key, claims = here, Claims()
+                if row.arrives:
+                    accepted, reason = arrival(row, claims)
+                    found = (row.route_id, row.start_ft, row.end_ft, row.window_score, row.combined, accepted, True, reason, row.choice, bool(row.shown), False, key[1])
+                else:
+                    row.hyps[row.choice].update(chain=row.chain, route_sheets=row.route_sheets)
+                    choice, hyp, accepted, moved, reason = own(row, claims)
+                    found = (hyp["route_id"], hyp["start_ft"], hyp["end_ft"], hyp["window_score"], hyp["combined"], bool(accepted), moved, reason, int(choice),
+                             bool(hyp["render_allowed"]), hyp["route_id"] != row.route_id, key[1])
+                if accepted and not found[-2]:
+                    claims.add(found[1], found[2])
+                held.append((*row[1:1 + len(place)], *found))
+            if len(held) >= 10_000:
+                yield made(held)
+                held.clear()
+        if held:
+            yield made(held)
+
+    return run, list(Row._fields)
+
+
 def _settle(groups: DataFrame, own, arrival, order: tuple, max_rounds: int = 1000) -> DataFrame:
     """Settle all routes in rounds; groups: the columns of `_PLACE`, choice, hyps and what `own` reads."""
-    names = [c.strip().split(" ")[0] for c in SETTLED.split(", ")]
     place = [c.strip().split(" ")[0] for c in _PLACE.split(", ")]
-    by, rising = [c for c, _ in order], [up for _, up in order]
-    here = F.get("hyps", F.col("choice"))["route_id"]
-    slim = F.transform("hyps", lambda h: h.withField("chain", F.when(h["route_id"] == here, h["chain"])))
-    home = cut_lineage(groups.withColumn("route_id", here).withColumn("hyps", slim))
-
-    def run(key: tuple, mine: pd.DataFrame, moved_in: pd.DataFrame) -> pd.DataFrame:
-        both = pd.concat([mine.assign(arrives=False), moved_in.assign(arrives=True)], ignore_index=True).sort_values(by, ascending=rising, kind="stable")
-        claims, out = Claims(), []
-        for row in both.itertuples(index=False):
-            at = [getattr(row, c) for c in place]
-            if row.arrives:
-                accepted, reason = arrival(row, claims)
-                found = (row.route_id, row.start_ft, row.end_ft, row.window_score, row.combined, accepted, True, reason, int(row.choice), bool(row.shown), False, key[1])
-            else:
-                choice, hyp, accepted, moved, reason = own(row, claims)
-                found = (hyp["route_id"], hyp["start_ft"], hyp["end_ft"], hyp["window_score"], hyp["combined"], accepted, moved, reason, int(choice),
-                         bool(hyp["render_allowed"]), hyp["route_id"] != row.route_id, key[1])
-            if accepted and not found[-2]:
-                claims.add(found[1], found[2])
-            out.append((*at, *found))
-        return pd.DataFrame(out, columns=names)
-
+    present = F.get("hyps", F.col("choice"))
+    slim = F.transform("hyps", lambda h: F.struct(*[h[c].alias(c) for c in _HYP]))
+    home = stored(groups.select(*place, "choice", "leader", "has_consensus", "rel", "sheets", present["route_id"].alias("route_id"), present["chain"].alias("chain"),
+                                present["route_sheets"].alias("route_sheets"), slim.alias("hyps"), F.lit(False).alias("arrives")), "home")
     keys = ["project_id", "route_id"]
-
-    def settled(of: DataFrame, arriving: DataFrame) -> DataFrame:
-        return cut_lineage(of.groupBy(*keys).cogroup(arriving.groupBy(*keys)).applyInPandas(run, SETTLED))
+    by = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
+    run, names = _walk(own, arrival)
+
+    def settled(of: DataFrame, arriving: DataFrame | None = None) -> DataFrame:
+        if arriving is not None:
+            moved = arriving.select("route_id", *place, "choice", "shown", "reason", "start_ft", "end_ft", "window_score", "combined", F.lit(True).alias("arrives"))
+            of = of.unionByName(moved, allowMissingColumns=True)
+        else:
+            of = of.withColumns({c: F.lit(None).cast(t) for c, t in (("shown", "boolean"), ("reason", "string"), *[(c, "double") for c in ("start_ft", "end_ft", "window_score", "combined")])})
+        ordered = of.select(*names).repartition(*keys).sortWithinPartitions(*keys, *by, "arrives")
+        return stored(ordered.mapInArrow(run, SETTLED), "settled")
 
     # what each route said when it was settled last: all routes first, then those with other arrivals than before
-    said = [settled(home, groups.sparkSession.createDataFrame([], SETTLED))]
+    said = [settled(home)]
     settled_again: list[DataFrame] = []
     arrived = said[0].where("leaves").limit(0)
-    moves = cut_lineage(said[0].where("leaves"))
+    moves = stored(said[0].where("leaves"), "moves")
     for _ in range(max_rounds):
-        routes = cut_lineage(_changed(arrived, moves, keys))
+        routes = stored(_changed(arrived, moves, keys), "routes")
         if routes.isEmpty():
             return _last_said(said, settled_again, keys).where("not leaves")
         again = settled(home.join(routes, keys, "left_semi"), moves.join(routes, keys, "left_semi"))
@@ -201,7 +255,7 @@ def _settle(groups: DataFrame, own, arrival, order: tuple, max_rounds: int = 100
         settled_again.append(routes)
         # `settled_at` is the route that gave a row: for a move the one it leaves
         left = routes.withColumnRenamed("route_id", "settled_at")
-        arrived, moves = moves, cut_lineage(moves.join(left, ["project_id", "settled_at"], "left_anti").unionByName(again.where("leaves")))
+        arrived, moves = moves, stored(moves.join(left, ["project_id", "settled_at"], "left_anti").unionByName(again.where("leaves")), "moves")
     raise RuntimeError("claims did not settle")
 
 

@@ -82,7 +82,9 @@ class Job:
     @property
     def evaluated(self) -> DataFrame:
         """Every hypothesis with all gates, its place in the group and its render policy."""
-        return self._once("evaluated", lambda: gates.render_policy(gates.choose(gates.group_gates(self.verdicts))))
+        # projected points have had their say by then
+        return self._once("evaluated", lambda: stored(gates.render_policy(gates.choose(gates.group_gates(self.verdicts))).drop(
+            "coords", "station_rows", "mapped", "p_route_ft", "p_lat", "p_lon", "p_piece", "p_seg", "allowed_routes", "context"), "evaluated"))
 
     @property
     def claims(self) -> DataFrame:
