@@ -357,3 +357,38 @@ def test_settled_claims_are_kept_as_columns(job):
         plan = table._jdf.queryExecution().executedPlan().toString()
         assert "FileScan parquet" in plan and "ExistingRDD" not in plan
     assert not {"coords", "p_lat", "mapped"} & set(job.evaluated.columns)
+
+
+def test_places_inside_pieces_are_those_of_parts():
+    from trenchline.operators.windows import Line
+
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        line = Line(np.concatenate([[0.0], np.cumsum(rng.choice([0.0, 7.3, 60.0, 119.99999, 181.0, 1e-10], 12))]))
+        bounds, piece, inside = line.inner()
+        feet = np.concatenate([np.nextafter(bounds, -np.inf), bounds, np.nextafter(bounds, np.inf), rng.uniform(0, line.total, 300), line.chain, [-5.0, line.total + 5]])
+        seg, ratio, n, part = line.parts(feet)
+        local = (ratio - part / n) * n
+        place = np.searchsorted(bounds, np.minimum(feet, line.total))
+        assert np.array_equal(piece[place], line.first[seg] + part)
+        assert np.array_equal(inside[place], (local >= 0.08) & (local <= 0.92))
+
+
+def test_best_start_is_the_best_of_all_starts(monkeypatch):
+    """Bounds leave out most starts of a long route, never the best one."""
+    import pandas as pd
+
+    from trenchline.operators import anchors
+
+    rng, rows = np.random.default_rng(7), []
+    for _ in range(40):
+        chain = np.concatenate([[0.0], np.cumsum(rng.uniform(20, 150, 16))])
+        rel = np.unique(np.round(rng.uniform(0, 500, 11) / 25) * 25)
+        rows.append((chain, rng.uniform(30, 30.01, 17), np.linspace(-96, -95.99, 17), rel - rel[0], float(rel[-1] - rel[0]), float(rel[0]), float(rel[-1]), 0.7))
+    columns = [pd.Series(list(c)) for c in zip(*rows, strict=True)]
+    laid, real = [], anchors.score_starts
+    monkeypatch.setattr(anchors, "score_starts", lambda *a: laid.append(len((got := real(*a))["start"])) or got)
+    bounded = anchors.best_anchor.func(*columns)
+    monkeypatch.setattr(anchors, "_FIRST", 10 ** 6)
+    assert bounded.equals(anchors.best_anchor.func(*columns))
+    assert sum(laid[:len(laid) // 2]) < sum(laid[len(laid) // 2:]) * 0.7

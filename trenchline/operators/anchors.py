@@ -16,6 +16,8 @@ from pyspark.sql.functions import pandas_udf
 from trenchline.operators.windows import Line, half_up, line_of
 
 _CHUNK = 2000
+#: Starts laid out first, to see what score others must reach; routes whose bends are kept.
+_FIRST, _ROUTES = 24, 256
 
 
 def bends(lat: np.ndarray, lon: np.ndarray, chain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,20 +48,26 @@ def candidate_starts(line: Line, span_ft: float, offsets: np.ndarray, low_ft: fl
     return np.unique(half_up(np.concatenate(found), 2))
 
 
-def score_starts(line: Line, lat: np.ndarray, lon: np.ndarray, span_ft: float, offsets: np.ndarray, low_ft: float, high_ft: float,
+def _least_jump(line: Line, offsets: np.ndarray, usable: float) -> int:
+    """Pieces that some step between stations goes on by, wherever they lie on the route; 0 if they may be clamped to it."""
+    wide = float((line.step / line.pieces).max()) + 0.02
+    if offsets.max() > usable + 0.01:
+        return 0
+    return max(int(offsets[-1] - offsets[0] > wide), int(np.diff(offsets).max(initial=0.0) // wide))
+
+
+def score_starts(line: Line, turns: tuple[np.ndarray, np.ndarray], span_ft: float, offsets: np.ndarray, low_ft: float, high_ft: float,
                  route_score: float, starts: np.ndarray) -> dict[str, np.ndarray]:
-    """Anchor fit, subsection score and combined score of each start."""
+    """Anchor fit, subsection score and combined score of the starts that can be best.
+
+    What the stations add (balance, at most 1) and take away (jumps, at least those that their distances
+    force on the widest piece) bounds a score from above; the stations are only laid out for starts
+    whose bound reaches the best score of a few.
+    """
     total, usable = line.total, max(0.0, min(span_ft, line.total))
     start = np.clip(starts, 0.0, max(0.0, total - usable))
     end = np.minimum(start + usable, total)
-    # one row a station, one column a start: reductions run down long rows
-    seg, ratio, n, part = line.parts(offsets[:, None] + start[None, :])
-    local = (ratio - part / n) * n
-    balance = half_up(np.count_nonzero((local >= 0.08) & (local <= 0.92), axis=0) / len(offsets), 6)
-    piece = line.first.take(seg) + part
-    jump = np.abs(piece[1:] - piece[:-1]).max(axis=0) if len(piece) > 1 else np.zeros(len(start))
-    penalty = half_up(np.minimum(1.0, jump / 3.0), 6)
-    at, strength = bends(lat, lon, line.chain)
+    at, strength = turns
     covered = ((at[None, :] >= start[:, None]) & (at[None, :] <= end[:, None])) @ strength if len(at) else np.zeros(len(start))
     density = half_up(np.minimum(1.0, covered / max(35.0, usable * 0.18)), 6) if usable > 0 else np.zeros(len(start))
 
@@ -77,10 +85,30 @@ def score_starts(line: Line, lat: np.ndarray, lon: np.ndarray, span_ft: float, o
     both = span_ft > 0 and total > 0
     span_fit = min(span_ft, total) / max(span_ft, total) if both else 1.0
     length_fit = max(0.0, 1.0 - abs(total - span_ft) / max(span_ft, 1.0)) if both else 0.0
-    fit = 0.30 * align + 0.25 * balance + 0.15 * density + 0.15 * edge + 0.15 * absolute
-    sub = np.clip(0.35 * span_fit + 0.25 * length_fit + 0.40 * fit - 0.18 * penalty, 0.0, 1.0)
-    return {"start": half_up(start, 2), "end": half_up(end, 2), "fit": half_up(fit, 6), "sub": half_up(sub, 6), "absolute": absolute,
-            "combined": half_up(np.clip(0.55 * route_score + 0.45 * sub, 0.0, 1.0), 6)}
+
+    bounds, on_piece, inside = line.inner()
+
+    def scored(of, balance, penalty) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        fit = 0.30 * align[of] + 0.25 * balance + 0.15 * density[of] + 0.15 * edge[of] + 0.15 * absolute[of]
+        sub = np.clip(0.35 * span_fit + 0.25 * length_fit + 0.40 * fit - 0.18 * penalty, 0.0, 1.0)
+        return fit, sub, half_up(np.clip(0.55 * route_score + 0.45 * sub, 0.0, 1.0), 6)
+
+    def laid_out(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # one row a station, one column a start: reductions run down long rows
+        place = np.searchsorted(bounds, np.minimum(offsets[:, None] + start[None, of], total))
+        balance = half_up(np.count_nonzero(inside.take(place), axis=0) / len(offsets), 6)
+        piece = on_piece.take(place)
+        jump = np.abs(piece[1:] - piece[:-1]).max(axis=0) if len(piece) > 1 else np.zeros(len(of))
+        return scored(of, balance, half_up(np.minimum(1.0, jump / 3.0), 6))
+
+    can = np.arange(len(start))
+    if len(start) > 2 * _FIRST:
+        most = scored(can, 1.0, half_up(min(1.0, _least_jump(line, offsets, usable) / 3.0), 6))[2]
+        few = np.argpartition(-most, _FIRST)[:_FIRST]
+        can = np.flatnonzero(most >= laid_out(few)[2].max())
+    fit, sub, combined = laid_out(can)
+    return {"start": half_up(start[can], 2), "end": half_up(end[can], 2), "fit": half_up(fit, 6), "sub": half_up(sub, 6), "absolute": absolute[can],
+            "combined": combined}
 
 
 RESULT = T.StructType([
@@ -93,13 +121,18 @@ RESULT = T.StructType([
 @pandas_udf(RESULT)
 def best_anchor(chain: pd.Series, lat: pd.Series, lon: pd.Series, rel: pd.Series, span: pd.Series, low: pd.Series, high: pd.Series,
                 score: pd.Series) -> pd.DataFrame:
-    out, lines = [], {}
+    out, lines, turns = [], {}, {}
     for c, la, lo, x, s, a, b, q in zip(chain, lat, lon, rel, span, low, high, score):
         line, offsets = line_of(c, lines), np.asarray(x, dtype=float)
+        la, lo = np.asarray(la, dtype=float), np.asarray(lo, dtype=float)
+        if (route := (line.chain.tobytes(), la.tobytes(), lo.tobytes())) not in turns:
+            if len(turns) >= _ROUTES:
+                turns.clear()
+            turns[route] = bends(la, lo, line.chain)
         starts = candidate_starts(line, s, offsets, a, b)
         best = None
         for at in range(0, len(starts), _CHUNK):
-            got = score_starts(line, np.asarray(la, dtype=float), np.asarray(lo, dtype=float), s, offsets, a, b, q, starts[at:at + _CHUNK])
+            got = score_starts(line, turns[route], s, offsets, a, b, q, starts[at:at + _CHUNK])
             k = np.lexsort((got["start"], -got["sub"], -got["combined"]))[0]
             row = (got["start"][k], got["end"][k], got["fit"][k], got["sub"][k], got["combined"][k],
                    "absolute_station_projection" if got["absolute"][k] >= 0.85 else "projection_window_search", len(starts))

@@ -43,6 +43,7 @@ class Line:
         self.windows: dict[float, tuple] = {}
         self.facts: dict[float, tuple] = {}
         self.bounds = self._bounds()
+        self._inner: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def _bounds(self) -> np.ndarray:
         """The last distance of every piece but the last: a distance lies on the piece whose number is that of
@@ -67,6 +68,33 @@ class Line:
             out[i] = b
         return out[:-1]
 
+    def inner(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bounds, piece, whether inside) of stretches of the route: a distance lies on the stretch whose number is
+        that of the bounds below it; inside are those from .08 to .92 of their piece, as worked out from `parts`."""
+        if self._inner is None:
+            seg = np.repeat(np.arange(len(self.pieces)), self.pieces)
+            at, width, n = self.chain[seg], self.width[seg], self.pieces[seg]
+            share = (np.arange(self.n_pieces) - self.first[seg]) / n
+            ends = np.append(self.bounds, self.total)
+
+            def local(x: np.ndarray) -> np.ndarray:
+                return (np.minimum(np.maximum((x - at) / width, 0.0), 1.0) - share) * n
+
+            def last_before(reached, part: float) -> np.ndarray:
+                """The last distance of each piece that has not reached a point; its end if none has."""
+                some = reached(ends)
+                x = np.minimum(at + width * (share + part / n), ends)
+                while (late := some & reached(x)).any():
+                    x = np.where(late, np.nextafter(x, -np.inf), x)
+                while (early := some & ~reached(up := np.nextafter(x, np.inf))).any():
+                    x = np.where(early, up, x)
+                return np.where(some, x, ends)
+
+            low, high = last_before(lambda x: local(x) >= 0.08, 0.08), last_before(lambda x: local(x) > 0.92, 0.92)
+            k = np.arange(self.n_pieces)
+            self._inner = np.stack([low, high, ends], axis=1).ravel()[:-1], np.repeat(k, 3), np.tile([False, True, False], self.n_pieces)
+        return self._inner
+
     def piece(self, feet: np.ndarray) -> np.ndarray:
         """Virtual piece of each distance, clamped to the route."""
         return np.searchsorted(self.bounds, np.minimum(feet, self.total), side="left")
