@@ -9,6 +9,7 @@ from trenchline.config import Billing
 from trenchline.functions import geo
 from trenchline.functions.stations import let
 from trenchline.operators import routes
+from trenchline.operators.clipping import clip
 from trenchline.operators.sequences import split_blocks, with_last_mark, with_neighbours
 from trenchline.operators.windows import mapped_ft
 
@@ -56,7 +57,7 @@ def built_segments(claims: DataFrame, groups: DataFrame, catalog: DataFrame) ->
 def with_geometry(segments: DataFrame, catalog: DataFrame) -> DataFrame:
     """Adds the clipped polyline of each stretch."""
     lines = catalog.select(*KEY, "coords", "chain")
-    return segments.join(lines, KEY).withColumn("coords", geo.clip(F.col("coords"), F.col("chain"), F.col("start_ft"), F.col("end_ft"))).drop("chain")
+    return segments.join(lines, KEY).withColumn("coords", clip("coords", "chain", "start_ft", "end_ft")).drop("chain")
 
 
 def _islands(df: DataFrame, keys: list[str], tolerance: float) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trenchline.functions import geo
 from trenchline.operators import hulls, routes
+from trenchline.operators.clipping import clip
 from trenchline.plans.check_sql import RAW, ROUTES, chained, hav, sql
 from trenchline.plans.inputs import cte, view, with_views
 from trenchline.plans.registry import query
@@ -121,7 +122,7 @@ FROM kk LEFT JOIN mid USING (project_id, route_id, s0, e0) LEFT JOIN p USING (pr
 def clipped_stretches(spark, sf_dir):
     keys = view(spark, sf_dir, "built").select(*KEY, "start_ft", "end_ft").distinct()
     lines = routes.as_polylines(raw_chain(spark, sf_dir))
-    cut = keys.join(lines, KEY).withColumn("c", geo.clip(F.col("coords"), F.col("chain"), F.col("start_ft"), F.col("end_ft")))
+    cut = keys.join(lines, KEY).withColumn("c", clip("coords", "chain", "start_ft", "end_ft"))
     first, last = F.get("c", F.lit(0)), F.try_element_at("c", F.lit(-1))
     return cut.select(*KEY, "start_ft", "end_ft", F.size("c").alias("n_points"),
                       F.round(first["lat"], 7).alias("s_lat"), F.round(first["lon"], 7).alias("s_lon"),
