@@ -90,6 +90,26 @@ def test_forms_with_wide_gaps(spark):
     assert (found.start_station, found.end_station) == ("1+00", "4+50")
 
 
+def test_sheet_rows_are_read_once(spark):
+    """Forms, columns and tabular rows of all sheets come from one read of the rows, with one row a form."""
+    cells = [("form", 1, "From Station", "1+00", "End Station", "2+50"), ("form", 1, "From Station", "1+00", "End Station", "2+50"),
+             ("form", 2, "9+00", "9+50", "", ""), ("form", 0, "To Station", "3+00", "Start Station", "4+00"),
+             ("named", 1, " 1+00 ", "x", "2+00", "3+00"), ("named", 2, "1+00", "x", "x", "3+00"), ("named", 3, "5+00", None, "6+00", None),
+             ("like", 1, "a", "1+00", "b", "2+00"), ("like", 2, "a", "3+00", None, "4+00"), ("like", 3, "a", "b", "3+00", "5+0x"),
+             ("none", 1, "1+00", "2+00", "", ""), (None, 1, "1+00", "2+00", "", ""), (None, 2, "1+00", "2+00", "", ""),
+             (None, 3, "Begin Station", "7+00", "End Station", "8+00")]
+    rows = spark.createDataFrame(cells, "sheet_id string, row_index int, c0 string, c1 string, c2 string, c3 string")
+    heads = spark.createDataFrame([("named", 2, "To  Station (ft)"), ("named", 0, "from station"), ("named", 3, "end"), ("like", 0, None)],
+                                  "sheet_id string, col_index int, header string")
+    ranges = bore_logs.station_ranges(rows, heads, ["c0", "c1", "c2", "c3"])
+    found = sorted([tuple(r) for r in ranges.select("sheet_id", "row_index", "start_station", "end_station", "start_ft", "end_ft", "source_mode").collect()], key=str)
+    assert found == sorted([
+        ("form", None, "1+00", "2+50", 100.0, 250.0, "form"), (None, None, "7+00", "8+00", 700.0, 800.0, "form"),
+        ("named", 1, "1+00", "2+00", 100.0, 200.0, "tabular"), ("named", 3, "5+00", "6+00", 500.0, 600.0, "tabular"),
+        ("like", 1, "1+00", "2+00", 100.0, 200.0, "tabular"), ("like", 2, "3+00", "4+00", 300.0, 400.0, "tabular")], key=str)
+    assert ranges._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+
+
 def test_large_uploads_are_refused_with_a_reason(spark):
     files = [("many", f"f{i}", "image/png") for i in range(12)] + [("few", "a", "image/jpeg"), ("few", "b", "text/plain"), ("few", "c", None)]
     df = spark.createDataFrame([("h", u, f, t, "now") for u, f, t in files], "station_hash string, upload_id string, filename string, content_type string, uploaded_at string")

@@ -133,16 +133,13 @@ _START_LABELS = ("startstation", "beginstation", "fromstation")
 _END_LABELS = ("endstation", "tostation")
 
 
-def form_station_pairs(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """First start/end pair of each form sheet.
+def _sheet_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Each row's trimmed cells and its own form pair (null on most rows).
 
     A start label, then the first station to its right,
     and an end label further right in the same row.  A sheet row is a short array,
-    so this needs no self-join; one aggregate picks the first hit per sheet.
+    so this needs no self-join; of several pairs in a row the leftmost counts.
     """
-    cells = F.array(*[F.trim(F.col(c)) for c in columns])
-    keyed = F.transform(cells, lambda c: tx.header_key(c, ""))
-
     def value_after(pos: Column) -> Column:
         ahead = F.slice(F.col("cells"), pos + 2, F.size("cells"))
         return F.get(F.filter(ahead, lambda c: c.rlike(_STATION_CELL)), F.lit(0))
@@ -151,67 +148,67 @@ def form_station_pairs(rows: DataFrame, columns: list[str]) -> DataFrame:
         return F.filter(F.sequence(F.lit(0), F.size("keys") - 1),
                         lambda i: F.get(F.col("keys"), i).isin(*names))
 
-    pairs = (
-        rows.select("sheet_id", "row_index", cells.alias("cells"), keyed.alias("keys"))
-        .withColumn("start_pos", F.explode(label_positions(_START_LABELS)))
-        .withColumn("end_pos", F.get(F.filter(label_positions(_END_LABELS), lambda i: i > F.col("start_pos")), F.lit(0)))
-        .select("sheet_id", "row_index", "start_pos",
-                value_after(F.col("start_pos")).alias("start_station"),
-                value_after(F.col("end_pos")).alias("end_station"))
-        .where(F.col("start_station").isNotNull() & F.col("end_station").isNotNull())
-    )
-    first = F.min_by(F.struct("start_station", "end_station"), F.struct("row_index", "start_pos"))
-    return (pairs.groupBy("sheet_id").agg(first.alias("p"))
+    def pair_at(pos: Column) -> Column:
+        end = F.get(F.filter(label_positions(_END_LABELS), lambda i: i > pos), F.lit(0))
+        return F.struct(F.col("row_index").alias("row_index"), pos.alias("start_pos"),
+                        value_after(pos).alias("start_station"), value_after(end).alias("end_station"))
+
+    read = rows.select("sheet_id", "row_index", F.array(*[F.trim(F.col(c)) for c in columns]).alias("cells"),
+                       F.array(*[tx.header_key(F.col(c), "") for c in columns]).alias("keys"))
+    pairs = F.filter(F.transform(label_positions(_START_LABELS), pair_at),
+                     lambda p: p["start_station"].isNotNull() & p["end_station"].isNotNull())
+    labelled = F.arrays_overlap("keys", F.array(*[F.lit(x) for x in _START_LABELS]))
+    return read.select("sheet_id", "row_index", "cells", F.when(labelled, F.get(pairs, F.lit(0))).alias("pair"))
+
+
+def form_station_pairs(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """First start/end pair of each form sheet."""
+    pairs = _sheet_rows(rows, columns).where(F.col("pair").isNotNull())
+    return (pairs.groupBy("sheet_id").agg(F.min("pair").alias("p"))
             .select("sheet_id", "p.start_station", "p.end_station",
                     st.feet_from_station(F.col("p.start_station")).alias("start_ft"),
                     st.feet_from_station(F.col("p.end_station")).alias("end_ft"),
                     F.lit("form").alias("source_mode")))
 
 
-def station_columns(rows: DataFrame, headers: DataFrame, columns: list[str]) -> DataFrame:
-    """Start and end column of each sheet: by header words, else the first two columns
-    with at least two station-like values."""
-    key = tx.header_key(F.col("header"), "")
-    named = headers.groupBy("sheet_id").agg(
-        F.min(F.when(tx.has(key, *_START_LABELS), F.col("col_index"))).alias("named_start"),
-        F.min(F.when(tx.has(key, *_END_LABELS), F.col("col_index"))).alias("named_end"))
-    long = rows.select("sheet_id", "row_index", F.posexplode(F.array(*[F.col(c) for c in columns])).alias("col_index", "cell"))
-    like = (
-        long.where(F.col("cell").isNotNull()).groupBy("sheet_id", "col_index")
-        .agg(F.count_if(F.trim("cell").rlike(_STATION_CELL)).alias("hits"))
-        .where(F.col("hits") >= 2)
-        .groupBy("sheet_id").agg(F.sort_array(F.collect_set("col_index")).alias("like"))
-    )
-    both = F.coalesce(F.size("like"), F.lit(0)) >= 2
-    return (
-        named.join(like, "sheet_id", "full")
-        .select("sheet_id",
-                F.coalesce("named_start", F.when(both, F.get("like", F.lit(0)))).alias("start_col"),
-                F.coalesce("named_end", F.when(both, F.get("like", F.lit(1)))).alias("end_col"))
-        .where(F.col("start_col").isNotNull() & F.col("end_col").isNotNull())
-    )
+def named_columns(headers: DataFrame) -> DataFrame:
+    """Start and end column of each sheet by its header words; sheets without such words have no row."""
+    starts, ends = "|".join(_START_LABELS), "|".join(_END_LABELS)
+    keyed = headers.select("sheet_id", "col_index", tx.header_key(F.col("header"), "").alias("key"))
+    return (keyed.where(F.col("key").rlike(f"{starts}|{ends}")).groupBy("sheet_id")
+            .agg(F.min(F.when(F.col("key").rlike(starts), F.col("col_index"))).alias("named_start"),
+                 F.min(F.when(F.col("key").rlike(ends), F.col("col_index"))).alias("named_end")))
+
 
+def station_ranges(rows: DataFrame, headers: DataFrame, columns: list[str]) -> DataFrame:
+    """Form pair when a sheet has one, else its rows whose start and end cells both hold stations.
 
-def tabular_station_ranges(rows: DataFrame, headers: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows whose start and end cells both hold stations."""
-    cells = F.array(*[F.trim(F.col(c)) for c in columns])
-    picked = rows.join(station_columns(rows, headers, columns), "sheet_id").select(
-        "sheet_id", "row_index",
-        F.get(cells, F.col("start_col")).alias("start_station"),
-        F.get(cells, F.col("end_col")).alias("end_station"))
-    good = F.col("start_station").rlike(_STATION_CELL) & F.col("end_station").rlike(_STATION_CELL)
-    return picked.where(good).select(
-        "sheet_id", "row_index", "start_station", "end_station",
+    Start and end column: by header words, else the first two columns with at least two
+    station-like values.  The rows are read once: what holds for a sheet comes from windows
+    over its rows, so neither forms nor columns are joined back.
+    """
+    sheet = Window.partitionBy("sheet_id")
+    hits = [F.count_if(F.get("cells", F.lit(i)).rlike(_STATION_CELL)).over(sheet) for i in range(len(columns))]
+    seen = _sheet_rows(rows, columns).withColumn("nth", F.row_number().over(sheet.orderBy(F.asc_nulls_last("pair"))))
+    seen = seen.select("*", F.count("pair").over(sheet).alias("forms"), F.array(*hits).alias("hits"))
+    like = F.filter(F.sequence(F.lit(0), F.size("hits") - 1), lambda i: F.get(F.col("hits"), i) >= 2)
+    seen = (seen.where((F.col("nth") == 1) | (F.col("forms") == 0)).select("*", like.alias("like"))
+            .join(named_columns(headers), "sheet_id", "left"))
+    both, form = F.size("like") >= 2, F.col("forms") > 0
+    start_col = F.coalesce("named_start", F.when(both, F.get("like", F.lit(0))))
+    end_col = F.coalesce("named_end", F.when(both, F.get("like", F.lit(1))))
+    # a row without a sheet can be a form, but has no columns of its own
+    placed = F.col("sheet_id").isNotNull() & start_col.isNotNull() & end_col.isNotNull()
+    found = seen.select(
+        "sheet_id", F.when(~form, F.col("row_index")).alias("row_index"),
+        F.when(form, F.col("pair.start_station")).when(placed, F.get("cells", start_col)).alias("start_station"),
+        F.when(form, F.col("pair.end_station")).when(placed, F.get("cells", end_col)).alias("end_station"),
+        F.when(form, "form").otherwise("tabular").alias("source_mode"))
+    return found.where(F.col("start_station").rlike(_STATION_CELL) & F.col("end_station").rlike(_STATION_CELL)).select(
+        "sheet_id", "start_station", "end_station",
         st.feet_from_station(F.col("start_station")).alias("start_ft"),
         st.feet_from_station(F.col("end_station")).alias("end_ft"),
-        F.lit("tabular").alias("source_mode"))
-
-
-def station_ranges(rows: DataFrame, headers: DataFrame, columns: list[str]) -> DataFrame:
-    """Form pair when a sheet has one, else its tabular rows."""
-    forms = form_station_pairs(rows, columns).withColumn("row_index", F.lit(None).cast("int"))
-    tables = tabular_station_ranges(rows, headers, columns)
-    return forms.unionByName(tables.join(forms.select("sheet_id"), "sheet_id", "left_anti"))
+        "source_mode", "row_index")
 
 
 def parse_bulk_lines(lines: DataFrame) -> DataFrame:
