@@ -115,6 +115,31 @@ def test_a_full_cache_starts_over(monkeypatch):
         assert coder.ids(texts) == [packed(library_ids(text)) for text in texts]
 
 
+def test_lines_and_signs_make_no_new_words():
+    coder = token_files.StretchEncoder(token_files.VOCABULARY)
+    coder.ids(["one two.\nThree four"])
+    seen, texts = set(coder.known), ["one two!\nThree, four.\nThree", "x\x01y two", "\x01", "one\n\ntwo two.\n", "\none \ntwo\r three"]
+    assert coder.ids(texts[:1]) == [packed(library_ids(texts[0]))] and set(coder.known) == seen
+    assert coder.ids(texts) == [packed(library_ids(text)) for text in texts] and coder.ids([]) == []
+
+
+def test_words_in_use_outlive_a_full_cache(monkeypatch):
+    monkeypatch.setattr(token_files, "CACHE_ENTRIES", 12)
+    coder, encoded = token_files.StretchEncoder(token_files.VOCABULARY), []
+    runs = coder.runs
+    monkeypatch.setattr(coder, "runs", lambda words: encoded.extend(words) or runs(words))
+    for i in range(0, 30, 3):
+        text = f"start kept {'bcd'[i % 2]}{'x' * i} y{'x' * i} z{'x' * i}"
+        assert coder.ids([text]) == [packed(library_ids(text))]
+    assert encoded.count(" kept") == 1 and len(coder.known) + len(coder.old) <= 12
+
+
+def test_runs_of_letters_by_the_model_alone():
+    words = [" word", "Éternité", " ɏɐ", " naïve", "ß", " Straßenbahn", " ªµº"]
+    assert CACHED.model is not None and CACHED.runs(words[:2]) == [packed(library_ids(x)) for x in words[:2]]
+    assert CACHED.ids(words) == [packed(library_ids(x)) for x in words]
+
+
 def library_ids(text):
     return LIBRARY.encode(text, add_special_tokens=False).ids
 
