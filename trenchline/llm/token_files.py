@@ -43,8 +43,8 @@ from trenchline.llm.tables import new_path, text_slices, worker_state
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
-CACHE_ENTRIES = 500_000
-PARTING, TOGETHER = "\r", 2000
+CACHE_ENTRIES = 800_000
+PARTING, TOGETHER = "\r", 20_000
 #: Stands before what no space leads: the head of a text, and what follows a lone line end.
 LED = "\x01"
 LONE = re.compile(r"\n(?=\S)(?<=\S\n)")
