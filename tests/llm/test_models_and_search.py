@@ -158,3 +158,55 @@ def test_search_large_components(spark, size):
     want = [(q, n, i, max(-edge - 1, min(edge, s))) for q, n, i, s in search_by_hand(given, {0})]
     found = rows(vector_search.top_k(vectors, vectors.where("vec_id = 0")))
     assert sorted(r[3] for r in found) == sorted(r[3] for r in want)
+
+
+def test_search_moves_little(spark):
+    """Floats are shuffled as floats, no table lies between the cells and their merge, and candidates are copied for every eight blocks of queries only."""
+    vectors = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    found = vector_search.top_k(vectors, vectors.where("vec_id % 100 = 0"))
+    assert all("/embeddings.parquet" in x for x in found.inputFiles())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 4 and "double" not in plan.lower()
+    assert vector_search.grid(600_000, 6_000) == (74, 1) and vector_search.grid(0, 0) == (1, 1)
+
+
+def test_search_odd_floats(spark):
+    given = [(1, [1.0, 2.0]), (2, [1.5, -2.0]), (3, [float("nan"), 1.0]), (4, [1.0, float("inf")]), (5, [float("-inf"), 1.0]), (6, [None, 1.0]), (7, [None, None]), (8, None), (9, []), (10, [0.1, 0.3])]
+    vectors = spark.createDataFrame(given, "vec_id long, embedding array<float>")
+    kept = [(r.vec_id, r.embedding) for r in vectors.collect()]
+    assert rows(vector_search.top_k(vectors, vectors)) == search_by_hand(kept, {i for i, _ in given})
+
+
+def random_search(size):
+    """Vectors whose length falls along their dimensions, with ties, repeated ids and the queries among the candidates."""
+    rng = np.random.default_rng(3)
+    m = np.floor(rng.normal(size=(40, 300)) * size * np.geomspace(1, 0.01, 40)[:, None])
+    m[:, 100:140] = m[:, [7]]
+    ids = np.sort(rng.integers(0, 250, 300))
+    return m, ids, np.arange(0, 300, 13)
+
+
+@pytest.mark.parametrize("size", [50, 1e4, 1e9, 1e12])
+@pytest.mark.parametrize("few", [1, 4, 1000])
+def test_best_pairs_over_several_blocks(monkeypatch, size, few):
+    for name, value in (("CANDIDATES", 32), ("TOGETHER", 5), ("FEW", few)):
+        monkeypatch.setattr(vector_search, name, value)
+    m, ids, asked = random_search(size)
+    q, c, scores = vector_search.best_pairs(m[:, asked], ids[asked], m, ids, 10)
+    got = [[(s, int(ids[j])) for i, j, s in zip(q, c, scores.tolist(), strict=True) if i == n] for n in range(len(asked))]
+    whole_rows, edge = [[int(x) for x in v] for v in m.T], 2**63 - 1
+    for n, a in enumerate(asked):
+        dots = (sum(x * y for x, y in zip(whole_rows[a], v, strict=True)) for v in whole_rows)
+        want = sorted((-max(-edge - 1, min(edge, s)), int(i)) for s, i in zip(dots, ids, strict=True) if i != ids[a])[:10]
+        assert got[n] == [(-s, i) for s, i in want]
+
+
+def test_open_pairs_are_those_above_the_floor(monkeypatch):
+    m, _, asked = random_search(50)
+    rest, scores = vector_search.remaining(m), m[:, asked].T @ m
+    floors = np.sort(scores, axis=1)[:, -20]
+    for few in (1, 4, 1000):
+        monkeypatch.setattr(vector_search, "FEW", few)
+        q, c, found = vector_search.open_pairs(m[:, asked], m, rest[:, asked], rest, floors)
+        want = np.argwhere(scores > floors[:, None])
+        assert sorted(zip(q.tolist(), c.tolist(), found.tolist(), strict=True)) == [(i, j, scores[i, j]) for i, j in want.tolist()]
